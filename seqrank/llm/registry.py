@@ -1,7 +1,7 @@
 """The subpackage's queries and the SQL that says the same."""
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, near_dedup, packing
 
-MODULES = (exact_dedup, bpe, packing)
+MODULES = (exact_dedup, bpe, packing, near_dedup)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
