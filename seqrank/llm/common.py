@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +73,33 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by integer keys as tables that hold whole groups, each with the places where its groups begin and end."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, len(t) - 1), bool)
+        for k in keys:
+            v = np.asarray(t.column(k))
+            new |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(t)]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < size:
+            continue
+        t = pa.Table.from_batches(held)
+        at = bounds(t)
+        if len(at) > 2:
+            yield t.slice(0, int(at[-2])), at[:-1]
+            t = t.slice(int(at[-2]))
+        held, rows = t.to_batches(), t.num_rows
+    if rows:
+        t = pa.Table.from_batches(held)
+        yield t, bounds(t)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, stored, table, text_or_empty
+from .common import stored, table, text_or_empty, whole_groups
 from .components import components
 
 #: Coordinates that are posted; all coordinates of a signature, of which eight bits each are kept for counting.
@@ -175,32 +175,6 @@ def _postings(classes: DataFrame, threshold: float) -> DataFrame:
     return classes.select("doc", "sig").mapInArrow(run, "key long, salt int, salts int, doc long, sig binary")
 
 
-def _by_list(batches: Iterator[pa.RecordBatch], size: int = 1 << 15) -> Iterator[pa.Table]:
-    """Sorted rows again, so cut that no list reaches over a cut."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < size:
-            continue
-        t = pa.Table.from_batches(held)
-        key, salt = np.asarray(t.column("key")), np.asarray(t.column("salt"))
-        last = len(key) - 1
-        cut = int(np.flatnonzero((key != key[last]) | (salt != salt[last]))[-1]) + 1 if ((key != key[last]) | (salt != salt[last])).any() else 0
-        if cut:
-            yield t.slice(0, cut)
-            t = t.slice(cut)
-        held, rows = t.to_batches(), t.num_rows
-    if rows:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(t: pa.Table) -> np.ndarray:
-    key, salt = np.asarray(t.column("key")), np.asarray(t.column("salt"))
-    return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(key)]])
-
-
 def _sigs(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, WIDTH)
 
@@ -209,8 +183,8 @@ def _merged(lists: DataFrame, matches: int) -> DataFrame:
     """Candidates of all lists, and a row (b null) for the centre of each block of a list of several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_list(batches):
-            doc, sig, bounds, salts = np.asarray(t.column("doc")), _sigs(t), _bounds(t), np.asarray(t.column("salts"))
+        for t, bounds in whole_groups(batches, ["key", "salt"]):
+            doc, sig, salts = np.asarray(t.column("doc")), _sigs(t), np.asarray(t.column("salts"))
             sizes = np.diff(bounds)
             found: list[np.ndarray] = []
             for g in np.unique(sizes[(sizes > 1) & (sizes <= SHORT)]).tolist():  # all lists of one size together
@@ -255,8 +229,8 @@ def _rest(lists: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
     rows = guests.withColumn("guest", F.lit(True)).unionByName(open_lists.withColumn("guest", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_list(batches):
-            doc, label, guest, sig, bounds = np.asarray(t.column("doc")), np.asarray(t.column("label")), np.asarray(t.column("guest")), _sigs(t), _bounds(t)
+        for t, bounds in whole_groups(batches, ["key", "salt"]):
+            doc, label, guest, sig = np.asarray(t.column("doc")), np.asarray(t.column("label")), np.asarray(t.column("guest")), _sigs(t)
             found = []
             for s, e in zip(bounds, bounds[1:], strict=False):
                 at = np.arange(s, e)
