@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application: they need not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_seqrank_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="seqrank-")) / "seqrank.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(Path(package.name) / file.relative_to(package)))
+    context.addPyFile(str(target))
+    context._seqrank_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Stored:
     """A DataFrame written to the shared folder and read again: its lineage is the files alone."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty, whole_groups
+from .common import map_arrow, stored, table, text_or_empty, whole_groups
 from .components import components
 
 #: Coordinates that are posted; all coordinates of a signature, of which eight bits each are kept for counting.
@@ -116,7 +116,7 @@ def _signed(df: DataFrame, width: int) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return map_arrow(df, run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def _keys(sigs: list[bytes]) -> np.ndarray:
@@ -138,7 +138,7 @@ def _sketch(classes: DataFrame) -> np.ndarray:
             part = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["bucket", "n"])
 
-    rows = classes.select("sig").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = map_arrow(classes.select("sig"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[np.asarray(got.column("bucket"))] = np.asarray(got.column("n"))
@@ -172,7 +172,7 @@ def _postings(classes: DataFrame, threshold: float) -> DataFrame:
                 [pa.array(key.astype(np.int64)), pa.array(salt), pa.array(salts.astype(np.int32)), pa.array(doc[rows]), fixed.cast(pa.binary())], ["key", "salt", "salts", "doc", "sig"]
             )
 
-    return classes.select("doc", "sig").mapInArrow(run, "key long, salt int, salts int, doc long, sig binary")
+    return map_arrow(classes.select("doc", "sig"), run, "key long, salt int, salts int, doc long, sig binary")
 
 
 def _sigs(t: pa.Table) -> np.ndarray:
@@ -213,7 +213,7 @@ def _merged(lists: DataFrame, matches: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.nulls(len(c), pa.int64()), pa.array(key[c]), pa.array(salts[c]), raw.take(pa.array(c))], ["a", "b", "key", "salts", "sig"])
 
     sort = lists.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return sort.mapInArrow(run, "a long, b long, key long, salts int, sig binary")
+    return map_arrow(sort, run, "a long, b long, key long, salts int, sig binary")
 
 
 def _rest(lists: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
@@ -242,7 +242,7 @@ def _rest(lists: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["a", "b"])
 
     sort = rows.select("key", "salt", "doc", "label", "guest", "sig").repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return sort.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(sort, run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member"), run, "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .common import stored, table, text_or_empty, tokenizer_path
+from .common import map_arrow, stored, table, text_or_empty, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
 #: Search nodes, fillings that are tried at a node, levels of waste below the room, and sizes tried in triples.
@@ -204,7 +204,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -237,7 +237,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))  # a row per task and length
     ranked = cut.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
