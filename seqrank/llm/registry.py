@@ -1,7 +1,7 @@
 """The subpackage's queries and the SQL that says the same."""
 
-from . import bpe, exact_dedup, near_dedup, nn_descent, packing, secrets
+from . import bpe, exact_dedup, near_dedup, nn_descent, packing, secrets, url_filter
 
-MODULES = (exact_dedup, bpe, packing, near_dedup, nn_descent, secrets)
+MODULES = (exact_dedup, bpe, packing, near_dedup, nn_descent, secrets, url_filter)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
