@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six white-space characters that the contracts name.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -64,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     context._seqrank_shipped = True
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with the package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
