@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, tokenizer_path
+from .common import map_arrow, table, text_or_empty, tokenizer_path
 
 #: Unicode's White_Space property, which the pattern's \s means.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -51,6 +51,33 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+class Memo(dict):
+    """Ids by segment, in two generations: what isn't used while the younger one fills up is forgotten.
+
+    A segment that it doesn't know gives None and is noted in missed.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.missed: list[str] = []
+
+    def __missing__(self, segment: str) -> bytes | None:
+        ids = self.older.get(segment)
+        if ids is None:
+            self.missed.append(segment)
+        else:
+            self[segment] = ids
+        return ids
+
+    def keep(self, learned: dict[str, bytes]) -> None:
+        self.missed = []
+        if len(self) > MEMO_SIZE:
+            self.older = dict(self)
+            self.clear()
+        self.update((s, b) for s, b in learned.items() if len(s) <= MEMO_LENGTH)
+
+
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -87,8 +114,7 @@ class ByteBPE:
         #: For a token as the left or right half of a pair: the other halves and the pairs' ranks.
         self.as_left, self.as_right = ({t: tuple(np.array(v, np.int32).T) for t, v in side.items()} for side in (left, right))
         self.scratch = np.full(len(self.bytes_of), -1, np.int32)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def merge_words(self, words: list[str]) -> tuple[bytes, list[int]]:
         """The ids of all pre-tokens in a row as little-endian 32-bit numbers, and where each one's begin (in ids).
@@ -170,34 +196,26 @@ class ByteBPE:
             known[s] = b"".join(map(known.__getitem__, found))
         return {s: known[s] for s in segments}
 
-    def looked_up(self, group: list[list]) -> dict[str, bytes]:
-        """A table that holds all segments of a group of texts; short ones stay for later groups.
-
-        The memo has two generations: what isn't used while the younger one fills up is forgotten.
-        """
-        wanted = {s for text in group for found in text if isinstance(found, list) for s in found}
-        if len(self.memo) > MEMO_SIZE:
-            self.older, self.memo = self.memo, {}
-        missing = wanted.difference(self.memo)
-        again = missing & self.older.keys()
-        self.memo.update((s, self.older[s]) for s in again)
-        learned = self.learn(list(missing - again))
-        self.memo.update((s, b) for s, b in learned.items() if len(s) <= MEMO_LENGTH)
-        long = {s: b for s, b in learned.items() if len(s) > MEMO_LENGTH}
-        return {s: self.memo[s] if s in self.memo else long[s] for s in wanted} if long else self.memo
-
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        group, size = [], 0
+        memo, group, size = self.memo, [], 0
         for k, text in enumerate(texts):
             parts = self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]
-            group.append([p if i % 2 else SEGMENT.findall(p) for i, p in enumerate(parts)])
+            found: list[bytes | None] = []
+            for i, p in enumerate(parts):
+                if i % 2:
+                    found.append(self.added_ids[p])
+                else:
+                    found += map(memo.__getitem__, SEGMENT.findall(p))
+            group.append(found)
             size += len(text)
             if size < GROUP_SIZE and k < len(texts) - 1:
                 continue
-            memo = self.looked_up(group)
-            for parts in group:
-                yield b"".join(self.added_ids[p] if isinstance(p, str) else b"".join(map(memo.__getitem__, p)) for p in parts)
+            learned = self.learn(list(set(memo.missed)))
+            filled = map(learned.__getitem__, memo.missed)
+            for found in group:
+                yield b"".join([b if b is not None else next(filled) for b in found])
+            memo.keep(learned)
             group, size = [], 0
 
     def decode(self, ids: list[int]) -> bytes:
@@ -225,7 +243,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(rows, run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -239,7 +257,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return map_arrow(rows, run, "doc_id long, text string")
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -261,7 +279,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
