@@ -1,7 +1,7 @@
 """The subpackage's queries and the SQL that says the same."""
 
-from . import bpe, exact_dedup, near_dedup, nn_descent, packing, quality, secrets, url_filter, warc
+from . import bpe, exact_dedup, near_dedup, nn_descent, packing, quality, quotes, secrets, url_filter, warc
 
-MODULES = (exact_dedup, bpe, packing, near_dedup, nn_descent, secrets, url_filter, quality, warc)
+MODULES = (exact_dedup, bpe, packing, near_dedup, nn_descent, secrets, url_filter, quality, warc, quotes)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
