@@ -12,12 +12,17 @@ rows. An empty table gives an empty result. Other columns of the input are never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLANK, table, text_or_empty
 
 
+def content_key(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.sha2(F.regexp_replace(text, f"{BLANK}+", ""), 256)
+
+
 def content_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     text = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
