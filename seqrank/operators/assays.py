@@ -19,7 +19,7 @@ def pivot_first(df: DataFrame, key: str, condition: str, value: str, order: str,
 
     only: the conditions that a key may not lack (all by default).
     """
-    columns = {v: f"{prefix}{v}" for v in values}
+    columns = {v: f"{prefix}{v}".replace(".", "_") for v in values}
     wide = df.groupBy(F.trim(F.col(key).cast("string")).alias(key)).agg(
         *(F.min_by(value, F.when((F.col(condition) == v) & F.col(value).isNotNull(), F.col(order))).alias(name) for v, name in columns.items())
     )

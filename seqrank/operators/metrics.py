@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import rank_average
+from .stats import rank_average, safe_corr
 
 
 def ndcg_top_fraction(df: DataFrame, predicted: str, truth: str, row_id: str, fraction: float = 0.1, group: list[str] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def spearman(df: DataFrame, a: str, b: str, group: list[str] | None = None) -> D
     keys = group or []
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     ranked = rank_average(rank_average(rows, a, "__ra", keys), b, "__rb", keys)
-    return ranked.groupBy(*keys).agg(F.coalesce(F.nanvl(F.corr("__ra", "__rb"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.coalesce(safe_corr(F.col("__ra"), F.col("__rb")), F.lit(0.0)).alias("rho"))
 
 
 def auc(df: DataFrame, score: str, label: str, group: list[str] | None = None) -> DataFrame:

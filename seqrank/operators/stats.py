@@ -77,10 +77,18 @@ def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.1, 0.25, 0.
     return row.select(F.explode(F.arrays_zip(F.array(*(F.lit(q) for q in at)).alias("q"), F.col("v").alias("value"))).alias("p")).select("p.q", "p.value")
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r: Pearson correlations of all pairs of columns from one aggregate."""
     names = [(a, b) for a in columns for b in columns]
-    row = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(names)))
+    row = df.agg(*(safe_corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(names)))
     cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(names)))
     return row.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.r")
 
