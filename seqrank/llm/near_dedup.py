@@ -10,7 +10,7 @@
    signature, and a pair is skipped unless it reaches the threshold. A long list is dealt over blocks by a salt; each
    block links its members to the member nearest to the block's modal signature, and the blocks' centres
    form a list of the next level. After components are known, members that are not of their list's main component
-   are held against the whole list, block by block, so the short cut loses no link.
+   are held against all that share its lists, block by block, so the short cut loses no link.
 4. Every candidate is confirmed on the full sets: candidates stream past their centre's set, and hot centres are salted.
 
 Defined results: words are runs of other characters than the six blanks, after lower-casing A-Z. A document with fewer
@@ -32,72 +32,50 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored, table, text_or_empty, whole_groups
 from .components import components
+from .hashing import mixed, spans_hash, words
 
 #: Coordinates that are posted; all coordinates of a signature, of which eight bits each are kept for counting.
 COORDS, WIDTH = 32, 64
+#: Coordinates of the longer signature, and members of a block, for what a long list's centres haven't joined.
+LONG_WIDTH, REST_BLOCK = 512, 1024
 #: Buckets of the count sketch; members of a list that are merged pair by pair; members of a block of a long list.
-SKETCH, SHORT, BLOCK = 1 << 20, 16, 4096
+SKETCH, SHORT, BLOCK = 1 << 20, 16, 1024
 #: Members that are confirmed against one copy of a centre's set.
 CONFIRM = 512
 #: Standard deviations below the expected matches at which a pair is given up.
 SLACK = 4.3
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, WIDTH, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER = [_powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 1 << 64), 1 << 16)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+#: Odd multipliers from a fixed seed: those of a signature, and those of the longer one.
+_LONG_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, LONG_WIDTH, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_MIX = _LONG_MIX[:WIDTH]
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a UTF-8 text, in order."""
+    """A 64-bit hash of each word of a UTF-8 text, in order, after lower-casing A-Z."""
     b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, _U)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(begin):
-        return np.zeros(0, _U)
-    if len(b) > len(_POWER[0]):
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWER[k] = _powers(base, 2 * len(b))
-    low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(_U) + _U(1)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(low * _POWER[0][: len(b)])])
-    return _mixed((total[end] - total[begin]) * _POWER[1][begin] + (end - begin).astype(_U))
+    begin, end = words(b)
+    return spans_hash(np.where((b >= 65) & (b <= 90), b + 32, b), begin, end) if len(begin) else np.zeros(0, _U)
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
-    words = word_hashes(text.encode("utf-8", "replace"))
-    if not len(words):
-        return words
-    n = max(1, len(words) - width + 1)
+    hashes = word_hashes(text.encode("utf-8", "replace"))
+    if not len(hashes):
+        return hashes
+    n = max(1, len(hashes) - width + 1)
     out = np.zeros(n, _U)
-    for k in range(min(width, len(words))):
-        part = words[k : k + n]
-        out = _mixed(out + part) + _U(k)
+    for k in range(min(width, len(hashes))):
+        part = hashes[k : k + n]
+        out = mixed(out + part) + _U(k)
     return np.unique(out)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, mix: np.ndarray = _MIX) -> np.ndarray:
     """The MinHash coordinates of a set, 32 bits each."""
-    least = np.full(WIDTH, 0xFFFFFFFF, _U)
-    for k in range(0, len(s), 8192):
-        np.minimum(least, ((s[None, k : k + 8192] * _MIX[:, None]) >> _U(32)).min(1), out=least)
+    least = np.full(len(mix), 0xFFFFFFFF, _U)
+    for k in range(0, len(s), 2048):
+        np.minimum(least, ((s[None, k : k + 2048] * mix[:, None]) >> _U(32)).min(1), out=least)
     return least.astype(np.uint32)
 
 
@@ -122,7 +100,7 @@ def _signed(df: DataFrame, width: int) -> DataFrame:
 def _keys(sigs: list[bytes]) -> np.ndarray:
     """A row per signature: a 64-bit key for each posted coordinate and its value."""
     values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, WIDTH)[:, :COORDS].astype(_U)
-    return _mixed((values << _U(8)) + np.arange(1, COORDS + 1, dtype=_U))
+    return mixed((values << _U(8)) + np.arange(1, COORDS + 1, dtype=_U))
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -165,7 +143,7 @@ def _postings(classes: DataFrame, threshold: float) -> DataFrame:
             shared = n > 1
             rows, key, n = rows[shared], key[shared], n[shared]
             salts = -(-n // BLOCK)
-            salt = (_mixed(doc[rows].astype(_U)) % salts.astype(_U)).astype(np.int32)
+            salt = (mixed(doc[rows].astype(_U)) % salts.astype(_U)).astype(np.int32)
             data = short[rows]
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(data), [None, pa.py_buffer(np.ascontiguousarray(data))])
             yield pa.RecordBatch.from_arrays(
@@ -216,33 +194,66 @@ def _merged(lists: DataFrame, matches: int) -> DataFrame:
     return map_arrow(sort, run, "a long, b long, key long, salts int, sig binary")
 
 
-def _rest(lists: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
-    """Pairs of a long list's members above the threshold that are in different components.
+def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of long lists that are in different components so far.
 
-    ``lists`` has the postings of long lists only. The members outside a list's main component go to each block of it.
+    ``lists`` has the postings of long lists only. Documents that share one make a family (whole lists, so no pair of a
+    list is apart), which is held against itself once, not once per list. In it, the members outside
+    the main component go to each block. A longer signature is compared first; what passes is decided on the full
+    sets, likeliest pairs first, and pairs that a link found in the block joins already are left out: only whether components meet matters.
     """
-    known = lists.join(labels, lists["doc"] == labels["id"], "left").select("key", "salt", "salts", "doc", "sig", F.coalesce("component", "doc").alias("label"))
-    sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("most.label").alias("main"))
-    open_lists = known.join(main, "key")
-    guests = open_lists.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = guests.withColumn("guest", F.lit(True)).unionByName(open_lists.withColumn("guest", F.lit(False)))
+    first = lists.groupBy("key").agg(F.min("doc").alias("b"))
+    shared = lists.join(first, "key").select(F.col("doc").alias("a"), "b")
+    family = components(shared.distinct()).select(F.col("id").alias("doc"), F.col("component").alias("family"))
+    known = family.join(labels, family["doc"] == labels["id"], "left").select("family", "doc", F.coalesce("component", "doc").alias("label"))
+    sizes = known.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("all")).filter("labels > 1")
+    main = main.select("family", F.col("most.label").alias("main"), F.ceil(F.col("all") / REST_BLOCK).cast("int").alias("salts"))
+    members = stored(known.join(main, "family").join(texts, "doc").dropDuplicates(["doc"]), "families")
+    own = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).withColumn("guest", F.lit(1))
+    guests = members.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("guest", F.lit(2))
+    matches = least_matches(LONG_WIDTH, percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in whole_groups(batches, ["key", "salt"]):
-            doc, label, guest, sig = np.asarray(t.column("doc")), np.asarray(t.column("label")), np.asarray(t.column("guest")), _sigs(t)
-            found = []
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                at = np.arange(s, e)
-                own = at[~guest[at]]
-                for x in at[guest[at]].tolist():
-                    y = own[(label[own] != label[x]) & ((sig[own] == sig[x]).sum(1) >= matches)]
-                    found.append(np.stack([np.full(len(y), x), y]))
-            a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["a", "b"])
+        at, docs, marks, sets, sigs, joined = None, [], [], [], [], {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for family_id, salt, guest, doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family_id, salt) != at:
+                    at, docs, marks, sets, sigs, joined = (family_id, salt), [], [], [], [], {}
+                s = shingle_set(text, width)
+                sig = signature(s, _LONG_MIX).astype(np.uint8)
+                if guest == 1:
+                    docs.append(doc)
+                    marks.append(label)
+                    sets.append(s)
+                    sigs.append(sig)
+                    continue
+                if isinstance(sigs, list):
+                    sigs = np.array(sigs, np.uint8).reshape(-1, LONG_WIDTH)
+                if not len(sigs):
+                    continue
+                same = (sigs == sig).sum(1)
+                near = np.flatnonzero(same >= matches)
+                for i in near[np.argsort(-same[near], kind="stable")].tolist():
+                    if docs[i] == doc or root(marks[i]) == root(label):
+                        continue
+                    both = len(np.intersect1d(s, sets[i], assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(sets[i]) - both):
+                        links.append((docs[i], doc))
+                        x, y = root(marks[i]), root(label)
+                        joined[max(x, y)] = min(x, y)
+            cols = list(zip(*links, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    sort = rows.select("key", "salt", "doc", "label", "guest", "sig").repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return map_arrow(sort, run, "a long, b long").distinct()
+    rows = own.unionByName(guests).select("family", "salt", "guest", "doc", "label", "text")
+    return map_arrow(rows.repartition("family", "salt").sortWithinPartitions("family", "salt", "guest"), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -298,10 +309,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     links = stored(_confirmed(pairs, texts, width, percent), "confirmed")
     found = stored(components(links), "components")
     long = lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHORT).select("key")
-    more = stored(_rest(lists.join(long, "key"), found, matches), "rest")
+    more = stored(_rest(lists.join(long, "key").select("key", "doc"), found, texts, width, percent), "rest")
     if not more.isEmpty():
-        links = links.union(stored(_confirmed(more, texts, width, percent), "confirmed"))
-        found = stored(components(links), "components")
+        found = stored(components(links.union(more)), "components")
     named = by_set.join(found, by_set["doc"] == found["id"], "left").select("digest", F.coalesce("component", "doc").alias("root"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
