@@ -71,6 +71,25 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+#: Bits of an id bitmap.
+BITMAP = 1 << 22
+
+
+def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among ``ids`` (one column), and those whose id surely isn't, without a shuffle.
+
+    A bitmap of 2^22 hashed ids is sent about: 65,536 words at most, whatever the corpus. When it fills up it only
+    splits less well: what may be among them still has to be joined.
+    """
+    name = f"`{ids.columns[0]}`"
+    at = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(BITMAP))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("__bits"))
+    place = f"pmod(xxhash64(cast(`{id_col}` AS long)), {BITMAP})"
+    hit = F.expr(f"shiftright({place}, 6) = __word AND (shiftright(__bits, int({place} & 63)) & 1L) = 1L")
+    words = F.broadcast(words)
+    return df.join(words, hit, "left_semi"), df.join(words, hit, "left_anti")
+
+
 class Stored:
     """A DataFrame written to the shared folder and read again: its lineage is the files alone."""
 

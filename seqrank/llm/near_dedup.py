@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, table, text_or_empty, whole_groups
+from .common import map_arrow, split_by_ids, stored, table, text_or_empty, whole_groups
 from .components import components
 from .hashing import mixed, spans_hash, words
 
@@ -209,7 +209,8 @@ def _rest(lists: DataFrame, labels: DataFrame, texts: DataFrame, width: int, per
     sizes = known.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("all")).filter("labels > 1")
     main = main.select("family", F.col("most.label").alias("main"), F.ceil(F.col("all") / REST_BLOCK).cast("int").alias("salts"))
-    members = stored(known.join(main, "family").join(texts, "doc").dropDuplicates(["doc"]), "families")
+    opened = stored(known.join(main, "family"), "open")
+    members = stored(split_by_ids(texts, "doc", opened.select("doc"))[0].join(opened, "doc").dropDuplicates(["doc"]), "families")
     own = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).withColumn("guest", F.lit(1))
     guests = members.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("guest", F.lit(2))
     matches = least_matches(LONG_WIDTH, percent / 100)
@@ -261,7 +262,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CONFIRM)).cast("int").alias("salt"))
     need = salted.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("member")).union(salted.select(F.col("a").alias("doc"), "a", "salt", F.lit(0)).distinct())
-    rows = texts.join(need, "doc").select("a", "salt", "member", "doc", "text")
+    need = stored(need, "need")
+    rows = split_by_ids(texts, "doc", need.select("doc"))[0].join(need, "doc").select("a", "salt", "member", "doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
