@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import rank_average, safe_corr
+from .stats import rank_average, running_before, safe_corr
 
 
 def ndcg_top_fraction(df: DataFrame, predicted: str, truth: str, row_id: str, fraction: float = 0.1, group: list[str] | None = None) -> DataFrame:
@@ -14,16 +14,18 @@ def ndcg_top_fraction(df: DataFrame, predicted: str, truth: str, row_id: str, fr
     Gains are the truth scaled to [0, 1]; a constant truth gives 0. Ties go to the later row id. Null rows are left out.
     """
     keys = group or []
-    part = keys or [F.lit(0)]
     rows = df.filter(F.col(predicted).isNotNull() & F.col(truth).isNotNull()).select(*keys, F.col(predicted).alias("p"), F.col(truth).alias("t"), F.col(row_id).alias("r"))
     stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
     stats = stats.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * fraction)).cast("long"))
-    joined = rows.join(F.broadcast(stats), keys) if keys else rows.crossJoin(F.broadcast(stats))
+    joined = rows.join(stats, keys) if keys else rows.crossJoin(F.broadcast(stats))  # one row without groups
     gain = F.when(F.col("hi") > F.col("lo"), (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
 
     def sums(by: str, to: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(by), F.desc("r")))
-        top = joined.select(*keys, "k", gain.alias("g"), place.alias("place")).filter("place <= k")
+        if keys:
+            placed = joined.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), F.desc("r"))))
+        else:
+            placed = running_before(joined, [F.desc(by), F.desc("r")], F.lit(1), "place").withColumn("place", F.col("place") + 1)
+        top = placed.select(*keys, "k", gain.alias("g"), "place").filter("place <= k")
         return top.groupBy(*keys).agg(F.sum(F.col("g") / F.log2(F.col("place") + 1.0)).alias(to))
 
     dcg, ideal = sums("p", "dcg"), sums("t", "idcg")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import stored
 
 
 def _attach(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -117,10 +118,29 @@ def checked_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def running_before(df: DataFrame, order: list[Column], value: Column, to: str) -> DataFrame:
+    """The sum of ``value`` over all rows before a row in a total order, without any task that holds all rows.
+
+    Rows are dealt by ranges of the order; a row's sum is that within its range plus the totals of the ranges before.
+    """
+    ranged = df.withColumn("__v", value).repartitionByRange(*order)
+    placed = stored(ranged.withColumn("__part", F.spark_partition_id()), "ranged")  # the same ranges for both uses
+    within = F.sum("__v").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = placed.groupBy(F.col("__part").alias("__q")).agg(F.sum("__v").alias("__t"))
+    later = totals.select(F.col("__q").alias("__r"))
+    offsets = later.join(totals, F.col("__q") < F.col("__r"), "left").groupBy("__r").agg(F.coalesce(F.sum("__t"), F.lit(0)).alias("__o"))  # a row per range
+    out = placed.withColumn("__w", F.coalesce(within, F.lit(0))).join(F.broadcast(offsets), F.col("__part") == F.col("__r"))
+    return out.withColumn(to, F.col("__w") + F.col("__o")).drop("__v", "__part", "__w", "__r", "__o")
+
+
 def rank_average(df: DataFrame, column: str, to: str, group: list[str] | None = None) -> DataFrame:
-    """Average ranks (ties share theirs). Values are aggregated first, so the window runs over distinct values."""
+    """Average ranks (ties share theirs). Values are aggregated first, so what is ordered are distinct values."""
     keys = group or []
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(to, F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    if keys:
+        below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("__b", F.coalesce(below, F.lit(0)))
+    else:
+        counts = running_before(counts, [F.col(column)], F.col("__n"), "__b")
+    ranks = counts.withColumn(to, F.col("__b") + (F.col("__n") + 1) / 2).drop("__n", "__b")
     return df.join(ranks, [*keys, column])

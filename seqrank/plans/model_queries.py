@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import kmers, residues, vectors
 from ..operators import clusters, embeddings, folds, metrics, models, wild_types
-from ..operators.stats import centered, robust_z
+from ..operators.stats import centered, robust_z, running_before
 from ..session import stored
 from . import scores
 from .catalogue import CHARS, COUNTS, SEQS, Catalogue, charge_sql, kmers_sql, r6, sequences, table, weighted
@@ -285,8 +285,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     z = robust_z(rows, ["c_gravy", "c_charge", "c_pg"], "z_")
     scored = z.select("doc_id", F.round(0.55 * F.col("z_c_gravy") - 0.75 * F.abs("z_c_charge") + 0.15 * F.col("z_c_pg"), 6).alias("score"))
     k = max(1, int(rows.count() * 0.1))
-    top = scored.orderBy(F.desc("score"), "doc_id").limit(k)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
+    placed = running_before(scored, [F.desc("score"), F.col("doc_id")], F.lit(1), "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("long")).filter(F.col("place") <= k)
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import stored
+from ..operators.stats import running_before
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -59,13 +59,8 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
 def synthetic_ids(df: DataFrame, order: str, to: str = "sample_id", prefix: str = "test_", digits: int = 5) -> DataFrame:
     """Ids prefix00000, prefix00001, ... in the order of a column.
 
-    The rank of a row is its rank in its range partition plus the rows of those before it, so no task holds all rows.
+    Rows are ranked by ranges of the order, so no task holds all of them.
     """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.monotonically_increasing_id())
-    part, nth = F.shiftright("__p", 33), F.col("__p").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = stored(ranged.withColumns({"__part": part, "__nth": nth}), "ranked")  # the same partitions for both uses
-    sizes = placed.groupBy(F.col("__part").alias("__q")).agg(F.count("*").alias("__n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__q") < F.col("a.__q"), "left").groupBy("a.__q").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))  # a row per partition
-    number = (F.col("__nth") + F.col("__before")).cast("string")
-    named = placed.join(F.broadcast(before), F.col("__part") == F.col("__q")).withColumn(to, F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number)))
-    return named.drop("__p", "__part", "__nth", "__q", "__before")
+    number = F.col("__place").cast("string")
+    named = F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
+    return running_before(df, [F.col(order)], F.lit(1), "__place").withColumn(to, named).drop("__place")
