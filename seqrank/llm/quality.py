@@ -31,7 +31,7 @@ from .hashing import U, mixed, runs, spans_hash
 #: Hashed n-gram buckets; labelled good documents that fit the target; weight of the raw model in the target's smoothing.
 BUCKETS, TARGET_ROWS, SMOOTH = 1 << 16, 50_000, 0.05
 #: Standard errors above the labelled share of good documents, and what is added to it, for k.
-MARGIN, SLACK = 3.0, 0.005
+MARGIN, SLACK = 2.0, 0.002
 
 
 def grams(raw: bytes) -> np.ndarray:
