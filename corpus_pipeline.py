@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrank.llm.common import stored, table, text_or_empty
+from seqrank.llm.common import split_by_ids, stored, table
 from seqrank.llm.exact_dedup import content_groups, content_key
 from seqrank.llm.near_dedup import near_groups
 from seqrank.llm.packing import pack
@@ -26,17 +26,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one that stays."""
-    dropped = content_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    dropped = stored(dropped.distinct(), "dropped")  # its size is known then: texts are shuffled only if it is too large to send about
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (content_key(text_or_empty("text")) == F.col("__sha"))
-    return docs.join(dropped, same, "left_anti")
+    dropped = stored(content_groups(docs).filter("not kept").select("doc_id", "text_sha256").distinct(), "dropped")
+    some, rest = split_by_ids(docs, "doc_id", dropped.select("doc_id"))  # only texts that may go are joined
+    key = content_key(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (key == F.col("x.text_sha256"))
+    return some.alias("d").join(dropped.alias("x"), same, "left_anti").union(rest)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    dropped = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("__id"))
-    dropped = stored(dropped.distinct(), "dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    dropped = stored(near_groups(docs).filter("not kept").select("doc_id").distinct(), "dropped")
+    some, rest = split_by_ids(docs, "doc_id", dropped)
+    return some.alias("d").join(dropped.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left_anti").union(rest)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

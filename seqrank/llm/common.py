@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir, ship
+
 #: The six white-space characters that the contracts name.
 BLANK = "[\\x20\\x09-\\x0D]"
 
@@ -27,20 +26,6 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests in local mode) a temporary one is made, and kept in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("seqrank.work.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="seqrank-")
-        spark.conf.set("seqrank.work.dir", base)
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqrank/{name}-{uuid.uuid4().hex}"
 
@@ -51,20 +36,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once per application: they need not have it on their path."""
-    context = spark.sparkContext
-    if getattr(context, "_seqrank_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="seqrank-")) / "seqrank.zip"  # the driver serves it to the executors
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(package.rglob("*.py")):
-            archive.write(file, str(Path(package.name) / file.relative_to(package)))
-    context.addPyFile(str(target))
-    context._seqrank_shipped = True
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with the package at hand in the workers."""
     ship(df.sparkSession)
@@ -81,13 +52,12 @@ def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame,
     A bitmap of 2^22 hashed ids is sent about: 65,536 words at most, whatever the corpus. When it fills up it only
     splits less well: what may be among them still has to be joined.
     """
-    name = f"`{ids.columns[0]}`"
-    at = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(BITMAP))
-    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("__bits"))
-    place = f"pmod(xxhash64(cast(`{id_col}` AS long)), {BITMAP})"
-    hit = F.expr(f"shiftright({place}, 6) = __word AND (shiftright(__bits, int({place} & 63)) & 1L) = 1L")
-    words = F.broadcast(words)
-    return df.join(words, hit, "left_semi"), df.join(words, hit, "left_anti")
+    at = F.pmod(F.xxhash64(F.col(f"`{ids.columns[0]}`").cast("long")), F.lit(BITMAP))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
+    place = f"pmod(xxhash64(cast(_rows.`{id_col}` AS long)), {BITMAP})"
+    hit = F.expr(f"shiftright({place}, 6) = _ids.word AND (shiftright(_ids.bits, int({place} & 63)) & 1L) = 1L")
+    rows, words = df.alias("_rows"), F.broadcast(words).alias("_ids")
+    return rows.join(words, hit, "left_semi"), rows.join(words, hit, "left_anti")
 
 
 class Stored:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import split_by_ids, stored, table, text_or_empty
 
 #: The contract's patterns. A run of characters that is too short holds no match that is long enough,
 #: so access and hex ask for the length at once; an assignment that is too short is matched, and dropped afterwards.
@@ -124,20 +124,22 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     A text without spans, null texts included, is left as it is. Overlapping spans are replaced as one.
     """
     found = scanned(df, id_col, text_col).filter(F.size("every") > 0)
-    found = found.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "every")
+    found = stored(found.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "every"), "spans")
+    some, rest = split_by_ids(df, id_col, found.select("doc_id"))  # only texts that may have a span are joined
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(f"__d.{text_col}").cast("string")
+    text = F.col(f"_d.`{text_col}`").cast("string")
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
         kept = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), kept.alias("out"))
 
-    new = F.aggregate(F.array_sort("every"), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    same = F.col(f"__d.{id_col}").eqNullSafe(F.col("__i")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("__h"))
-    rows = df.alias("__d").join(found, same, "left")
-    cols = [F.when(F.col("every").isNull(), F.col(f"__d.{c}")).otherwise(new).alias(c) if c == text_col else F.col(f"__d.`{c}`") for c in df.columns]
-    return rows.select(cols)
+    every = F.col("_s.every")
+    new = F.aggregate(F.array_sort(every), start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    same = F.col(f"_d.`{id_col}`").cast("long").eqNullSafe(F.col("_s.doc_id").cast("long")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("_s.h"))
+    rows = some.alias("_d").join(found.alias("_s"), same, "left")
+    cols = [F.when(every.isNull(), text).otherwise(new).alias(c) if c == text_col else F.col(f"_d.`{c}`") for c in df.columns]
+    return rows.select(cols).union(rest)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
