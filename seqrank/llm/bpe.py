@@ -41,7 +41,7 @@ LATIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+
 WIDE = re.compile("[^\\x00-\\xff]")
 WORD = re.compile(f" ?[{LETTER}]+")
 #: Segments that each generation of a worker's memo holds, the longest that it holds, and characters merged at once.
-MEMO_SIZE, MEMO_LENGTH, GROUP_SIZE = 500_000, 64, 1 << 22
+MEMO_SIZE, MEMO_LENGTH, GROUP_SIZE = 300_000, 64, 1 << 21
 
 
 def byte_symbols() -> list[str]:
@@ -89,11 +89,10 @@ class ByteBPE:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.by_rank, born = [], {}
         for rank, (a, b) in enumerate(pairs):
-            x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if max(born.get(x, -1), born.get(y, -1)) >= rank or z in born:
-                raise ValueError(f"merge {rank} uses a token that isn't made before it, or makes one twice")
-            born[z] = rank
-            self.by_rank.append((x, y, z))
+            self.by_rank.append((vocab[a], vocab[b], vocab[a + b]))
+            born.setdefault(vocab[a + b], rank)
+        if len(born) < len(self.by_rank) or any(max(born.get(x, -1), born.get(y, -1)) >= rank for rank, (x, y, _) in enumerate(self.by_rank)):
+            raise ValueError("a merge uses a token that isn't made before it, or two make the same: ranks can't be applied in order")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.added.values()]))

@@ -36,9 +36,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+#: Rows of an Arrow batch.
+BATCH = 2000
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with the package at hand in the workers."""
-    ship(df.sparkSession)
+    """mapInArrow with the package at hand in the workers, and batches of fewer rows where the session has the default.
+
+    Rows are whole texts here: BATCH of them are what a worker and Spark's buffers hold at once.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return df.mapInArrow(run, schema)
 
 
