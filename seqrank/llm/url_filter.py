@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -62,7 +62,7 @@ def shape_of(path: Column) -> Column:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template, purity. shapes: host, shape, n, known, blocked (a row per host and shape)."""
-    now = shapes.withColumn("template", F.lit(""))
+    now = stored(shapes.withColumn("template", F.lit("")), "shapes")
     stats = ("n", "known", "blocked")
     for d in range(1, DEPTH + 1):
         at = now.withColumn("segment", F.try_element_at("shape", F.lit(d)))
@@ -78,9 +78,9 @@ def templates(shapes: DataFrame) -> DataFrame:
         alike = rare | ((F.col("fan") > 1) & (rest_known > 0) & (gap <= APART * error))
         name = F.when((F.col("known") == 0) & (F.col("fan") > 1), F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment"))
         named = both.select("host", "template", "segment", name.alias("name"))
-        now = at.join(named, ["host", "template", "segment"], "left").select(
-            "host", "shape", *stats, F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")
-        )
+        template = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")
+        # a level uses the one before it three times: written, each is made once, and plans stay small
+        now = stored(at.join(named, ["host", "template", "segment"], "left").select("host", "shape", *stats, template), "level")
     ended = F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/**"))).when(F.size("shape") == 0, F.lit("/")).otherwise(F.col("template"))
     now = now.withColumn("template", ended)
     sums = now.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"))
