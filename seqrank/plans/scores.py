@@ -13,6 +13,7 @@ from ..functions import kinetics, motifs, residues
 from ..functions.strings import length_penalty
 from ..operators.stats import centered, clipped, finite_or, mode_smallest, robust_z, zscore
 from ..schema import col_or_lit, require_columns
+from ..session import stored
 
 
 def _sum(weights: dict[str, float]) -> Column:
@@ -77,6 +78,7 @@ def cluster_aware(df: DataFrame, sequence: str = "sequence", cluster: str = "clu
         middle = rows.agg(F.median("delta_emb").alias("__md"))
         rows = rows.crossJoin(F.broadcast(middle)).withColumn("delta_emb", F.coalesce("delta_emb", "__md")).drop("__md")
         inputs.append("delta_emb")
+    rows = stored(rows, "features")  # scaling reads them several times; the features are made once
     rows = centered(rows, inputs, cluster, "__k_")
     rows = robust_z(rows, [f"__k_{c}" for c in inputs], "__z_")
     rows = rows.withColumns({f"c_{c}": F.col(f"__z___k_{c}") for c in inputs})
