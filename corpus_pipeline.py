@@ -52,7 +52,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and offsets."""
-    return pack(docs)
+    return pack(docs, memo_size=150_000)  # the workers live through all stages: a smaller memo leaves them room
 
 
 STAGES = [

@@ -41,7 +41,7 @@ LATIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+
 WIDE = re.compile("[^\\x00-\\xff]")
 WORD = re.compile(f" ?[{LETTER}]+")
 #: Segments that each generation of a worker's memo holds, the longest that it holds, and characters merged at once.
-MEMO_SIZE, MEMO_LENGTH, GROUP_SIZE = 300_000, 64, 1 << 21
+MEMO_SIZE, MEMO_LENGTH, GROUP_SIZE = 500_000, 64, 1 << 23
 
 
 def byte_symbols() -> list[str]:
@@ -57,8 +57,9 @@ class Memo(dict):
     A segment that it doesn't know gives None and is noted in missed.
     """
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
+        self.size = size
         self.older: dict[str, bytes] = {}
         self.missed: list[str] = []
 
@@ -72,14 +73,14 @@ class Memo(dict):
 
     def keep(self, learned: dict[str, bytes]) -> None:
         self.missed = []
-        if len(self) > MEMO_SIZE:
+        if len(self) > self.size:
             self.older = dict(self)
             self.clear()
         self.update((s, b) for s, b in learned.items() if len(s) <= MEMO_LENGTH)
 
 
 class ByteBPE:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_size: int = MEMO_SIZE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -113,7 +114,7 @@ class ByteBPE:
         #: For a token as the left or right half of a pair: the other halves and the pairs' ranks.
         self.as_left, self.as_right = ({t: tuple(np.array(v, np.int32).T) for t, v in side.items()} for side in (left, right))
         self.scratch = np.full(len(self.bytes_of), -1, np.int32)
-        self.memo = Memo()
+        self.memo = Memo(memo_size)
 
     def merge_words(self, words: list[str]) -> tuple[bytes, list[int]]:
         """The ids of all pre-tokens in a row as little-endian 32-bit numbers, and where each one's begin (in ids).
@@ -224,10 +225,11 @@ class ByteBPE:
 _coders: dict[str, ByteBPE] = {}
 
 
-def coder(path: str) -> ByteBPE:
-    """One coder per worker process and vocabulary."""
+def coder(path: str, memo_size: int = MEMO_SIZE) -> ByteBPE:
+    """One coder per worker process and vocabulary; its memo has the size that was asked for last."""
     if path not in _coders:
         _coders[path] = ByteBPE(path)
+    _coders[path].memo.size = memo_size
     return _coders[path]
 
 

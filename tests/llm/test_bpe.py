@@ -35,12 +35,12 @@ def test_ids_that_are_no_text_decode_as_the_library_does(spark):
     assert {r["doc_id"]: r["text"] for r in decode(df).collect()} == {k: library.decode(x, skip_special_tokens=False) for k, x in enumerate(lists)}
 
 
-def test_memo_is_bounded_and_forgets_nothing_in_use(monkeypatch):
-    monkeypatch.setattr("seqrank.llm.bpe.MEMO_SIZE", 20)
-    bpe, library = ByteBPE(PATH), Tokenizer.from_file(PATH)
+def test_memo_is_bounded_and_forgets_nothing_in_use():
+    bpe, library = ByteBPE(PATH, 20), Tokenizer.from_file(PATH)
     for t in cases()[:200]:
         (raw,) = bpe.encode_batch([t])
         assert len(raw) // 4 == len(library.encode(t, add_special_tokens=False).ids)
+        assert len(bpe.memo) <= 20 + len(t) + 1
 
 
 def test_query_over_a_table(spark, tmp_path):
