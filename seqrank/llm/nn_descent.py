@@ -6,9 +6,10 @@ with each other (neighbours of neighbours); what beats the end of a list enters
 threshold is saturated and is doubled. The rounds end when few lists change. Then a fixed number of vectors is held
 against all rows (the audit); while the share of their links that the graph has is too low, lists are doubled and rounds go on.
 
-Edges at the threshold or above make the components. A saturated vector's links are all in its component, so the
-counts are finished there: each component is read in blocks, against which its members stream. No pairs are written
-for that, and a component of any size needs the memory of a block.
+Edges at the threshold or above make components, most of them whole. Lists are bounded, so links may be missing, those
+between two groups that fill each other's lists among them: every two vectors of a label are therefore held against each
+other at the end, in pairs of blocks. That counts all links, and joins components that a link lies between. No pairs of
+vectors are written for that; its work grows with the square of a label's distinct vectors, in tasks of two blocks.
 
 Defined results: a vector that is null, of zero length, or holds null or non-finite numbers, or has no label, links with
 nothing, as do vectors of unlike dimension. Rows repeated with an id count as one vector. A row without an id stands alone;
@@ -31,8 +32,8 @@ from .components import components
 LIST, LONGEST, TREES, LEAF, LEAF_MOST = 10, 40, 4, 96, 512
 #: Rounds at most before an audit, share of lists that must change for another, vectors audited, share of links wanted.
 ROUNDS, CHANGED, AUDITED, WANTED = 4, 0.02, 400, 0.98
-#: Vectors of a component that are held in memory at once.
-BLOCK = 512
+#: Vectors of a label in a block, on average: two blocks are held in memory at once.
+BLOCK = 2048
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -193,41 +194,59 @@ def neighbour_graph(classes: DataFrame, threshold: float) -> DataFrame:
     return graph
 
 
-def _counted(members: DataFrame, threshold: float) -> DataFrame:
-    """id and links: the weight of other classes of its component at the threshold or above. members: root, id, label, vec, weight."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    known = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    held = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
-    asks = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1))
-    cols = ["root", "block", "asks", "id", "weight", "vec"]
+def _joining(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs of components, as few as join the same ones."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for x, y in np.unique(np.stack([a, b], 1), axis=0).tolist():
+        if (r := root(x)) != (q := root(y)):
+            parent[r] = q
+            out.append((x, y))
+    return out
+
+
+def _finished(members: DataFrame, threshold: float) -> DataFrame:
+    """Every two vectors of a label held against each other, in pairs of blocks. members: root, id, label, vec, weight.
+
+    id, links, other: the weight of other classes at the threshold or above (links, to be summed by id), or two roots that a link joins (id and other).
+    """
+    sizes = members.groupBy("label").agg(F.count("*").alias("n"))
+    known = members.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    known = known.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = known.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["label", "p", "q"]
+    rows = dealt.select("label", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "id", "root", "weight", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, weights, block = None, [], [], []
-        matrix = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            root, blk, ask = (np.asarray(t.column(c)) for c in ("root", "block", "asks"))
-            id_, weight, raw = np.asarray(t.column("id")), np.asarray(t.column("weight")), t.column("vec").to_pylist()
-            cuts = np.concatenate([[0], np.flatnonzero((root[1:] != root[:-1]) | (blk[1:] != blk[:-1]) | (ask[1:] != ask[:-1])) + 1, [len(root)]]) if len(root) else np.zeros(1, int)
-            out_id, out_n = [], []
-            for s, e in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                if (root[s], blk[s]) != at:
-                    at, ids, weights, block, matrix = (root[s], blk[s]), [], [], [], None
-                if not ask[s]:
-                    ids, weights, block, matrix = [*ids, *id_[s:e]], [*weights, *weight[s:e]], [*block, *raw[s:e]], None
-                    continue
-                if not ids:
+        for t, bounds in whole_groups(batches, keys, 1 << 12):
+            p, q, block, ids, root, weight = (np.asarray(t.column(c)) for c in ("p", "q", "block", "id", "root", "weight"))
+            raw = t.column("vec").to_pylist()
+            for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                a, b = s + np.flatnonzero(block[s:e] == p[s]), s + np.flatnonzero(block[s:e] == q[s])
+                if not len(a) or not len(b):
                     continue
-                if matrix is None:
-                    matrix, id_row, w = _unit(block), np.array(ids), np.array(weights)
-                hit = (_unit(raw[s:e]) @ matrix.T >= threshold) & (id_[s:e, None] != id_row[None, :])
-                out_id.append(id_[s:e])
-                out_n.append((hit * w).sum(1))
-            cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (out_id, out_n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "links"])
-
-    rows = held.select(cols).union(asks.select(cols)).repartition("root", "block").sortWithinPartitions("root", "block", "asks")
-    return map_arrow(rows, run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+                x = _unit([raw[i] for i in a])
+                hit = x @ (x if p[s] == q[s] else _unit([raw[i] for i in b])).T >= threshold
+                if p[s] == q[s]:
+                    np.fill_diagonal(hit, False)
+                found = [(ids[a], (hit * weight[b]).sum(1))]
+                if p[s] != q[s]:
+                    found.append((ids[b], (hit * weight[a][:, None]).sum(0)))
+                u, v = np.nonzero(hit & (root[a][:, None] != root[b]))
+                joins = _joining(root[a][u], root[b][v])
+                one, links = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
+                one, links = one[links > 0], links[links > 0]
+                none = [None] * len(joins)
+                cols = [[*one.tolist(), *(x for x, _ in joins)], [*links.tolist(), *none], [*[None] * len(one), *(y for _, y in joins)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "links", "other"])
+
+    return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), run, "id long, links long, other long")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -241,10 +260,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     graph = neighbour_graph(classes.select("id", "label", "vec"), threshold)
     links = graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
     found = stored(components(links), "components")
-    members = classes.join(found, "id").select(F.col("component").alias("root"), "id", "label", "vec", "weight")
-    counted = _counted(members, threshold)
-    named = classes.select("digest", "id", "weight").join(found, "id", "left").join(counted, "id", "left")
-    named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
+    members = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("root"), "id", "label", "vec", "weight")
+    finished = stored(_finished(members, threshold), "finished")
+    counted = finished.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+    joined = components(finished.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    joined = joined.select(F.col("id").alias("part"), F.col("component").alias("whole"))
+    named = members.select("id", "root").join(joined, F.col("root") == F.col("part"), "left").select("id", F.coalesce("whole", "root").alias("root"))
+    named = classes.select("digest", "id", "weight").join(named, "id").join(counted, "id", "left")
+    named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), "root")
     out = rows.select("vec_id", "digest").join(named, "digest", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -64,3 +64,18 @@ def test_empty_tables_and_lone_vectors(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
     one = near_vectors(spark.createDataFrame([(7, [1.0, 2.0], 1, "", "", 0)], SCHEMA)).collect()
     assert [tuple(r) for r in one] == [(7, 0, 7, True)]
+
+
+def groups(spark, rows):
+    """Rows in order as vectors of one label; their links and components, and those by brute force."""
+    data = [(i, [float(x) for x in v.astype(np.float32)], 1, "", "", 0) for i, v in enumerate(rows)]
+    got = near_vectors(spark.createDataFrame(data, SCHEMA)).collect()
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}, brute(data)
+
+
+def test_groups_that_fill_each_others_lists_are_linked(spark):
+    rng = np.random.default_rng(2)
+    a, b = np.eye(16)[:2]
+    centres = a, 0.945 * a + np.sqrt(1 - 0.945**2) * b
+    got, want = groups(spark, [c + 0.002 * rng.normal(size=16) for c in centres for _ in range(60)])
+    assert got == want and set(want.values()) == {(119, 0)}
