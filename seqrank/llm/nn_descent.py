@@ -3,13 +3,13 @@
 Equal vectors become one class first. A neighbour list is kept for every class: it begins with the nearest of a few
 random-hyperplane blocks, and each round joins, around every vector, its neighbours and a sample of those that list it
 with each other (neighbours of neighbours); what beats the end of a list enters it. A list whose every entry reaches the
-threshold is saturated and is doubled. The rounds end when few lists change. Then a fixed number of vectors is held
-against all rows (the audit); while the share of their links that the graph has is too low, lists are doubled and rounds go on.
+threshold is saturated and is doubled. The rounds end when few lists change, or after ROUNDS.
 
-Edges at the threshold or above make components, most of them whole. Lists are bounded, so links may be missing, those
-between two groups that fill each other's lists among them: every two vectors of a label are therefore held against each
-other at the end, in pairs of blocks. That counts all links, and joins components that a link lies between. No pairs of
-vectors are written for that; its work grows with the square of a label's distinct vectors, in tasks of two blocks.
+Edges at the threshold or above make components, most of them whole. Lists and rounds are bounded, so links may be missing:
+those between two groups that fill their own lists, or of pairs that no block held together. No sample vouches for
+such pairs, so every two vectors of a label are held against each other at the end, in pairs of blocks. That counts all
+links, and joins components that a link lies between. No pairs of vectors are written for that; its work grows with
+the square of a label's distinct vectors, in tasks of two blocks.
 
 Defined results: a vector that is null, of zero length, or holds null or non-finite numbers, or has no label, links with
 nothing, as do vectors of unlike dimension. Rows repeated with an id count as one vector. A row without an id stands alone;
@@ -30,10 +30,10 @@ from .components import components
 
 #: Length of a list at first and at most, blocks per vector to begin with, vectors in such a block on average and at most.
 LIST, LONGEST, TREES, LEAF, LEAF_MOST = 10, 40, 4, 96, 512
-#: Rounds at most before an audit, share of lists that must change for another, vectors audited, share of links wanted.
-ROUNDS, CHANGED, AUDITED, WANTED = 4, 0.02, 400, 0.98
-#: Vectors of a label in a block, on average: two blocks are held in memory at once.
-BLOCK = 2048
+#: Rounds at most, and the share of lists that must change for another.
+ROUNDS, CHANGED = 4, 0.02
+#: Vectors of a label in a block, on average: two blocks are held in memory at once. Rows of a block that meet the other at once.
+BLOCK, TILE = 2048, 256
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -150,53 +150,19 @@ def _round(graph: DataFrame, classes: DataFrame, threshold: float, size: int, se
     return merged.df, changed / total
 
 
-def _audit(graph: DataFrame, classes: DataFrame, threshold: float) -> float:
-    """The share of links of up to AUDITED vectors, found against all rows, that the graph has (either way round)."""
-    sample = classes.orderBy(F.xxhash64("id", F.lit(7))).limit(AUDITED).select("id", "label", "vec").toArrow()  # a fixed number of rows
-    ids, labels, raw = np.asarray(sample.column("id")), np.asarray(sample.column("label")), sample.column("vec").to_pylist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, own_label, own_raw = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
-            found = []
-            for dim in {len(x) for x in own_raw} & {len(x) for x in raw}:
-                a = np.flatnonzero([len(x) == dim for x in own_raw])
-                b = np.flatnonzero([len(x) == dim for x in raw])
-                sim = _unit([own_raw[i] for i in a]) @ _unit([raw[i] for i in b]).T
-                x, y = np.nonzero((sim >= threshold) & (own_label[a][:, None] == labels[b]) & (own[a][:, None] != ids[b]))
-                found.append((ids[b][y], own[a][x]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["v", "u"])
-
-    truth = map_arrow(classes.select("id", "label", "vec"), run, "v long, u long")
-    both = graph.filter(F.col("sim") >= threshold).select("v", "u")
-    both = both.union(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    full = graph.groupBy("v").agg((F.min("sim") >= threshold).alias("full"))  # a saturated list's links are finished in its component
-    seen = truth.join(both.withColumn("hit", F.lit(1)), ["v", "u"], "left").join(full, "v", "left")
-    hit = F.sum(F.when(F.col("full") | F.col("hit").isNotNull(), 1).otherwise(0))
-    got = seen.agg(F.count("*").alias("n"), hit.alias("hit")).first()
-    return got["hit"] / got["n"] if got["n"] else 1.0
-
-
 def neighbour_graph(classes: DataFrame, threshold: float) -> DataFrame:
     """v, u, sim: the refined lists of a table of classes (id, label, vec)."""
     first = _codes(classes).join(classes.withColumn("bound", F.lit(-1.5)), "id").select("block", "salt", "id", "label", "vec", "bound")
-    size = LIST
-    graph = stored(_trimmed(_near(first, ["block", "salt"]), None, size), "graph")
-    for attempt in range(3):
-        for k in range(ROUNDS):
-            graph, changed = _round(graph, classes, threshold, size, 10 * attempt + k)
-            if changed < CHANGED:
-                break
-        if _audit(graph, classes, threshold) >= WANTED:
+    graph = stored(_trimmed(_near(first, ["block", "salt"]), None, LIST), "graph")
+    for k in range(ROUNDS):
+        graph, changed = _round(graph, classes, threshold, LIST, k)
+        if changed < CHANGED:
             break
-        size = min(LONGEST, 2 * size)
     return graph
 
 
-def _joining(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of pairs of components, as few as join the same ones."""
-    parent: dict[int, int] = {}
+def _joining(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Of pairs of components, those that join what isn't joined in parent yet."""
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -231,15 +197,16 @@ def _finished(members: DataFrame, threshold: float) -> DataFrame:
                 a, b = s + np.flatnonzero(block[s:e] == p[s]), s + np.flatnonzero(block[s:e] == q[s])
                 if not len(a) or not len(b):
                     continue
-                x = _unit([raw[i] for i in a])
-                hit = x @ (x if p[s] == q[s] else _unit([raw[i] for i in b])).T >= threshold
-                if p[s] == q[s]:
-                    np.fill_diagonal(hit, False)
-                found = [(ids[a], (hit * weight[b]).sum(1))]
-                if p[s] != q[s]:
-                    found.append((ids[b], (hit * weight[a][:, None]).sum(0)))
-                u, v = np.nonzero(hit & (root[a][:, None] != root[b]))
-                joins = _joining(root[a][u], root[b][v])
+                x, y = _unit([raw[i] for i in a]), _unit([raw[i] for i in b])
+                found, joins, parent = [], [], {}
+                for k in range(0, len(a), TILE):
+                    at = a[k : k + TILE]
+                    hit = (x[k : k + TILE] @ y.T >= threshold) & (ids[at][:, None] != ids[b])
+                    found.append((ids[at], (hit * weight[b]).sum(1)))
+                    if p[s] != q[s]:
+                        found.append((ids[b], (hit * weight[at][:, None]).sum(0)))
+                    u, v = np.nonzero(hit & (root[at][:, None] != root[b]))
+                    joins += _joining(root[at][u], root[b][v], parent)
                 one, links = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
                 one, links = one[links > 0], links[links > 0]
                 none = [None] * len(joins)

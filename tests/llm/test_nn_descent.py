@@ -79,3 +79,12 @@ def test_groups_that_fill_each_others_lists_are_linked(spark):
     centres = a, 0.945 * a + np.sqrt(1 - 0.945**2) * b
     got, want = groups(spark, [c + 0.002 * rng.normal(size=16) for c in centres for _ in range(60)])
     assert got == want and set(want.values()) == {(119, 0)}
+
+
+def test_pairs_that_the_graph_misses_are_found(spark, monkeypatch):
+    for name, value in (("TREES", 1), ("LEAF", 4), ("ROUNDS", 0)):  # lists are as the first small blocks leave them
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(3)
+    rows = list(rng.normal(size=(300, 32)))
+    got, want = groups(spark, rows + [v + 0.3 * rng.normal(size=32) for v in rows[:20]])
+    assert got == want and sum(n for n, _ in want.values()) == 40
