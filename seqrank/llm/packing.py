@@ -2,10 +2,11 @@
 
 Lengths are integers up to the capacity, so what the search needs of the corpus is a histogram of at most ``capacity``
 rows, whatever the corpus's size: that alone goes to the driver. There, each step takes the largest length that is
-left and enumerates the undominated fillings of the room beside it (a filling is dominated if its documents can be laid
-into those of another), those of least waste first; the chosen one is used as often as the counts allow. A branch is cut
-when its waste so far shows that it can't beat the incumbent; the first incumbent is the best-fit solution. The search
-ends at the lower bound or after ``NODES`` nodes, with the best plan found; every plan packs every document.
+left and enumerates the fillings of the room beside it by any number of documents, those of least waste first and without
+dominated ones (which a swap of up to two documents for a larger one improves). The chosen one is used as often as the
+counts allow, and on backtracking half as often, down to once. A branch is cut when its waste so far shows that it can't
+beat the incumbent; the first incumbent is the best-fit solution. The search ends at the lower bound, when all choices
+are tried, or after ``NODES`` fillings (the only bound), with the best plan found; every plan packs every document.
 
 The plan is a list of patterns with how often each is used. Each use up of a pattern exhausts the count of a length
 for it, so the plan's size is bounded by the capacity as well. A piece finds its place by its rank among the pieces of
@@ -18,6 +19,7 @@ Rows repeated with the same id are packed each for itself.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from .bpe import MEMO_SIZE, coder
 from .common import map_arrow, stored, table, text_or_empty, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
-#: Search nodes, fillings that are tried at a node, levels of waste below the room, and sizes tried in triples.
-NODES, BRANCHES, LEVELS, WIDTH = 8_000, 4, 48, 24
+#: Fillings that the search looks at.
+NODES = 8_000
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), uses
 
@@ -68,73 +70,51 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return plan
 
 
-def packs_into(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
-    """Whether the documents of ``small`` can be laid into those of ``big`` (both few, descending)."""
-    if not small:
-        return True
-    tried = set()
-    for i, room in enumerate(big):
-        if room >= small[0] and room not in tried:
-            tried.add(room)
-            if packs_into(small[1:], tuple(sorted((*big[:i], room - small[0], *big[i + 1 :]), reverse=True))):
-                return True
-    return False
-
-
-def fillings(left: dict[int, int], sizes: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, of least waste first; at least one if anything fits."""
-    fits = [s for s in sizes if s <= room]
-    if not fits:
-        return []
-    has = lambda *items: all(left.get(s, 0) >= items.count(s) for s in items)
-    found: list[tuple[int, ...]] = []
-
-    def add(items: tuple[int, ...]) -> None:
-        if not any(packs_into(items, f) for f in found):
-            found.append(items)
-
-    single = fits[0]
-    for fill in range(room, max(single, room - LEVELS) - 1, -1):
-        if fill > 3 * single:
-            continue
-        if has(fill):
-            add((fill,))
-        for a in fits:
-            b = fill - a
-            if b > a:
-                break
-            if b < fits[-1]:
-                continue
-            if has(a, b):
-                add((a, b))
-                if len(found) >= limit:
-                    return found
-        if found:
-            break
-        if fill < 3 * fits[-1]:
-            continue
-        for i, a in enumerate(fits[:WIDTH]):
-            for b in fits[i : i + WIDTH]:
-                c = fill - a - b
-                if fits[-1] <= c <= b and has(a, b, c):
-                    add((a, b, c))
-                    if len(found) >= limit:
-                        return found
-        if found:
-            break
-    rest, more = dict(left), []  # one more that takes the largest fits in turn
-    free = room
-    for s in fits:
-        while free >= s and rest[s] > 0:
-            more.append(s)
-            rest[s] -= 1
-            free -= s
-    if sum(more) >= max(map(sum, found), default=0):
-        add(tuple(more))
-    return sorted(found, key=lambda f: (-sum(f), len(f)))
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, branches: int = BRANCHES) -> list[Pattern]:
+def fillings(left: dict[int, int], room: int) -> Iterator[Pattern]:
+    """Fillings of ``room`` by any number of documents, of least waste first and the largest documents first, each with its sum.
+
+    Left out are those that a swap of none, one or two of their documents for a larger one that is left shows to be dominated: their sum is None.
+    """
+    sizes = sorted((s for s, n in left.items() if n and s <= room), reverse=True)
+    within, reach = (1 << room + 1) - 1, [1]
+    for s in reversed(sizes):  # as bits, what the documents from each size down can sum to
+        bits, n, k = reach[-1], min(left[s], room // s), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << s * k & within
+            n, k = n - k, 2 * k
+        reach.append(bits)
+    reach.reverse()
+    have = sum(1 << s for s in sizes)
+
+    def walk(i: int, rest: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not rest:
+            yield ()
+            return
+        i = max(i, bisect_left(sizes, -rest, key=lambda s: -s))
+        while reach[i] >> rest & 1:
+            s = sizes[i]
+            for t in range(min(left[s], rest // s), 0, -1):
+                if reach[i + 1] >> rest - s * t & 1:
+                    for more in walk(i + 1, rest - s * t):
+                        yield ((s, t), *more)
+            i += 1
+
+    def dominated(items: tuple[tuple[int, int], ...], slack: int) -> bool:
+        spare = have - sum(1 << s for s, t in items if t == left[s])
+        between = lambda a, b: spare >> a & (1 << max(0, b - a + 1)) - 1
+        if between(1, slack) or any(between(s + 1, s + slack) for s, _ in items):
+            return True
+        pairs = {a + b for k, (a, t) in enumerate(items) for b in (*(s for s, _ in items[k + 1 :]), *([a] if t > 1 else []))}
+        return any(between(x, x + slack) for x in pairs)
+
+    for fill in range(room, -1, -1):
+        if reach[0] >> fill & 1:
+            for items in walk(0, fill):
+                yield items, None if dominated(items, room - fill) else fill
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
     """The best plan found; see the module's text."""
     counts = {s: n for s, n in counts.items() if n > 0}
     if any(s > capacity or s < 1 for s in counts):
@@ -142,40 +122,53 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, branches
     best = best_fit(counts, capacity)
     need, target = sum(n for _, n in best), lower_bound(counts, capacity)
     total, left, path = sum(s * n for s, n in counts.items()), dict(counts), []
-    stack: list[tuple[int, int, list[tuple[int, ...]]]] = []  # waste and bins before, fillings not yet tried
+    stack: list[tuple[int, int, int]] = []  # waste and bins before, and the first choice not yet tried
     waste = bins = 0
 
-    def choices() -> list[tuple[int, ...]]:
-        sizes = sorted((s for s, n in left.items() if n), reverse=True)
-        top = sizes[0]
+    def choice(first: int) -> tuple[int, dict[int, int], int, int] | None:
+        """From the first-th on, a choice that can still beat the incumbent: its number, documents, waste and uses."""
+        nonlocal nodes
+        top, number = max(s for s, n in left.items() if n), 0
+        spare = (need - 1) * capacity - total - waste
         left[top] -= 1
-        found = fillings(left, sizes if left[top] else sizes[1:], capacity - top, branches)
-        left[top] += 1
-        return [(top, *f) for f in found] or [(top,)]
-
-    open_choices = choices() if counts else []
-    while need > target and nodes > 0:
-        if open_choices:
-            nodes -= 1
-            items, rest = open_choices[0], open_choices[1:]
-            times = {s: items.count(s) for s in items}
-            uses = min(left[s] // n for s, n in times.items())
-            stack.append((waste, bins, rest))
-            path.append((tuple(times.items()), uses))
+        try:
+            for items, fill in fillings(left, capacity - top):
+                nodes -= 1
+                if nodes < 0:
+                    return None
+                if fill is None:
+                    continue
+                lost = capacity - top - fill
+                if lost > spare:  # those to come waste no less
+                    return None
+                times = dict(items)
+                times[top] = times.get(top, 0) + 1
+                uses = min((left[s] + (s == top)) // n for s, n in times.items())
+                while uses:  # as often as the counts allow, then half as often, down to once
+                    if number >= first and lost * uses <= spare:
+                        return number, times, lost, uses
+                    number, uses = number + 1, uses // 2
+        finally:
+            left[top] += 1
+        return None
+
+    first = 0
+    while need > target and nodes > 0 and counts:
+        if found := choice(first):
+            number, times, lost, uses = found
+            stack.append((waste, bins, number + 1))
+            path.append((tuple(sorted(times.items(), reverse=True)), uses))
             for s, n in times.items():
                 left[s] -= n * uses
-            waste, bins = waste + (capacity - sum(items)) * uses, bins + uses
-            if total + waste > (need - 1) * capacity:
-                open_choices = []  # it can't beat the incumbent
-            elif any(left.values()):
-                open_choices = choices()
+            waste, bins = waste + lost * uses, bins + uses
+            if any(left.values()):
+                first = 0
                 continue
-            else:
-                best, need, open_choices = list(path), bins, []
-            continue
-        if not stack:
+            if bins < need:
+                best, need = list(path), bins
+        elif not stack:
             break
-        waste, bins, open_choices = stack.pop()
+        waste, bins, first = stack.pop()
         items, uses = path.pop()
         for s, n in items:
             left[s] += n * uses

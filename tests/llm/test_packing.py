@@ -57,6 +57,21 @@ def test_plans_of_many_documents_are_never_worse_than_best_fit():
         complete({11: 1}, 10)
 
 
+def test_fillings_of_many_documents_are_found():
+    plan = complete({200: 1000, 156: 2000}, 1024)
+    assert used(plan) == {200: 1000, 156: 2000} and sum(u for _, u in plan) == 500  # 2 x 200 + 4 x 156 = 1024
+    rng = random.Random(6)
+    for _ in range(15):
+        sizes = [rng.randint(2, 9) for _ in range(12)]
+        assert sum(u for _, u in complete(Counter(sizes), 29)) == fewest(sizes, 29)
+
+
+def test_a_filling_is_used_less_often_than_the_counts_allow():
+    counts = {6: 4, 4: 2, 3: 4, 2: 2}
+    plan = complete(counts, 12)
+    assert used(plan) == counts and sum(u for _, u in plan) == fewest([s for s, n in counts.items() for _ in range(n)], 12)
+
+
 def check(rows, texts):
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     ids = {k: library.encode(t or "", add_special_tokens=False).ids + [END_ID] for k, t in texts.items()}
