@@ -7,7 +7,8 @@ Multipart linking: access identifiers, secrets and endpoints are parts. An acces
 a 40-character secret or an endpoint address alone is weak. Parts of a text are held against each other by an interval join: every part
 is posted under the buckets of SCOPE code points that its surroundings touch, so a part meets only those parts
 near it, however many a long text has. A weak secret is reported only if an access identifier lies in its
-scope, an endpoint only if such a complete pair does.
+scope, an endpoint only if such a complete pair does. An assignment (a base finding) is a secret of a pair as well, unless the
+access identifier is what it assigns.
 
 Defined results: a null text counts as empty and has no findings. Rows repeated with the same id and text are one
 document: each of them is returned with the same spans. Rows of one id with different texts keep to themselves. A row without an id is scanned like any other.
@@ -25,8 +26,8 @@ from .common import split_by_ids, stored, table, text_or_empty
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
-#: Weak parts: a 40-character secret that stands alone, and the address of a service.
-SECRET = "(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: Weak parts: a 40-character secret that stands alone or behind a "=", and the address of a service.
+SECRET = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
 #: Kinds in the contract's order, then those that the method adds.
 KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32), ("secret", SECRET, 40), ("endpoint", ENDPOINT, 8))
@@ -75,24 +76,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def linked(found: DataFrame) -> DataFrame:
     """doc_id, h, more: weak spans that have their complementary parts in scope. One row per text that has any."""
-    complete = F.size("access") + F.size("secret")
+    pairs = (F.size("secret") > 0) | ((F.size("assign") > 0) & (F.size("endpoint") > 0))
     key = ["doc_id", "h"]
-    some = found.filter((F.size("access") > 0) & (complete > F.size("access"))).select(*key, "access", "secret", "endpoint")
+    some = found.filter((F.size("access") > 0) & pairs).select(*key, "access", "assign", "secret", "endpoint")
     some = some.dropDuplicates(key)  # rows repeated with id and text
     part = lambda c: some.select(*key, F.explode(c).alias("s")).select(*key, "s.start", "s.end", "s.kind")
     bucket = lambda c: F.floor(F.col(c) / SCOPE)
 
-    def join(weak: DataFrame, strong: DataFrame) -> DataFrame:
-        """Weak parts with a strong one within SCOPE code points: by bucket, then by distance."""
+    def join(weak: DataFrame, strong: DataFrame, apart: bool = False) -> DataFrame:
+        """Weak parts with a strong one (apart: that doesn't overlap it) within SCOPE code points: by bucket, then by distance."""
         posted = strong.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("start").alias("from"), F.col("end").alias("to"))
         posted = posted.withColumn("b", F.explode(F.sequence(F.floor((F.col("from") - SCOPE) / SCOPE), F.floor((F.col("to") + SCOPE) / SCOPE))))
         spots = weak.withColumn("b", bucket("start"))
         near = (F.col("start") <= F.col("to") + SCOPE) & (F.col("end") >= F.col("from") - SCOPE)
+        if apart:
+            near = near & ((F.col("start") >= F.col("to")) | (F.col("end") <= F.col("from")))
         same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (spots["b"] == posted["b"])
         return spots.join(posted, same & near, "left_semi").drop("b")
 
     secrets = join(part("secret"), part("access"))
-    endpoints = join(part("endpoint"), secrets)
+    endpoints = join(part("endpoint"), secrets.union(join(part("assign"), part("access"), apart=True)))
     return secrets.union(endpoints).groupBy(*key).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
 
 

@@ -51,6 +51,21 @@ def test_weak_parts_need_their_complements(documents):
     assert kinds == {1: ["access", "endpoint", "secret"], 2: [], 3: ["access"], 4: ["access"], 5: ["access", "secret"]}
 
 
+def test_assigned_secrets_complete_a_pair(documents):
+    at = "https://s3.amazonaws.com"
+    rows = [
+        (1, f"{ACCESS} AWS_SECRET_ACCESS_KEY={KEY} {at}"),
+        (2, f"{ACCESS} password: hunter2hunter2 {at}"),
+        (3, f"token={ACCESS} {at}"),
+        (4, f"{ACCESS} {KEY}= {at}"),
+        (5, f"password: hunter2hunter2 {at}"),
+    ]
+    kinds = {r["doc_id"]: sorted(x.split(":")[0] for x in r["spans"].split(",") if x) for r in findings(documents(rows)).collect()}
+    assert kinds == {1: ["access", "endpoint", "secret"], 2: ["access", "assign", "endpoint"], 3: ["access", "assign"], 4: ["access"], 5: ["assign"]}
+    (r,) = redacted(documents(rows[:1])).collect()
+    assert r["text"] == "[REDACTED] AWS_SECRET_ACCESS_KEY=[REDACTED] [REDACTED]"
+
+
 def test_many_parts_in_a_long_text_are_linked_by_place_alone(documents):
     text = "".join(f"{ACCESS} {KEY}\n" for _ in range(1500))
     (r,) = findings(documents([(1, text)])).collect()
