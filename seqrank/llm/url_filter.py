@@ -5,9 +5,10 @@ from which the tree judges the others (a caller may give other labels). The tree
 shapes, level by level:
 
 * variable segments become wildcards: runs of digits in a segment become ``#``, long hexadecimal ones ``{hex}``, and the children
-  of a node with more than FAN different children are merged where each is rare;
+  of a node with more than FAN different children are merged into ``+`` where each is rare, with examples or without: the
+  value of such a segment says nothing, so what is known of some of them holds for all;
 * branches of one node are merged if they are statistically alike: those whose share of blocked examples isn't apart
-  from their siblings' by a two-proportion test become ``+``. Branches without examples can be alike only to each
+  from their siblings' by a two-proportion test become ``+``. Other branches without examples can be alike only to each
   other and become ``*``: what is known of some branches says nothing of one that was never labelled;
 * what lies below DEPTH segments is one wildcard.
 
@@ -76,7 +77,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         gap = F.abs(share(F.col("blocked"), F.col("known")) - share(rest_blocked, rest_known))
         rare = (F.col("fan") > FAN) & (F.col("n") < RARE * F.col("all_n"))
         alike = rare | ((F.col("fan") > 1) & (rest_known > 0) & (gap <= APART * error))
-        name = F.when((F.col("known") == 0) & (F.col("fan") > 1), F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment"))
+        unknown = (F.col("known") == 0) & (F.col("fan") > 1) & ~rare
+        name = F.when(unknown, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment"))
         named = both.select("host", "template", "segment", name.alias("name"))
         template = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")
         # a level uses the one before it three times: written, each is made once, and plans stay small

@@ -91,6 +91,15 @@ def test_the_tree_against_brute_force(spark):
     assert verdicts == {"junk": "block", "news": "allow"}
 
 
+def test_variable_segments_carry_labels_to_those_without(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    slugs = [a + b + "-page" for a in letters for b in letters[:8]]
+    pages = [(f"http://h.org/{top}/{slug}", bad if k % 10 == 0 else None) for top, bad in (("junk", 1), ("news", 0)) for k, slug in enumerate(slugs)]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(pages)], "page_id long, url string, y int")
+    got = {(r["path"].split("/")[1], r["template"], r["verdict"]) for r in judged(df, rules=(), label_col="y").collect()}
+    assert got == {("junk", "/junk/+", "block"), ("news", "/news/+", "allow")}
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "page_id long, url string"
     assert judged(spark.createDataFrame([], schema)).collect() == []
