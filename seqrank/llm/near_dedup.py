@@ -310,7 +310,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     links = stored(_confirmed(pairs, texts, width, percent), "confirmed")
     found = stored(components(links), "components")
-    long = lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHORT).select("key")
+    # the sketch overrates some short lists, whose members are then dealt over salts as those of long ones are
+    long = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("salts").alias("most")).filter((F.col("n") > SHORT) | ((F.col("n") > 2) & (F.col("most") > 1))).select("key")
     more = stored(_rest(lists.join(long, "key").select("key", "doc"), found, texts, width, percent), "rest")
     if not more.isEmpty():
         found = stored(components(links.union(more)), "components")

@@ -67,6 +67,18 @@ def test_long_lists_in_small_blocks_give_the_same(documents, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_short_lists_that_the_sketch_overrates_give_the_same(documents, monkeypatch):
+    for name, value in (("SKETCH", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    chains = []  # x ~ y ~ z, but not x ~ z
+    for c in range(40):
+        x = [f"w{c}x{k}" for k in range(60)]
+        chains += [x, [*x[4:], *(f"v{c}x{k}" for k in range(4))], [*x[8:], *(f"v{c}x{k}" for k in range(8))]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(chains)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(documents(rows), width=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85) and len({c for _, c in got.values()}) == 40
+
+
 def test_rows_without_ids_stand_alone(documents):
     rows = [(2, "a b c d"), (2, "a b c d"), (1, "A b c  d"), (None, "a b c d"), (None, None), (5, None)]
     got = sorted(map(tuple, near_groups(documents(rows), width=3, percent=85).collect()), key=str)
