@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, text_or_empty, tokenizer_path
+from .common import kept, map_arrow, table, text_or_empty, tokenizer_path
 
 #: Unicode's White_Space property, which the pattern's \s means.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -222,15 +222,11 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").encode("utf-8")
 
 
-_coders: dict[str, ByteBPE] = {}
-
-
 def coder(path: str, memo_size: int = MEMO_SIZE) -> ByteBPE:
-    """One coder per worker process and vocabulary; its memo has the size that was asked for last."""
-    if path not in _coders:
-        _coders[path] = ByteBPE(path)
-    _coders[path].memo.size = memo_size
-    return _coders[path]
+    """One coder per worker process and vocabulary, kept while tasks of BPE follow each other; its memo has the size that was asked for last."""
+    found: ByteBPE = kept(f"bpe:{path}", lambda: ByteBPE(path))
+    found.memo.size = memo_size
+    return found
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -244,7 +240,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, ids array<int>")
+    return map_arrow(rows, run, "doc_id long, ids array<int>", keeps="bpe:")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -258,7 +254,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return map_arrow(rows, run, "doc_id long, text string")
+    return map_arrow(rows, run, "doc_id long, text string", keeps="bpe:")
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -280,7 +276,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps="bpe:")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

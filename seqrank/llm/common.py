@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,20 +38,54 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-#: Rows of an Arrow batch.
-BATCH = 2000
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: rows are whole texts here.
+BATCH, BATCH_BYTES = 2000, 8 << 20
+#: What a worker process keeps from task to task, by name.
+_KEPT: dict[str, object] = {}
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with the package at hand in the workers, and batches of fewer rows where the session has the default.
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps under a name; made where it has none."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
 
-    Rows are whole texts here: BATCH of them are what a worker and Spark's buffers hold at once.
+
+@contextlib.contextmanager
+def _lean(keeps: str) -> Iterator[None]:
+    """A task in a worker that lives through all operators: it begins without what others keep, and gives back what it freed."""
+    for name in [n for n in _KEPT if not keeps or not n.startswith(keeps)]:
+        del _KEPT[name]
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    trim = getattr(libc, "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        libc.mallopt(-3, 1 << 17)  # M_MMAP_THRESHOLD stays: large blocks go back to the system as they are freed
+        trim(0)
+    try:
+        yield
+    finally:
+        if trim is not None:
+            trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
+    """mapInArrow with the package at hand in the workers, batches bounded by rows and bytes, and what only other operators keep let go.
+
+    keeps: how the names begin under which ``run`` keeps something for its next task. Bounds that the session's owner has set stay.
     """
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    return df.mapInArrow(run, schema)
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if now == default or (default is None and int(now.removesuffix("b")) >= 1 << 26):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _lean(keeps):
+            yield from run(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 #: Bits of an id bitmap.
@@ -70,21 +106,38 @@ def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame,
     return rows.join(words, hit, "left_semi"), rows.join(words, hit, "left_anti")
 
 
+_scratch: list[list["Stored"]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but those with ``keep``: a result that is still to be read needs them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for t in _scratch.pop():
+            t.drop()
+
+
 class Stored:
     """A DataFrame written to the shared folder and read again: its lineage is the files alone."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        within = _scratch[:-1] if keep else _scratch  # what outlives this scratch ends with the one around it
+        if within:
+            within[-1].append(self)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).df
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    return Stored(df, name, keep).df
 
 
 def tokenizer_path(name: str) -> str:

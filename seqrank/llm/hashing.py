@@ -14,7 +14,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_TABLES = [_powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 1 << 64), 1 << 16)]
+_TABLES = [_powers(_BASE, (1 << 16) + 1), _powers(pow(_BASE, -1, 1 << 64), (1 << 16) + 1)]
 #: Of each byte: 0 blank, 1 ASCII sign, 2 letter, digit or part of a longer character.
 _KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 2 if b >= 128 or chr(b).isalnum() or b == 95 else 1 for b in range(256)], np.int8)
 
@@ -40,10 +40,27 @@ def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[real], end[real]
 
 
+#: Bytes that are hashed at once, whole spans of them: a table of powers is no longer than this, or than one span.
+CHUNK = 1 << 16
+
+
 def spans_hash(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span."""
-    if len(b) > len(_TABLES[0]):
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _TABLES[k] = _powers(base, 2 * len(b))
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * _TABLES[0][: len(b)])])
-    return mixed((total[end] - total[begin]) * _TABLES[1][begin] + (end - begin).astype(U))
+    """A hash of the bytes of each span; spans are in order and don't overlap."""
+    if not len(begin) or end[-1] - begin[0] <= CHUNK or len(begin) == 1:
+        return _hashed(b, begin, end)
+    out, k = [], 0
+    while k < len(begin):
+        stop = max(k + 1, int(np.searchsorted(end, begin[k] + CHUNK, "right")))
+        out.append(_hashed(b, begin[k:stop], end[k:stop]))
+        k = stop
+    return np.concatenate(out)
+
+
+def _hashed(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    if not len(begin):
+        return np.zeros(0, U)
+    first = begin[0]
+    part = b[first : end[-1]]
+    up, down = _TABLES if len(part) < CHUNK + 1 else [_powers(base, len(part) + 1) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    total = np.concatenate([np.zeros(1, U), np.cumsum((part.astype(U) + U(1)) * up[: len(part)])])
+    return mixed((total[end - first] - total[begin - first]) * down[begin - first] + (end - begin).astype(U))

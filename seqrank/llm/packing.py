@@ -197,7 +197,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long", keeps="bpe:")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
