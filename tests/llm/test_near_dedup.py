@@ -60,23 +60,49 @@ def test_against_brute_force(documents):
 
 
 def test_long_lists_in_small_blocks_give_the_same(documents, monkeypatch):
-    for name, value in (("SHORT", 3), ("BLOCK", 16), ("REST_BLOCK", 8), ("CONFIRM", 4)):
+    for name, value in (("SHORT", 3), ("BLOCK", 16), ("LONG_BLOCK", 16), ("REST_BLOCK", 8), ("CONFIRM", 4)):
         monkeypatch.setattr(near_dedup, name, value)
     rows = corpus(2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(documents(rows), width=3, percent=85).collect()}
     assert got == brute(rows, 3, 85)
 
 
-def test_short_lists_that_the_sketch_overrates_give_the_same(documents, monkeypatch):
-    for name, value in (("SKETCH", 8), ("BLOCK", 16)):
+def test_blocks_follow_the_lists_real_size(documents, monkeypatch):
+    for name, value in (("SHORT", 2), ("BLOCK", 4), ("LONG_BLOCK", 4), ("REST_BLOCK", 2)):
         monkeypatch.setattr(near_dedup, name, value)
     chains = []  # x ~ y ~ z, but not x ~ z
     for c in range(40):
         x = [f"w{c}x{k}" for k in range(60)]
         chains += [x, [*x[4:], *(f"v{c}x{k}" for k in range(4))], [*x[8:], *(f"v{c}x{k}" for k in range(8))]]
-    rows = [(k, " ".join(t)) for k, t in enumerate(chains)]
+    families = []  # eight near copies each, some too far from their base
+    rng = random.Random(8)
+    for f in range(60):
+        base = [f"b{f}x{k}" for k in range(80)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(80)] = f"c{rng.random()}"
+            families.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(chains + families)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(documents(rows), width=3, percent=85).collect()}
-    assert got == brute(rows, 3, 85) and len({c for _, c in got.values()}) == 40
+    want = brute(rows, 3, 85)
+    assert got == want and len({c for i, (_, c) in want.items() if i < 120}) == 40
+
+
+def test_an_id_with_two_texts_keeps_both_sets(documents):
+    one, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, one), (5, one + " more"), (5, other), (9, other + " more"), (7, None)]
+    got = sorted(map(tuple, near_groups(documents(rows)).select("doc_id", "component_id").collect()))
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 7), (9, 5)]
+
+
+def test_keys_of_one_class_alone_are_not_posted(spark):
+    keys = [[100 * d + k for k in range(32)] for d in range(3)]
+    keys[1][:20], keys[2][:2] = keys[0][:20], keys[0][:2]
+    lists = near_dedup.postings(spark.createDataFrame(list(enumerate(keys)), "doc long, keys array<long>"), 0.85).collect()
+    prefix = 32 - near_dedup.least_matches(32, 0.85) + 1
+    assert Counter(r["doc"] for r in lists) == {0: prefix - 12, 1: prefix - 12}  # two shared keys are not in a prefix behind 30 of one's own
+    assert all(r["n"] == (3 if r["key"] < 2 else 2) for r in lists)
 
 
 def test_rows_without_ids_stand_alone(documents):
@@ -93,6 +119,13 @@ def test_shingles():
     assert not np.array_equal(shingle_set("ab c", 3), shingle_set("a bc", 3))
 
 
+def test_long_texts_are_hashed_in_chunks(monkeypatch):
+    text = " ".join(f"{k * 7919 % 100_003}" for k in range(40_000)) + " " + "x" * 70_000 + " y z"
+    whole = shingle_set(text, 3)
+    monkeypatch.setattr("seqrank.llm.hashing.CHUNK", 1 << 10)
+    assert np.array_equal(shingle_set(text, 3), whole) and len(whole) == 40_001
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(0, 300)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(120)]
