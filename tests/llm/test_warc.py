@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -48,12 +50,94 @@ def test_junk_between_records_cut_ends_and_false_starts():
     a, b = member(record(1)), member(record(2))
     junk = b"\x1f\x8b\x08garbage WARC/1.1 not a line\r\n" * 3
     assert ids(a + junk + b) == (urn(1, 2), [(len(a), len(a) + len(junk))])
-    assert ids(a + b[:-9]) == (urn(1), [(len(a), len(a) + len(b) - 9)])
+    assert ids(a + b[:-9]) == (urn(1, 2), [(len(a), len(a) + len(b) - 9)])  # cut behind its record
+    assert ids(a + b[:60]) == (urn(1), [(len(a), len(a) + 60)])
     assert ids(junk) == ([], [(0, len(junk))])
     plain = record(3)
     assert ids(b"lead\n" + plain + b"tail") == (urn(3), [(0, 5), (5 + len(plain), 9 + len(plain))])
 
 
+def test_records_of_a_damaged_member_of_several_are_recovered():
+    parts = [record(k, b"payload %d " % k * 40) for k in range(10)]
+    whole = b"".join(parts)
+    bad = member(whole.replace(b"payload 4 payload 4", b"payload 4 qayload 4", 1))
+    found = list(salvage(bad))
+    at = whole.index(parts[4])
+    assert [f.headers["warc-record-id"] for f in found if f.kind == "record"] == urn(*(k for k in range(10) if k != 4))
+    assert [f[:5] for f in found if f.kind == "gap"] == [("gap", 0, len(bad), at, at + len(parts[4]))]
+    packed = gzip.compress(whole, mtime=0)
+    after = member(record(77))
+    for cut in (packed[:-1], packed[:-8], packed[:-9]):  # its trailer, or the stream's end
+        found, gaps = ids(cut)
+        assert len(found) >= 9 and found == urn(*range(len(found))) and gaps == [(0, len(cut))]
+        both = list(salvage(cut + after))  # what follows reads as the end of the checksum, which then fails
+        assert [f.headers["warc-record-id"] for f in both if f.kind != "gap"] == urn(*range(len(found)), 77) and [f[:3] for f in both if f.kind == "gap"] == [("gap", 0, len(cut))]
+    # a wrong checksum: what digests confirm is there, but suspect
+    broken = packed[:-8] + bytes([packed[-8] ^ 1]) + packed[-7:]
+    found = list(salvage(broken + after))
+    assert [f.headers["warc-record-id"] for f in found if f.kind == "suspect"] == urn(*range(10))
+    assert [f.headers["warc-record-id"] for f in found if f.kind == "record"] == urn(77)
+    assert [f[:3] for f in found if f.kind == "gap"] == [("gap", 0, len(broken))]
+
+
+def test_pieces_of_any_size_give_the_same():
+    raw = b"junk\n" + b"".join(record(k) + b"\nWARC/1.1\r\nnothing\r\n" + member(record(10 + k) + record(20 + k)) for k in range(4)) + member(record(30))[:-30]
+    for size in (1, 2, 7, 100, 4096):
+        assert list(salvage(raw[k : k + size] for k in range(0, len(raw), size))) == list(salvage(raw))
+    assert ids(raw)[0] == urn(*(i for k in range(4) for i in (k, 10 + k, 20 + k)))
+
+
+def test_large_members_do_not_wait_whole(monkeypatch):
+    monkeypatch.setattr("seqrank.llm.warc.HELD", 3_000)
+    rng = random.Random(3)
+    payloads = [rng.randbytes(900) for _ in range(40)]
+    packed = gzip.compress(b"".join(record(k, x) for k, x in enumerate(payloads)), mtime=0)
+    assert ids(packed) == (urn(*range(40)), [])
+    found, gaps = ids(packed[:20_000] + b"?" * 500 + member(record(99)))
+    assert found[-1] == urn(99)[0] and len(found) > 10 and found[:-1] == urn(*range(len(found) - 1)) and gaps == [(0, 20_500)]
+
+
+def test_junk_version_lines_take_linear_time():
+    junk = lambda n: b"WARC/1.1\r\nContent-Length: 900000000\r\n" * n + b"\nWARC/1.0\n" * n
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        assert ids(junk(n) + record(1)) == (urn(1), [(0, len(junk(n)))])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * 4 * max(took[0], 0.02)
+
+
+def test_digests_of_other_kinds_and_http_payloads():
+    import base64
+
+    body, head = b"<p>x</p>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest())
+
+    def made(digest):
+        block = head + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (digest, len(block), block)
+
+    assert ids(made(sha1)) == (urn(1), []) and ids(made(sha1[::-1]))[0] == []
+
+
+def test_large_files_come_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("seqrank.llm.warc.WHOLE", 5_000)
+    monkeypatch.setattr("seqrank.llm.warc.PIECE", 700)
+    rng = random.Random(4)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        want = {}
+        for k, end in enumerate((b"", b"\n", b"\n\n", b"x")):
+            raw = b"".join(member(record(100 * k + i, rng.randbytes(rng.randrange(2_000)))) for i in range(90 if k else 3)) + end
+            (tmp_path / f"a{k}.warc").write_bytes(raw)
+            want |= {(f"a{k}.warc", f.kind, f.start, f.stop): f.sha256 for f in salvage(raw)}
+        got = read_archives(spark, f"file://{tmp_path}", payloads=False).collect()
+        assert {(r["path"].rsplit("/", 1)[1], r["kind"], r["start"], r["stop"]): r["payload_digest"] for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_wrong_digest_or_length_is_a_failed_check():
     good = record(1)
     assert ids(good.replace(b"some", b"same") + record(2))[0] == urn(2)
