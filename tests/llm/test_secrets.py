@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -51,6 +52,48 @@ def test_weak_parts_need_their_complements(documents):
     assert kinds == {1: ["access", "endpoint", "secret"], 2: [], 3: ["access"], 4: ["access"], 5: ["access", "secret"]}
 
 
+def linked(text):
+    """Every span, each pair of parts held against each other."""
+    found = {k: [m.span() for m in re.finditer(KINDS[k][1], text)] for k in (3, 4)}
+    found = {k: [x for x in v if x[1] - x[0] >= KINDS[k][2]] for k, v in found.items()}
+    spans = base(text)
+    access, assign = ([(s, e) for s, k, e in spans if k == j] for j in (1, 0))
+    near = lambda a, b: a[0] <= b[1] + SCOPE and a[1] >= b[0] - SCOPE
+    secrets = [x for x in found[3] if any(near(x, a) for a in access)]
+    complete = secrets + [x for x in assign if any(near(x, a) and (x[0] >= a[1] or x[1] <= a[0]) for a in access)]
+    endpoints = [x for x in found[4] if any(near(x, c) for c in complete)]
+    return sorted(spans + [(s, 3, e) for s, e in secrets] + [(s, 4, e) for s, e in endpoints])
+
+
+def test_links_and_redaction_against_brute_force(documents):
+    rng = random.Random(9)
+    fill = lambda: rng.choice([" ", "\n", "é\U0001f600 ", "word " * rng.randrange(60), "lorem ipsum\n" * rng.randrange(50)])
+    parts = [ACCESS, KEY, KEY[::-1], "https://s3.amazonaws.com/x", "http://a.example:80", "eu.amazonaws.com", "password: hunter2hunter2", f"token={ACCESS}", f"AWS_SECRET_ACCESS_KEY={KEY}", f"{KEY}=", "ab" * 20, f'secret="{KEY}"']
+    rows = [(k, "".join(rng.choice(parts) + fill() for _ in range(rng.randrange(1, 12)))) for k in range(250)]
+    rows += [(k, r[1]) for k, r in enumerate(rows[:5])]
+    df = documents(rows)
+    assert sorted((r["doc_id"], r["spans"]) for r in findings(df).collect()) == sorted((i, listed(linked(t))) for i, t in rows)
+
+    def clean(text):
+        out, at = [], 0
+        for s, _, e in linked(text):
+            out += [text[at:s], "[REDACTED]"] if s >= at else []
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    assert sorted((r["doc_id"], r["text"]) for r in redacted(df).collect()) == sorted((i, clean(t)) for i, t in rows)
+
+
+def test_very_many_findings_take_near_linear_time(documents):
+    took = []
+    for n in (4_000, 32_000):
+        df = documents([(1, f"é token=123456789 {ACCESS}\n" * n)])
+        began = time.perf_counter()
+        assert redacted(df).first()["text"] == "é [REDACTED] [REDACTED]\n" * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 3 * max(took[0], 0.5)
+
+
 def test_assigned_secrets_complete_a_pair(documents):
     at = "https://s3.amazonaws.com"
     rows = [
