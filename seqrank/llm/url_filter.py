@@ -8,11 +8,13 @@ shapes, level by level:
   of a node with more than FAN different children are merged into ``+`` where each is rare, with examples or without: the
   value of such a segment says nothing, so what is known of some of them holds for all;
 * branches of one node are merged if they are statistically alike: those whose share of blocked examples isn't apart
-  from their siblings' by a two-proportion test become ``+``. Other branches without examples can be alike only to each
-  other and become ``*``: what is known of some branches says nothing of one that was never labelled;
-* what lies below DEPTH segments is one wildcard.
+  from their siblings' by a two-proportion test become ``+``. Other branches without examples become ``*``.
 
-A template is rejected if its smoothed share of blocked examples reaches PURITY; templates without examples are allowed.
+The share of blocked examples of a template is smoothed towards what is expected of a new branch of its node: the mean share of the
+branches with examples, each counted once, itself smoothed towards the node's own share (one half at the root, so after two
+branches of two a new one is expected at 3/4). Branches without examples are thus judged by their siblings, by
+how many branches are known and not by how many urls those have. A template is rejected if its smoothed share reaches PURITY.
+Every level of a path is a level of the tree: the levels go on until no path is longer, each over the paths that reach it.
 Shapes are aggregated before every shuffle, so a host with a third of all pages is as many rows as it has shapes.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed. Rows repeated
@@ -24,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scratch, stored, table
 
 #: The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Levels of the tree, children that make a level variable, the share below which a child is rare.
-DEPTH, FAN, RARE = 4, 20, 0.1
-#: Standard errors that set a branch apart, weight of the prior in the smoothed share, share that rejects.
-APART, PRIOR, PURITY = 1.96, 4.0, 0.7
+#: Children that make a level variable, the share below which a child is rare.
+FAN, RARE = 20, 0.1
+#: Standard errors that set a branch apart, weights (in examples, in branches) of what is expected in a smoothed share, share that rejects.
+APART, PRIOR, BRANCHES, PURITY = 1.96, 4.0, 2.0, 0.7
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,40 +57,51 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments with their digits generalised; those below DEPTH are one wildcard."""
+    """The path's segments with their digits generalised; of a path without any, one that is empty."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     general = F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
+    return F.when(F.size(general) > 0, general).otherwise(F.array(F.lit("")))
+
+
+def _level(at: DataFrame, d: int) -> DataFrame:
+    """The next level of paths that reach it: template and purity by host and shape. at: host, shape, n, known, blocked, template, purity."""
+    stats = ("n", "known", "blocked")
+    at = at.withColumn("segment", F.try_element_at("shape", F.lit(d)))
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    child = at.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in stats), F.max("purity").alias("above"))
+    child = child.withColumn("share", share(F.col("blocked"), F.col("known")))
+    sums = [F.sum(c).alias(f"all_{c}") for c in stats]
+    node = child.groupBy("host", "template").agg(*sums, F.count("*").alias("fan"), F.count("share").alias("labelled"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("shares"), F.max("above").alias("above"))
+    expected = (F.col("shares") + BRANCHES * F.col("above")) / (F.col("labelled") + BRANCHES)
+    node = node.withColumn("expected", expected).drop("above", "shares", "labelled")
+    both = child.drop("above").join(node, ["host", "template"])
+    rest_known, rest_blocked = F.col("all_known") - F.col("known"), F.col("all_blocked") - F.col("blocked")
+    pooled = share(F.col("all_blocked"), F.col("all_known"))
+    error = F.sqrt(pooled * (1 - pooled) * (share(F.lit(1), F.col("known")) + share(F.lit(1), rest_known)))
+    gap = F.abs(F.col("share") - share(rest_blocked, rest_known))
+    rare = (F.col("fan") > FAN) & (F.col("n") < RARE * F.col("all_n"))
+    alike = rare | ((F.col("fan") > 1) & (rest_known > 0) & (gap <= APART * error))
+    unknown = (F.col("known") == 0) & (F.col("fan") > 1) & ~rare
+    name = F.when(unknown, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment"))
+    named = both.select("host", "template", "segment", name.alias("name"), "known", "blocked", "expected")
+    merged = named.groupBy("host", "template", "name").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.max("expected").alias("expected"))
+    purity = (F.col("blocked") + PRIOR * F.col("expected")) / (F.col("known") + PRIOR)
+    found = named.select("host", "template", "segment", "name").join(merged.select("host", "template", "name", purity.alias("purity")), ["host", "template", "name"])
+    return at.drop("purity").join(found, ["host", "template", "segment"]).select("host", "shape", *stats, F.concat("template", F.lit("/"), "name").alias("template"), "purity")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template, purity. shapes: host, shape, n, known, blocked (a row per host and shape)."""
-    now = stored(shapes.withColumn("template", F.lit("")), "shapes")
-    stats = ("n", "known", "blocked")
-    for d in range(1, DEPTH + 1):
-        at = now.withColumn("segment", F.try_element_at("shape", F.lit(d)))
-        child = at.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in stats))
-        node = child.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in stats), F.count("*").alias("fan"))
-        both = child.join(node, ["host", "template"])
-        rest_known, rest_blocked = F.col("all_known") - F.col("known"), F.col("all_blocked") - F.col("blocked")
-        share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
-        pooled = share(F.col("all_blocked"), F.col("all_known"))
-        error = F.sqrt(pooled * (1 - pooled) * (share(F.lit(1), F.col("known")) + share(F.lit(1), rest_known)))
-        gap = F.abs(share(F.col("blocked"), F.col("known")) - share(rest_blocked, rest_known))
-        rare = (F.col("fan") > FAN) & (F.col("n") < RARE * F.col("all_n"))
-        alike = rare | ((F.col("fan") > 1) & (rest_known > 0) & (gap <= APART * error))
-        unknown = (F.col("known") == 0) & (F.col("fan") > 1) & ~rare
-        name = F.when(unknown, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment"))
-        named = both.select("host", "template", "segment", name.alias("name"))
-        template = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")
-        # a level uses the one before it three times: written, each is made once, and plans stay small
-        now = stored(at.join(named, ["host", "template", "segment"], "left").select("host", "shape", *stats, template), "level")
-    ended = F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/**"))).when(F.size("shape") == 0, F.lit("/")).otherwise(F.col("template"))
-    now = now.withColumn("template", ended)
-    sums = now.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"))
-    # the prior is even: without examples a template is at one half, below PURITY
-    purity = (F.col("blocked") + PRIOR / 2) / (F.col("known") + PRIOR)
-    return now.select("host", "shape", "template").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"])
+    with scratch():
+        # a level uses the one before it several times: written, each is made once, and plans stay small
+        now = stored(shapes.withColumns({"template": F.lit(""), "purity": F.lit(0.5)}), "shapes")
+        deepest, out = now.agg(F.max(F.size("shape"))).first()[0] or 0, None
+        for d in range(1, deepest + 1):
+            now = stored(_level(now.filter(F.size("shape") >= d), d), "level")
+            ended = now.filter(F.size("shape") == d).select("host", "shape", "template", "purity")
+            out = ended if out is None else out.union(ended)
+        none = now.select("host", "shape", "template", "purity").limit(0)
+        return stored(none if out is None else out, "templates", keep=True)
 
 
 def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, label_col: str | None = None) -> DataFrame:
@@ -112,5 +125,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_url_filter": op6_url_filter}
-ORACLE: dict[str, str] = {}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every page: the part of op6_url_filter that SQL can express."""
+    host, path = host_of(F.col("url").cast("string")), path_of(F.col("url").cast("string"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"))
+    return pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+
+
+QUERIES = {"op6_url_filter": op6_url_filter, "url_rules": url_rules}
+#: The tree's levels depend on each other, one aggregate after another for as deep as paths go: held against brute force in the tests.
+ORACLE = {
+    "url_rules": r"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+             q AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM p),
+             r(kind, h, begin) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+             f AS (SELECT page_id, first(h || begin ORDER BY length(h || begin) DESC) AS rule, first(kind ORDER BY length(h || begin) DESC) AS ruled
+                   FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, begin) GROUP BY page_id)
+        SELECT q.page_id, host, path, rule, ruled FROM q LEFT JOIN f ON q.page_id IS NOT DISTINCT FROM f.page_id"""
+}
