@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking.
 
-Each message's lines are parsed into quote levels (``>`` marks, nested as ``> >`` or ``>>``). Passages, which are single lines and
-runs of lines of one level, are normalised and hashed. A quoted passage is joined to the first message of its
+Each message's lines are parsed into quote levels (``>`` marks, nested as ``> >`` or ``>>``). Passages, which are single lines,
+runs of lines of one level and the sentences of both, are normalised and hashed, so a sentence of a longer line and a run that was wrapped anew are found. A
+passage of fewer than ``LEAST`` characters is evidence only where one message of the conversation alone holds it. A quoted passage is joined to the first message of its
 conversation whose own words hold it; a message replies to the latest original among the quotes of its lowest linked level.
 Following the replies gives each message its thread's root and its depth, by doubling steps; in a thread, turns are in
 reply order, as a reply is later than what it answers. The messages are returned without quotes.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import Stored, map_arrow, stored, table, text_or_empty
 
-#: Shortest normalised passage that is evidence of a quotation, in characters.
+#: Shortest normalised passage that is evidence of a quotation whoever else says it, in characters.
 LEAST = 12
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s*(?=\S)")
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r".{0,200}\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.I)
 
@@ -44,15 +46,16 @@ def normal(passage: str) -> str:
     return " ".join(re.findall(r"\w+", passage.lower()))
 
 
-def passages(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Level and hash of each passage: every line, and every run of lines of one level (an empty line ends a run)."""
-    found: dict[tuple[int, str], None] = {}
+def passages(lines: list[tuple[int, str]]) -> list[tuple[int, str, bool]]:
+    """Level and hash of each passage, and whether it is short: every line, every run of lines of one level (an empty line ends a run), and their sentences."""
+    found: dict[tuple[int, str], bool] = {}
     run: list[str] = []
     level = 0
 
     def add(at: int, words: str) -> None:
-        if len(n := normal(words)) >= LEAST:
-            found[at, hashlib.md5(n.encode("utf-8", "replace")).hexdigest()] = None
+        for part in {words, *_SENTENCE.split(words)}:
+            if n := normal(part):
+                found[at, hashlib.md5(n.encode("utf-8", "replace")).hexdigest()] = len(n) < LEAST
 
     for at, words in [*lines, (-1, "")]:
         if at != level or not words.strip():
@@ -62,7 +65,7 @@ def passages(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
         if words.strip():
             add(at, words)
             run.append(words)
-    return list(found)
+    return [(at, h, short) for (at, h), short in found.items()]
 
 
 def unquoted(lines: list[tuple[int, str]]) -> str:
@@ -85,14 +88,15 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
             for text in batch.column(3).to_pylist():
                 lines = levels(text)
                 texts.append(unquoted(lines))
-                found.append([{"level": n, "hash": h} for n, h in passages(lines)])
-            kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())]))
+                found.append([{"level": n, "hash": h, "short": short} for n, h, short in passages(lines)])
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("short", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(found, kind)], ["conv_id", "turn", "role", "text", "found"])
 
-    parsed = stored(map_arrow(rows, run, "conv_id long, turn long, role string, text string, found array<struct<level:int,hash:string>>"), "messages")
-    some = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("found").alias("p")).select("conv_id", "turn", "p.level", "p.hash")
-    originals = some.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    quoted = some.filter("level > 0").distinct().join(originals, ["conv_id", "hash"]).filter("original < turn")
+    parsed = stored(map_arrow(rows, run, "conv_id long, turn long, role string, text string, found array<struct<level:int,hash:string,short:boolean>>"), "messages")
+    some = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("found").alias("p")).select("conv_id", "turn", "p.level", "p.hash", "p.short")
+    own = some.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"), F.max("turn").alias("last"), F.first("short").alias("short"))
+    originals = own.filter("not short or original = last").select("conv_id", "hash", "original")
+    quoted = some.filter("level > 0").select("conv_id", "turn", "level", "hash").distinct().join(originals, ["conv_id", "hash"]).filter("original < turn")
     best = F.min(F.struct("level", (-F.col("original")).alias("o")))
     replies = stored(quoted.groupBy("conv_id", "turn").agg(best.alias("b")).select("conv_id", "turn", (-F.col("b.o")).alias("reply_to"), F.col("b.level").alias("level")), "replies")
     now = Stored(replies.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")

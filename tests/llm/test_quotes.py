@@ -7,16 +7,18 @@ SCHEMA = "conv_id long, turn long, role string, text string, hash string, level
 
 def brute(rows):
     parsed = [(c, t, passages(levels(x or ""))) for c, t, _, x in rows]
-    first = {}
+    tellers = {}
     for c, t, found in parsed:
-        for level, h in found:
+        for level, h, _ in found:
             if level == 0 and c is not None and t is not None:
-                first[c, h] = min(t, first.get((c, h), t))
+                tellers.setdefault((c, h), set()).add(t)
+    short = {h for *_, found in parsed for _, h, is_short in found if is_short}
+    first = {(c, h): min(turns) for (c, h), turns in tellers.items() if h not in short or len(turns) == 1}
     reply = {}
     for c, t, found in parsed:
         if c is None or t is None:
             continue
-        for level, h in found:
+        for level, h, _ in found:
             o = first.get((c, h))
             if level > 0 and o is not None and o < t:
                 reply[c, t] = min(reply.get((c, t), (level, -o)), (level, -o))
@@ -60,5 +62,23 @@ def test_against_brute_force(spark):
     assert {r[6] for r in got if r[0] == 7} == set(range(50))
 
 
+def test_sentences_and_short_passages(spark):
+    rows = [
+        (1, 0, "a", "Shall we meet on Monday morning? I could bring the documents. Tea?"),
+        (1, 1, "b", "> I could bring\n> the documents.\nplease do"),  # one sentence, wrapped anew
+        (1, 2, "c", "yes"),
+        (1, 3, "d", "> yes\ngood"),  # short, but one message alone holds it
+        (1, 4, "e", "ok"),
+        (1, 5, "f", "ok"),
+        (1, 6, "g", "> ok\nwhich one?"),  # short, and two messages hold it
+        (2, 0, "a", "好的。明天见！"),
+        (2, 1, "b", "> 明天见！\n好"),
+        (3, 0, "a", "word " * 40_000 + "and a last sentence of it."),
+        (3, 1, "b", "> " + "word " * 40_000 + "and a last sentence of it.\nindeed"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in linked(frame(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {(1, 1): 0, (1, 3): 2, (2, 1): 0, (3, 1): 0}
+
+
 def test_empty_table(spark):
     assert linked(frame(spark, [])).collect() == []
