@@ -10,7 +10,8 @@ raw model and the weights cover all documents and whole texts. A model is a tabl
 largest key is found exactly by narrowing histograms, never by a global sort. Noise is drawn from a hash of
 id and text, so a task that runs again draws the same.
 
-Defined results: a null or empty text has no n-grams and log weight 0. Rows repeated with id and text have one key; all
+Defined results: a null or empty text has no n-grams and log weight 0: it competes as a text that is as likely under both models, so it is
+drawn before all texts of negative weight, and goes where the cut is above its noise. Rows repeated with id and text have one key; all
 rows tied at the k-th key stay. Without good labels, or without rows, every document stays. Labels with null ids or values are not used.
 """
 

@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+import zlib
 
 import numpy as np
 
@@ -49,6 +52,62 @@ def test_weights_are_log_ratios(spark, documents):
     assert np.allclose(model.ratio, np.log((0.95 * good / good.sum() + 0.05 * p) / p), atol=1e-4)
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def buckets(text):
+    """The n-grams' buckets by plain arithmetic, a byte at a time."""
+    kinds = ["blank" if b == 32 or 9 <= b <= 13 else "word" if b >= 128 or chr(b).isalnum() or b == 95 else "sign" for b in text]
+    tokens = [bytes(b for _, b in run) for kind, run in itertools.groupby(zip(kinds, text, strict=True), key=lambda x: x[0]) if kind != "blank"]
+    hashes = [mixed((sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(t)) + len(t)) & M64) for t in tokens]
+    return [h % BUCKETS for h in hashes] + [mixed((3 * x + 5 * y) & M64) % BUCKETS for x, y in itertools.pairwise(hashes)]
+
+
+def noise(i, text, seed):
+    key = (zlib.crc32(text) + (i or 0) * 0x9E3779B97F4A7C15) & M64
+    u = mixed(key ^ mixed(seed)) >> 11
+    return -math.log(-math.log((u + 0.5) / (1 << 53)))
+
+
+def test_keys_and_the_selected_set_against_brute_force(spark, documents):
+    rows, labels = corpus()
+    rng = random.Random(7)
+    rows = [(k, t + rng.choice([" é\U0001f600 x_1!", "", "\n\tend", "..."])) for k, t in rows] + [(9000, None), (9001, ""), (9002, "!"), (None, "quiet light")]
+    lab = [*labels, (9001, 1, 0), (None, 1, 0)]
+    raw, good = [0] * BUCKETS, [0] * BUCKETS
+    wanted = {k for k, y, _ in lab if y and k is not None}
+    for k, t in rows:
+        for g in buckets((t or "").encode()):
+            raw[g] += 1
+            good[g] += k in wanted
+    total, total_good = sum(raw) + 0.5 * BUCKETS, sum(good)
+    ratio = [math.log((0.95 * y / total_good + 0.05 * (x + 0.5) / total) / ((x + 0.5) / total)) for x, y in zip(raw, good, strict=True)]
+    known = [y for k, y, _ in lab if k is not None]
+    share = sum(known) / len(known)
+    share = min(1.0, share + 2 * math.sqrt(share * (1 - share) / len(known)) + 0.002)
+    keys = {k: sum(ratio[g] for g in buckets((t or "").encode())) + noise(k, (t or "").encode(), 11) for k, t in rows}
+    cut = sorted(keys.values(), reverse=True)[math.ceil(len(rows) * share) - 1]
+    out = {r["doc_id"]: r for r in resampled(documents(rows), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")).collect()}
+    assert all(abs(out[k]["gumbel_key"] - v) < 1e-3 for k, v in keys.items())
+    assert {k for k, r in out.items() if r["selected"]} == {k for k, v in keys.items() if v >= cut} and len(out) == len(rows)
+
+
+def test_empty_texts_compete_with_weight_zero(spark, documents):
+    # k = 1 of 4: the empty text is drawn before texts of negative weight, and goes where one has a large weight
+    lab = spark.createDataFrame([(1, 1, 0)] + [(k, 0, 0) for k in range(100, 200)], "doc_id long, quality int, toxic int")
+    rows = [(1, "quiet light over green hills " * 30), (2, "%% || ## " * 30), (3, "%% ## || " * 30), (4, None)]
+    got = {r["doc_id"]: r for r in resampled(documents(rows), lab).collect()}
+    assert got[4]["log_weight"] == 0.0 and got[2]["log_weight"] < 0 < got[1]["log_weight"] and {k for k, r in got.items() if r["selected"]} == {1}
+    without = fit(documents(rows), lab)
+    assert without.keys([4, 2], [None, "%% || ## " * 30])[2].argmax() == 0
+
+
 def test_noise_is_the_same_when_a_task_runs_again():
     model = Model(np.zeros(BUCKETS), 1.0, 3)
     a, b = model.keys([1, None], ["x", None]), model.keys([1, None], ["x", None])
