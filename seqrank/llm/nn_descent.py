@@ -3,12 +3,13 @@
 Equal vectors become one class first. A neighbour list is kept for every class: it begins with the nearest of a few
 random-hyperplane blocks, and each round joins, around every vector, its neighbours and a sample of those that list it
 with each other (neighbours of neighbours); what beats the end of a list enters it. A list whose every entry reaches the
-threshold is saturated and is doubled. The rounds end when few lists change, or after ROUNDS.
+threshold is saturated and is doubled. The rounds end when one of them brings few new edges at the threshold, or after ROUNDS.
 
 Edges at the threshold or above make components, most of them whole. Lists and rounds are bounded, so links may be missing:
-those between two groups that fill their own lists, or of pairs that no block held together. No sample vouches for
+those between two groups that fill their own lists, or of pairs that no block held together. No sample can vouch for
 such pairs, so every two vectors of a label are held against each other at the end, in pairs of blocks. That counts all
-links, and joins components that a link lies between. No pairs of vectors are written for that; its work grows with
+links, and joins components that a link lies between; and it audits the graph: audited() gives the share of all links that
+its lists hold. No pairs of vectors are written for that; its work grows with
 the square of a label's distinct vectors, in tasks of two blocks.
 
 Defined results: a vector that is null, of zero length, or holds null or non-finite numbers, or has no label, links with
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, map_arrow, stored, table, whole_groups
+from .common import map_arrow, scratch, stored, table, whole_groups
 from .components import components
 
 #: Length of a list at first and at most, blocks per vector to begin with, vectors in such a block on average and at most.
 LIST, LONGEST, TREES, LEAF, LEAF_MOST = 10, 40, 4, 96, 512
-#: Rounds at most, and the share of lists that must change for another.
+#: Rounds at most, and the share of edges at the threshold that must be new for another.
 ROUNDS, CHANGED = 4, 0.02
 #: Vectors of a label in a block, on average: two blocks are held in memory at once. Rows of a block that meet the other at once.
 BLOCK, TILE = 2048, 256
@@ -93,8 +94,8 @@ def _codes(classes: DataFrame) -> DataFrame:
     return codes.join(full, "block").select("id", "block", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / LEAF_MOST)).cast("int").alias("salt"))
 
 
-def _near(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each group (keys, id, label, vec, bound), pairs that beat v's bound: v, u, sim, at most LONGEST for a v."""
+def _near(groups: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of each group (keys, id, label, vec, bound), pairs that beat v's bound: v, u, sim, at most ``most`` for a v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, keys, 1 << 13):
@@ -106,8 +107,8 @@ def _near(groups: DataFrame, keys: list[str]) -> DataFrame:
                 v = _unit(raw[s:e])
                 sim = v @ v.T
                 sim[(label[s:e, None] != label[None, s:e]) | (ids[s:e, None] == ids[None, s:e])] = -2
-                if e - s > LONGEST + 1:
-                    cut = np.partition(sim, e - s - LONGEST, axis=1)[:, e - s - LONGEST]
+                if e - s > most + 1:
+                    cut = np.partition(sim, e - s - most, axis=1)[:, e - s - most]
                     sim[sim < cut[:, None]] = -2
                 x, y = np.nonzero(sim > bound[s:e, None])
                 found.append((ids[s:e][x], ids[s:e][y], sim[x, y]))
@@ -135,7 +136,7 @@ def _ends(graph: DataFrame, threshold: float, size: int) -> DataFrame:
     return lists.select("id", doubled.cast("int").alias("size"), F.when(F.col("n") >= doubled, F.col("least")).otherwise(-1.5).alias("bound"))
 
 
-def _round(graph: DataFrame, classes: DataFrame, threshold: float, size: int, seed: int) -> tuple[DataFrame, float]:
+def _round(graph: DataFrame, classes: DataFrame, threshold: float, size: int, seed: int) -> DataFrame:
     ends = stored(_ends(graph, threshold, size), "ends")
     listed = graph.groupBy("u").agg(F.count("*").alias("n"))
     back = graph.join(listed, "u").filter(F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(1 << 20)) < (size / F.col("n")) * (1 << 20))
@@ -143,22 +144,21 @@ def _round(graph: DataFrame, classes: DataFrame, threshold: float, size: int, se
     itself = classes.select(F.col("id").alias("node"), "id")
     around = pairs.union(itself).distinct()
     bound = classes.join(ends, "id", "left").select("id", "label", "vec", F.coalesce("bound", F.lit(-1.5)).alias("bound"))
-    new = stored(_near(around.join(bound, "id").select("node", "id", "label", "vec", "bound"), ["node"]), "new")
-    merged = Stored(_trimmed(graph.select("v", "u", "sim").union(new), ends.select("id", "size"), size), "graph")
-    changed = merged.df.join(graph, ["v", "u"], "left_anti").select("v").distinct().count()
-    total = max(1, merged.df.select("v").distinct().count())
-    return merged.df, changed / total
+    new = stored(_near(around.join(bound, "id").select("node", "id", "label", "vec", "bound"), ["node"], 2 * size), "new")
+    return stored(_trimmed(graph.select("v", "u", "sim").union(new), ends.select("id", "size"), size), "graph")
 
 
 def neighbour_graph(classes: DataFrame, threshold: float) -> DataFrame:
     """v, u, sim: the refined lists of a table of classes (id, label, vec)."""
-    first = _codes(classes).join(classes.withColumn("bound", F.lit(-1.5)), "id").select("block", "salt", "id", "label", "vec", "bound")
-    graph = stored(_trimmed(_near(first, ["block", "salt"]), None, LIST), "graph")
-    for k in range(ROUNDS):
-        graph, changed = _round(graph, classes, threshold, LIST, k)
-        if changed < CHANGED:
-            break
-    return graph
+    with scratch():
+        first = _codes(classes).join(classes.withColumn("bound", F.lit(-1.5)), "id").select("block", "salt", "id", "label", "vec", "bound")
+        graph = stored(_trimmed(_near(first, ["block", "salt"], LIST), None, LIST), "graph")
+        for k in range(ROUNDS):
+            before, graph = graph, _round(graph, classes, threshold, LIST, k)
+            edges = graph.filter(F.col("sim") >= threshold)
+            if edges.join(before, ["v", "u"], "left_anti").count() <= CHANGED * edges.count():
+                break
+        return stored(graph, "lists", keep=True)
 
 
 def _joining(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
@@ -216,30 +216,48 @@ def _finished(members: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(rows.repartition(*keys).sortWithinPartitions(*keys), run, "id long, links long, other long")
 
 
+def _linked(df: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (vec_id, digest), their classes (digest, n, root) and a row (found, links): the links that the lists hold, in both directions, and all."""
+    with scratch():
+        rows = stored(_prepared(df, id_col, vec_col, label_col), "vectors", keep=True)
+        real = rows.filter("digest is not null")
+        distinct = real.groupBy("digest", "vec_id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"))
+        by_digest = distinct.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+        classes = stored(by_digest, "classes")
+        graph = neighbour_graph(classes.select("id", "label", "vec"), threshold)
+        links = stored(graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b")), "links")
+        found = stored(components(links), "components")
+        members = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("root"), "id", "label", "vec", "weight")
+        finished = stored(_finished(members, threshold), "finished")
+        counted = finished.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
+        joined = components(finished.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        joined = joined.select(F.col("id").alias("part"), F.col("component").alias("whole"))
+        named = members.select("id", "root").join(joined, F.col("root") == F.col("part"), "left").select("id", F.coalesce("whole", "root").alias("root"))
+        named = classes.select("digest", "id", "weight").join(named, "id").join(counted, "id", "left")
+        named = stored(named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), "root"), "named", keep=True)
+        # of the links between classes each is listed from one side at least
+        weights = classes.select("id", "weight")
+        both = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = both.join(weights.toDF("a", "wa"), "a").join(weights.toDF("b", "wb"), "b").agg(F.coalesce(F.sum(2 * F.col("wa") * F.col("wb")), F.lit(0)).alias("found"))
+        every = classes.join(counted, "id", "left").agg(F.coalesce(F.sum(F.col("weight") * F.coalesce("links", F.lit(0))), F.lit(0)).alias("links"))
+        audit = stored(both.crossJoin(every), "audit", keep=True)
+    return rows.select("vec_id", "digest"), named, audit
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = stored(_prepared(df, id_col, vec_col, label_col), "vectors")
-    real = rows.filter("digest is not null")
-    distinct = real.groupBy("digest", "vec_id").agg(F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = stored(
-        distinct.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec")), "classes"
-    )
-    graph = neighbour_graph(classes.select("id", "label", "vec"), threshold)
-    links = graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
-    found = stored(components(links), "components")
-    members = classes.join(found, "id", "left").select(F.coalesce("component", "id").alias("root"), "id", "label", "vec", "weight")
-    finished = stored(_finished(members, threshold), "finished")
-    counted = finished.filter("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(finished.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    joined = joined.select(F.col("id").alias("part"), F.col("component").alias("whole"))
-    named = members.select("id", "root").join(joined, F.col("root") == F.col("part"), "left").select("id", F.coalesce("whole", "root").alias("root"))
-    named = classes.select("digest", "id", "weight").join(named, "id").join(counted, "id", "left")
-    named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), "root")
-    out = rows.select("vec_id", "digest").join(named, "digest", "left")
+    rows, named, _ = _linked(df, id_col, vec_col, label_col, threshold)
+    out = rows.join(named, "digest", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def audited(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
+    """One row: found (links between unlike vectors that the neighbour lists hold), links (all there are) and recall, null without any."""
+    audit = _linked(df, id_col, vec_col, label_col, threshold)[2]
+    return audit.select("found", "links", F.try_divide(F.col("found").cast("double"), F.col("links").cast("double")).alias("recall"))
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 from seqrank.llm import nn_descent
-from seqrank.llm.nn_descent import near_vectors
+from seqrank.llm.nn_descent import audited, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, vec string, digest string, n long"
 
@@ -81,6 +81,29 @@ def test_groups_that_fill_each_others_lists_are_linked(spark):
     assert got == want and set(want.values()) == {(119, 0)}
 
 
+def test_the_audit_counts_what_the_lists_hold(spark):
+    rng = np.random.default_rng(5)
+    rows = [c + 0.02 * rng.normal(size=16) for c in rng.normal(size=(60, 16)) for _ in range(5)] + list(rng.normal(size=(200, 16)))
+    data = [(i, [float(x) for x in v.astype(np.float32)], 1, "", "", 0) for i, v in enumerate(rows)]
+    data += [(1000 + i, *data[i][1:]) for i in range(10)]  # copies: a link from each to what the first is linked with
+    r = audited(spark.createDataFrame(data, SCHEMA)).first()
+    copies = 2 * 10
+    assert r["links"] == sum(n for n, _ in brute(data).values()) - copies and r["recall"] >= 0.95
+    assert audited(spark.createDataFrame([], SCHEMA)).first()["recall"] is None
+
+
+def test_dense_bundles_larger_than_any_list(spark):
+    """Bundles of 60 about 20 degrees apart: their own members fill all lists, and links across join them."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(4):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for c in (a, np.cos(np.radians(20)) * a + np.sin(np.radians(20)) * b):
+            rows += [c + 0.004 * rng.normal(size=32) for _ in range(60)]
+    got, want = groups(spark, rows)
+    assert got == want and len({c for _, c in want.values()}) == 4
+
+
 def test_pairs_that_the_graph_misses_are_found(spark, monkeypatch):
     for name, value in (("TREES", 1), ("LEAF", 4), ("ROUNDS", 0)):  # lists are as the first small blocks leave them
         monkeypatch.setattr(nn_descent, name, value)

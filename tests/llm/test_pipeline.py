@@ -50,3 +50,13 @@ def test_null_ids_and_empty_tables_go_through(spark, documents, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
         left = {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert (None, "q [REDACTED]") in left and (2, "a b  c d e f") in left and (1, "a b c d e f") not in left
+
+
+def test_decisions_hold_for_an_id_and_its_text(spark, documents, tmp_path):
+    one, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = stages["near_dedup"](spark, documents([(3, one), (5, one + " more"), (5, other), (8, other + " x"), (3, one)]), str(tmp_path))
+    assert rows(near) == [(3, one), (5, other)]
+    exact = stages["exact_dedup"](spark, documents([(1, "x y"), (1, "x y"), (1, "x  y"), (2, "xy"), (2, "z"), (None, None), (None, ""), (4, "alone")]), str(tmp_path))
+    assert rows(exact) == [(1, "x  y"), (2, "z"), (4, "alone"), (None, "")]
