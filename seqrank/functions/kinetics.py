@@ -26,3 +26,17 @@ def specific_activity(rate: Column, volume_ml: Column, enzyme_mg: Column, unit:
 
 def per_minute(per_second: Column) -> Column:
     return per_second * 60.0
+
+
+#: The scale by which a model's predictions of a property are multiplied.
+TASK_MAXIMUM = {"pHopt": 14.0, "topt": 120.0, "tm": 100.0}
+
+
+def from_log10(x: Column) -> Column:
+    """A constant predicted as its decimal logarithm."""
+    return F.pow(F.lit(10.0), x)
+
+
+def by_task_maximum(x: Column, task: str) -> Column:
+    """A prediction in [0, 1] in the units of its task."""
+    return x * F.lit(TASK_MAXIMUM[task])

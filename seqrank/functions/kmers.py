@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +46,57 @@ def unit_vectors(buckets: DataFrame, key: list[str], frequency: bool = False) ->
     return buckets.join(norms, key).select(*key, "bucket", scaled.alias("w"))
 
 
-def cosine_to(vectors: DataFrame, others: DataFrame, key: str, other: str) -> DataFrame:
-    """key, other, cosine of all pairs that share a bucket: a join on the bucket, summed by pair."""
-    b = others.select(F.col(other), F.col("bucket"), F.col("w").alias("v"))
-    return vectors.join(b, "bucket").groupBy(key, other).agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+def cosine_to(df: DataFrame, references: DataFrame, key: str, other: str, sequence: str = "sequence", ref: str = "ref_sequence", k: int = K.KMER, dim: int = K.KMER_DIM, per_block: int = 256) -> DataFrame:
+    """key, other, cosine of all rows with all references that share a bucket, of k-mers of the 20 amino acids alone.
+
+    References are packed into blocks; each row meets each block once, in an Arrow batch, where the k-mers of a batch are
+    counted by numpy and its vectors multiplied with the block's as matrices. No row per k-mer is made or shuffled.
+    """
+    known = references.filter(F.col(ref).isNotNull()).select(F.col(other).cast("long").alias("i"), F.col(ref).alias("r"))
+    count = known.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_block)).alias("__blocks"))
+    dealt = known.crossJoin(F.broadcast(count)).groupBy(F.pmod(F.xxhash64("i"), F.col("__blocks")).alias("block"))  # one row
+    blocks = dealt.agg(F.collect_list(F.struct("i", "r")).alias("refs"))
+    letter = np.full(256, -1, np.int64)
+    letter[np.frombuffer(K.AMINO_ACIDS.encode(), np.uint8)] = np.frombuffer(K.AMINO_ACIDS.encode(), np.uint8)
+    offset, prime, mask = K.FNV_OFFSET, K.FNV_PRIME, K.FNV_MASK
+
+    def matrix(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), np.float64)
+        for row, t in zip(out, texts, strict=True):
+            codes = letter[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)]
+            n = len(codes) - k + 1
+            if n < 1:
+                continue
+            h, ok = np.full(n, offset, np.int64), np.ones(n, bool)
+            for j in range(k):
+                part = codes[j : j + n]
+                ok &= part >= 0
+                h = ((h ^ np.maximum(part, 0)) * prime) & mask
+            row += np.bincount(h[ok] % dim, minlength=dim)
+            if (size := math.sqrt(float(row @ row))) > 0:
+                row /= size
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys, texts, block, refs = np.asarray(batch.column(0)), batch.column(1).to_pylist(), np.asarray(batch.column(2)), batch.column(3)
+            for b in np.unique(block).tolist():
+                at = np.flatnonzero(block == b)
+                if b not in made:
+                    if len(made) >= 8:
+                        made.clear()
+                    found = refs[int(at[0])].as_py()
+                    made[b] = np.array([r["i"] for r in found], np.int64), matrix([r["r"] for r in found]).T.copy()
+                ids, other_side = made[b]
+                for s in range(0, len(at), 256):
+                    part = at[s : s + 256]
+                    dots = matrix([texts[i] for i in part.tolist()]) @ other_side
+                    x, y = np.nonzero(dots)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part][x]), pa.array(ids[y]), pa.array(dots[x, y])], [key, other, "cosine"])
+
+    rows = df.filter(F.col(sequence).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(sequence).alias("s"))
+    return rows.crossJoin(blocks.select("block", "refs")).mapInArrow(run, f"{key} long, {other} long, cosine double")
 
 
 def centrality(vectors: DataFrame, key: str, group: str) -> DataFrame:

@@ -1,38 +1,53 @@
-"""Motifs, windows and runs in a sequence: higher-order functions over positions."""
+"""Motifs, windows and runs in a sequence: what depends on positions goes through Arrow batches, as numpy over all residues of a batch."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import ship_active
 from .residues import net_charge, residue_count
 
+
+def _side_by_side(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts with marks (0) between them, their sizes, and where each begins."""
+    sizes = texts.str.len().to_numpy(np.int64)
+    gap = "\0" * 4
+    codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, sizes, np.concatenate([[0], np.cumsum(sizes + 4)[:-1]]) if len(sizes) else sizes
+
+
 #: Positions at either end where a motif's centre isn't taken.
 EDGE = 10
 
 
 def motif_center(s: Column, pattern: tuple[str, str, str] = ("G", "S", "G")) -> Column:
-    """0-based position of the middle residue of ``a.b.c`` nearest to 0.4 of the length, the earlier at a tie; -1 if absent.
+    """0-based position of the middle residue of ``a.b.c`` nearest to 0.4 of the length, the earlier at a tie; -1 if absent, null of null.
 
-    Centres among the first or last EDGE positions don't count.
+    Centres among the first or last EDGE positions don't count. One pass over an Arrow batch: all residues side by side in numpy.
     """
-    a, b, c = pattern
-    length = F.length(s)
-    # the candidates: each character before a match of a.b.c, found without consuming it
-    pieces = F.split(s, f"(?<={a})(?=.{b}.{c})", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("best"), F.lit(None).cast("int").alias("gap"))
-    target = F.floor(length * 0.4).cast("int")
-
-    def step(state: Column, piece: Column) -> Column:
-        at = state["at"] + F.length(piece)
-        center = at + 1  # the piece ends with a, so the centre is the second after it
-        ok = (at < length) & (center >= EDGE) & (center <= length - EDGE - 1)
-        gap = F.abs(center - target)
-        better = ok & (state["gap"].isNull() | (gap < state["gap"]))
-        return F.struct(at.alias("at"), F.when(better, center).otherwise(state["best"]).alias("best"), F.when(better, gap).otherwise(state["gap"]).alias("gap"))
-
-    return F.aggregate(pieces, start, step, lambda x: x["best"])
+    ship_active()
+    a, b, c = (ord(x) for x in pattern)
+    edge = EDGE
+
+    def nearest(texts: pd.Series) -> pd.Series:
+        codes, sizes, begins = _side_by_side(texts)
+        at = np.flatnonzero((codes[:-4] == a) & (codes[2:-2] == b) & (codes[4:] == c))  # no motif reaches over the marks between rows
+        row = np.searchsorted(begins, at, "right") - 1
+        center = at + 2 - begins[row]
+        ok = (center >= edge) & (center <= sizes[row] - edge - 1)
+        row, center = row[ok], center[ok]
+        gap = np.abs(center - np.floor(sizes[row] * 0.4).astype(np.int64))
+        order = np.lexsort((center, gap, row))
+        rows, first = np.unique(row[order], return_index=True)
+        out = np.full(len(texts), -1, np.int64)
+        out[rows] = center[order][first]
+        return pd.Series(out.astype(np.int32))
+
+    return F.when(s.isNotNull(), F.pandas_udf(nearest, "int")(F.coalesce(s, F.lit(""))))
 
 
 def window(s: Column, center: Column, width: int = 41) -> Column:
@@ -53,22 +68,31 @@ def window_charge(part: Column, ph: float) -> Column:
 
 
 def max_hydrophobic_window(s: Column, width: int = 9) -> Column:
-    """Greatest share of hydrophobic residues in a window; of a shorter sequence the whole; 0 if empty.
+    """Greatest share of hydrophobic residues in a window; of a shorter sequence the whole; 0 if empty, null of null.
 
-    One pass: the number in the window is carried along, by what enters and what leaves.
+    One pass over an Arrow batch: a running count of all residues side by side in numpy.
     """
-    marks = F.transform(F.split(F.regexp_replace(F.translate(s, K.HYDROPHOBIC, "1" * len(K.HYDROPHOBIC)), "[^1]", "0"), ""), lambda c: c.cast("int"))
-    length = F.length(s)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    first = F.aggregate(F.slice(marks, 1, width), F.lit(0), lambda t, x: t + F.coalesce(x, F.lit(0)))
-    moves = F.zip_with(F.slice(marks, width + 1, F.greatest(F.lit(0), length - width)), F.slice(marks, 1, F.greatest(F.lit(0), length - width)), lambda new, old: new - old)
-
-    def step(state: Column, move: Column) -> Column:
-        now = state["now"] + move
-        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
-
-    best = F.greatest(F.lit(0), F.aggregate(moves, start, step, lambda x: x["top"])) + first
-    return F.when(length == 0, F.lit(0.0)).when(length < width, first / length).otherwise(best / F.lit(width))
+    ship_active()
+    marks = np.zeros(128, bool)
+    marks[[ord(x) for x in K.HYDROPHOBIC]] = True
+
+    def greatest(texts: pd.Series) -> pd.Series:
+        codes, sizes, begins = _side_by_side(texts)
+        total = np.concatenate([[0], np.cumsum(marks[np.minimum(codes, 127)])])
+        spans = np.minimum(sizes, width)
+        top = np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(sizes > 0)
+        if len(full):
+            inside = total[width:] - total[:-width] if len(total) > width else np.zeros(0, np.int64)
+            long = full[sizes[full] >= width]
+            if len(long):
+                cuts = np.stack([begins[long], begins[long] + sizes[long] - width + 1], 1).ravel()
+                top[long] = np.maximum.reduceat(np.concatenate([inside, [0]]), cuts)[::2]
+            short = full[sizes[full] < width]
+            top[short] = total[begins[short] + sizes[short]] - total[begins[short]]
+        return pd.Series(np.where(sizes > 0, top / np.maximum(spans, 1), 0.0))
+
+    return F.when(s.isNotNull(), F.pandas_udf(greatest, "double")(F.coalesce(s, F.lit(""))))
 
 
 def max_hydrophobic_run(s: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Residue expressions over a sequence column: all of them stay in the JVM.
+"""Residue expressions over a sequence column: all of them stay in the JVM but the isoelectric point.
 
 Counts are made once as a struct column (see with_counts) and every other feature is arithmetic over it, so that the
 expressions stay small.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,27 +87,45 @@ def net_charge(s: Column, n: Column, ph: Column) -> Column:
 
 
 def isoelectric_point(s: Column, n: Column) -> Column:
-    """Bisection with a fixed number of steps."""
-    start = F.struct(F.lit(K.PI_START).alias("ph"), F.lit(K.PI_LOW).alias("lo"), F.lit(K.PI_HIGH).alias("hi"))
-
-    def step(state: Column, _: Column) -> Column:
-        up = net_charge(s, n, state["ph"]) > 0
-        lo, hi = F.when(up, state["ph"]).otherwise(state["lo"]), F.when(up, state["hi"]).otherwise(state["ph"])
-        return F.struct(((lo + hi) / 2).alias("ph"), lo.alias("lo"), hi.alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(K.PI_STEPS)), start, step, lambda x: x["ph"])
+    """Bisection with a fixed number of steps, of all rows of an Arrow batch at once; it needs nine counts and the ends, never the sequence."""
+    groups = [*K.PK_POSITIVE, *K.PK_NEGATIVE]
+    pks = np.array([*K.PK_POSITIVE.values(), *K.PK_NEGATIVE.values()])
+    sign = np.array([1.0] * len(K.PK_POSITIVE) + [-1.0] * len(K.PK_NEGATIVE))
+    start, low, high, steps = K.PI_START, K.PI_LOW, K.PI_HIGH, K.PI_STEPS
+
+    def bisected(counts: pd.DataFrame) -> pd.Series:
+        c = counts.to_numpy(np.float64)
+        own, first, last, full = c[:, : len(pks)], c[:, -3], c[:, -2], c[:, -1] > 0
+        ph, lo, hi = (np.full(len(c), x) for x in (start, low, high))
+        for _ in range(steps):
+            # protonated bases and the first residue, less deprotonated acids and the last
+            part = own / (1.0 + np.power(10.0, sign * (ph[:, None] - pks)))
+            charge = part[:, sign > 0].sum(1) + 1.0 / (1.0 + np.power(10.0, ph - first)) - part[:, sign < 0].sum(1) - 1.0 / (1.0 + np.power(10.0, last - ph))
+            up = np.where(full, charge, 0.0) > 0
+            lo, hi = np.where(up, ph, lo), np.where(up, hi, ph)
+            ph = (lo + hi) / 2
+        return pd.Series(ph)
+
+    first = _terminus(F.left(s, F.lit(1)), K.PK_N_TERMINUS, K.PK_N_TERMINAL)
+    last = _terminus(F.right(s, F.lit(1)), K.PK_C_TERMINUS, K.PK_C_TERMINAL)
+    inputs = [n[a].cast("double").alias(a) for a in groups] + [first.cast("double").alias("first"), last.cast("double").alias("last"), F.length(s).cast("double").alias("length")]
+    found = F.pandas_udf(bisected, "double")(F.struct(*inputs))
+    return F.when(s.isNotNull(), found)
 
 
 def instability_index(df: DataFrame, weights: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """key, instability: 10 / length times the sum of the dipeptides' weights.
 
-    weights (pair, weight) is the caller's table of at most 400 rows; pairs that it lacks count nothing. Dipeptides
-    are counted per sequence before they meet the weights.
+    weights (pair, weight) is the caller's table of at most 400 pairs, each once, which is checked; pairs that it lacks count nothing.
+    Dipeptides are counted per sequence before they meet the weights.
     """
+    size = weights.agg(F.count("*").alias("n"), F.countDistinct("pair").alias("pairs")).first()
+    if size["n"] > len(K.AMINO_ACIDS) ** 2 or size["n"] != size["pairs"]:
+        raise ValueError(f"instability weights: {size['n']} rows with {size['pairs']} pairs; at most {len(K.AMINO_ACIDS) ** 2}, each once, can be used")
     rows = df.select(key, F.col(sequence).alias("s")).withColumn("length", F.length("s"))
     pairs = rows.select(key, "length", F.explode(kmer_words(F.col("s"), 2)).alias("pair"))
     counts = pairs.groupBy(key, "length", "pair").agg(F.count("*").alias("c"))
-    sums = counts.join(F.broadcast(weights.select("pair", "weight").limit(400)), "pair").groupBy(key, "length").agg(F.sum(F.col("c") * F.col("weight")).alias("total"))
+    sums = counts.join(F.broadcast(weights.select("pair", "weight")), "pair").groupBy(key, "length").agg(F.sum(F.col("c") * F.col("weight")).alias("total"))
     scored = sums.select(key, (10.0 / F.col("length") * F.col("total")).alias("instability"))
     return rows.select(key).join(scored, key, "left").fillna({"instability": 0.0})
 

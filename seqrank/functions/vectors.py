@@ -34,3 +34,20 @@ def mean_pool(df: DataFrame, key: list[str], vector: str) -> DataFrame:
     parts = df.select(*key, F.posexplode(vector).alias("i", "x")).groupBy(*key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     pooled = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("p"))
     return pooled.select(*key, F.transform("p", lambda s: s["m"]).alias("pooled"))
+
+
+def token_log_likelihood(logits: Column, tokens: Column, special: tuple[int, ...] = ()) -> Column:
+    """Mean log-probability of a sequence's own tokens under a model's logits; special tokens (begin, end, padding) don't count.
+
+    logits: an array of scores over the vocabulary for each position; tokens: the token id at each. Null if no position counts.
+    """
+    pairs = F.arrays_zip(logits.alias("scores"), tokens.alias("token"))
+    kept = F.filter(pairs, lambda p: ~p["token"].isin(list(special))) if special else pairs
+
+    def log_probability(p: Column) -> Column:
+        scores = F.transform(p["scores"], lambda x: x.cast("double"))
+        top = F.array_max(scores)
+        total = F.aggregate(scores, F.lit(0.0), lambda t, x: t + F.exp(x - top))
+        return F.element_at(scores, p["token"] + 1) - top - F.log(total)
+
+    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda t, p: t + log_probability(p)), F.size(kept))

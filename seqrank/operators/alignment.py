@@ -1,7 +1,8 @@
 """Global alignment with match 1 and all else 0, that is the longest common subsequence, of all rows with all references.
 
-References are packed into blocks, and each distinct sequence meets each block once, in an Arrow batch: a bit-parallel
-recurrence takes one step per residue on a whole reference. The blocks are a table, so nothing goes through the driver.
+References are packed into blocks of ``BLOCK``, and each distinct sequence meets each block once, in an Arrow batch: the references of a block
+lie side by side in one wide integer, with a bit between them that takes each one's carry, and a bit-parallel recurrence takes one
+step per residue on all of them. The blocks are a table, so nothing goes through the driver.
 """
 
 from __future__ import annotations
@@ -18,62 +19,80 @@ from ..session import ship
 BLOCK = 64
 
 
-def masks_of(reference: str) -> dict[str, int]:
-    """For each letter the positions at which a reference has it, as bits."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(reference):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    return masks
+class Packed:
+    """References side by side in one integer, each with a spare bit above it."""
 
+    def __init__(self, references: list[str]):
+        self.masks: dict[str, int] = {}
+        self.full, self.places, at = 0, [], 0
+        for r in references:
+            for i, c in enumerate(r, at):
+                self.masks[c] = self.masks.get(c, 0) | (1 << i)
+            self.full |= ((1 << len(r)) - 1) << at
+            self.places.append((at, len(r), (1 << len(r)) - 1))
+            at += len(r) + 1
 
-def lcs_length(masks: dict[str, int], length: int, sequence: str) -> int:
-    full = (1 << length) - 1
-    v = full
-    for c in sequence:
-        if m := masks.get(c):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return length - v.bit_count()
+    def lcs(self, sequence: str) -> list[int]:
+        """The length of the longest common subsequence with each reference."""
+        v, full, get = self.full, self.full, self.masks.get
+        for c in sequence:
+            if m := get(c):
+                u = v & m
+                v = ((v + u) | (v ^ u)) & full  # what is carried out of a reference ends in the bit above it
+        return [n - (v >> at & own).bit_count() for at, n, own in self.places]
 
 
-def all_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
-    """sequence, ref_id, ref_length, score: each distinct sequence with each reference (null ones left out)."""
+def blocks_of(references: DataFrame, ref: str, ref_id: str) -> DataFrame:
+    """block, refs (array of struct<i, r>): references dealt over as many blocks as it takes; null ones are left out."""
+    known = references.filter(F.col(ref).isNotNull()).select(F.col(ref_id).cast("long").alias("i"), F.lower(ref).alias("r"))
+    count = known.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("__blocks"))
+    dealt = known.crossJoin(F.broadcast(count))  # one row
+    return dealt.groupBy(F.pmod(F.xxhash64("i"), F.col("__blocks")).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("refs"))
+
+
+def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
+    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and block of references (null ones left out)."""
     ship(df.sparkSession)
-    pairs = F.collect_list(F.struct(F.col(ref_id).cast("long").alias("i"), F.lower(ref).alias("r")))
-    blocks = references.filter(F.col(ref).isNotNull()).groupBy(F.pmod(F.hash(ref_id), F.greatest(F.lit(1), F.lit(BLOCK))).alias("__b")).agg(pairs.alias("refs"))
     rows = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct()
+    kind = pa.list_(pa.struct([("ref_id", pa.int64()), ("ref_length", pa.int32()), ("score", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[dict[str, int], int]] = {}
+        known: dict[int, tuple[Packed, list[int], list[int]]] = {}
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for s, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low = s.lower()
-                for r in refs:
-                    if r["r"] not in known:
-                        if len(known) > 4 * BLOCK:
-                            known.clear()
-                        known[r["r"]] = (masks_of(r["r"]), len(r["r"]))
-                    for c, x in zip(out, (s, r["i"], known[r["r"]][1], lcs_length(*known[r["r"]], low)), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["sequence", "ref_id", "ref_length", "score"])
-
-    met = rows.crossJoin(blocks.select("refs"))  # rows times blocks, not times references
-    return met.mapInArrow(run, "sequence string, ref_id long, ref_length int, score int")
-
-
-def best_match(scores: DataFrame) -> DataFrame:
-    """sequence, best_ref_id, best_score: the highest score above 0, the lowest id at a tie; null and 0 if there is none."""
-    best = F.max(F.struct("score", (-F.col("ref_id")).alias("i"))).alias("b")
-    found = scores.groupBy("sequence").agg(best)
+            blocks, texts, refs = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2)
+            names, out = [], []
+            for k in sorted(range(len(blocks)), key=blocks.__getitem__):  # one block's rows after each other
+                if blocks[k] not in known:
+                    if len(known) >= BLOCK:
+                        known.clear()
+                    found = refs[k].as_py()
+                    known[blocks[k]] = Packed([r["r"] for r in found]), [r["i"] for r in found], [len(r["r"]) for r in found]
+                packed, ids, lengths = known[blocks[k]]
+                names.append(texts[k])
+                out.append([{"ref_id": i, "ref_length": n, "score": x} for i, n, x in zip(ids, lengths, packed.lcs(texts[k].lower()), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, kind)], ["sequence", "found"])
+
+    met = rows.crossJoin(blocks_of(references, ref, ref_id).select("block", "refs"))  # rows times blocks, not times references
+    return met.mapInArrow(run, "sequence string, found array<struct<ref_id:long,ref_length:int,score:int>>")
+
+
+def all_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
+    """sequence, ref_id, ref_length, score: each distinct sequence with each reference (null ones left out)."""
+    return block_scores(df, references, sequence, ref, ref_id).select("sequence", F.inline("found"))
+
+
+def best_match(blocks: DataFrame) -> DataFrame:
+    """sequence, best_ref_id, best_score of block_scores: the highest score above 0, the lowest id at a tie; null and 0 if there is none."""
+    own = F.array_max(F.transform("found", lambda x: F.struct(x["score"].alias("score"), (-x["ref_id"]).alias("i"))))
+    found = blocks.groupBy("sequence").agg(F.max(own).alias("b"))
     hit = F.col("b.score") > 0
     return found.select("sequence", F.when(hit, -F.col("b.i")).alias("best_ref_id"), F.col("b.score").alias("best_score"))
 
 
-def score_arrays(scores: DataFrame) -> DataFrame:
-    """sequence, scores, identity_percent: arrays over the references in the order of their ids."""
-    part = F.sort_array(F.collect_list(F.struct("ref_id", "score", "ref_length")))
-    rows = scores.groupBy("sequence").agg(part.alias("p"))
+def score_arrays(blocks: DataFrame) -> DataFrame:
+    """sequence, scores, identity_percent of block_scores: arrays over the references in the order of their ids."""
+    part = F.sort_array(F.flatten(F.collect_list("found")))
+    rows = blocks.groupBy("sequence").agg(part.alias("p"))
     return rows.select(
         "sequence",
         F.transform("p", lambda x: x["score"]).alias("scores"),

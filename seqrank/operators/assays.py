@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import exact_quantiles
+
 
 def have_all(df: DataFrame, key: str, condition: str, values: Sequence[object]) -> DataFrame:
     """Keys measured under every one of the conditions."""
@@ -32,11 +34,8 @@ def paired(wide: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def summary(pairs: DataFrame) -> DataFrame:
-    """Pairs, share of positive labels, mean and sd of the delta and its quantiles."""
-    return pairs.agg(
-        F.count("*").alias("n_pairs"),
-        F.avg("label").alias("rate"),
-        F.avg("delta").alias("mean_delta"),
-        F.stddev_samp("delta").alias("sd_delta"),
-        *(F.percentile("delta", q).alias(f"q{int(100 * q)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)),
-    )
+    """Pairs, share of positive labels, mean and sd of the delta and its exact quantiles: one row."""
+    at = (0.1, 0.25, 0.5, 0.75, 0.9)
+    found = exact_quantiles(pairs, {"delta": F.col("delta")}, at)["delta"]
+    row = pairs.agg(F.count("*").alias("n_pairs"), F.avg("label").alias("rate"), F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("sd_delta"))
+    return row.withColumns({f"q{int(100 * q)}": F.lit(v).cast("double") for q, v in zip(at, found, strict=True)})

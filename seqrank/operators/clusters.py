@@ -36,10 +36,11 @@ def _unit(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _assigned(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """key, seq_len, c, similarity: the nearest centre, the lowest at a tie."""
+    """key, seq_len, c, similarity: the nearest centre (to nine digits), the lowest at a tie."""
     c = centres.select("seq_len", "c", "bucket", F.col("w").alias("v"))
     dots = vectors.join(c, ["seq_len", "bucket"]).groupBy("key", "seq_len", "c").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
-    best = dots.groupBy("key", "seq_len").agg(F.max(F.struct("similarity", (-F.col("c")).alias("c"))).alias("b"))
+    nearest = F.struct(F.round("similarity", 9).alias("near"), (-F.col("c")).alias("c"), "similarity")
+    best = dots.groupBy("key", "seq_len").agg(F.max(nearest).alias("b"))
     return best.select("key", "seq_len", (-F.col("b.c")).alias("c"), F.col("b.similarity").alias("similarity"))
 
 
@@ -49,11 +50,12 @@ def clusters(df: DataFrame, sequence: str = "sequence", k: int = K.KMER, dim: in
     policy = group_policy(distinct, "key")
     rows = stored(distinct.join(policy, "seq_len"), "lengths")
     single = rows.filter("not clustered").select("key", "seq_len", F.row_number().over(Window.partitionBy("seq_len").orderBy("key")).cast("long").alias("c"), F.lit(1.0).alias("similarity"))
-    big = rows.filter("clustered").withColumn("seed", F.xxhash64("key"))
+    big = rows.filter("clustered").withColumn("seed", F.md5("key"))
     vectors = unit_vectors(kmer_buckets(big.withColumn("s", F.col("key")), ["key", "seq_len"], "s", k, dim), ["key", "seq_len"])
     vectors = stored(vectors, "vectors")
     rank = F.row_number().over(Window.partitionBy("seq_len").orderBy("seed", "key"))
-    seeds = big.withColumn("c", rank.cast("long")).filter(F.col("c") <= F.col("k")).select("key", "seq_len", "c")
+    # the literal bound lets each task keep the first few of its rows before they are shuffled
+    seeds = big.withColumn("c", rank).filter(F.col("c") <= K.CLUSTERS_MOST).filter(F.col("c") <= F.col("k")).select("key", "seq_len", F.col("c").cast("long").alias("c"))
     centres = vectors.join(seeds, ["key", "seq_len"]).select("seq_len", "c", "bucket", "w")
     for _ in range(rounds):
         found = stored(_assigned(vectors, centres), "assigned")
@@ -72,6 +74,6 @@ def clusters(df: DataFrame, sequence: str = "sequence", k: int = K.KMER, dim: in
 
 
 def representatives(clustered: DataFrame) -> DataFrame:
-    """cluster_id, seq_len, cluster_size, rep_sequence, avg_similarity: the member nearest to the centre, the first in order at a tie."""
-    best = F.max_by("sequence", F.struct(F.round("similarity", 9))).alias("rep_sequence")
+    """cluster_id, seq_len, cluster_size, rep_sequence, avg_similarity: the member nearest to the centre (to nine digits), the least sequence at a tie."""
+    best = F.min_by("sequence", F.struct(-F.round("similarity", 9), "sequence")).alias("rep_sequence")
     return clustered.groupBy("cluster_id", "seq_len").agg(F.count("*").alias("cluster_size"), best, F.avg("similarity").alias("avg_similarity"))

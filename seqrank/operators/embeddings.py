@@ -15,6 +15,13 @@ def delta(cosine: Column) -> Column:
     return 1.0 - cosine
 
 
+def delta_given(df: DataFrame, delta_col: str = "delta_emb", cosine_col: str = "wt_cosine_sim") -> DataFrame:
+    """The table with delta_emb: where it is absent or null it comes from the cosine to the wild type, if that is given."""
+    given = [F.col(delta_col).cast("double")] if delta_col in df.columns else []
+    given += [delta(F.col(cosine_col).cast("double"))] if cosine_col in df.columns else []
+    return df.withColumn(delta_col, F.coalesce(*given)) if given else df
+
+
 def with_delta(df: DataFrame, embeddings: DataFrame, sequence: str = "sequence", wt: str = "wt_sequence") -> DataFrame:
     """Adds wt_cosine_sim and delta_emb. embeddings: sequence, embedding; each distinct wild type is looked up once."""
     own = embeddings.select(F.col("sequence").alias(sequence), F.col("embedding").alias("__own"))
@@ -24,6 +31,12 @@ def with_delta(df: DataFrame, embeddings: DataFrame, sequence: str = "sequence",
     return joined.withColumns({"wt_cosine_sim": cosine, "delta_emb": delta(cosine)}).drop("__own", "__wt")
 
 
+def usable(embedding: Column) -> Column:
+    """Whether a cached vector can be used: it isn't null or empty, and holds finite numbers only."""
+    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return embedding.isNotNull() & (F.size(embedding) > 0) & whole
+
+
 def cache_missing(df: DataFrame, cache: DataFrame, model: str, sequence: str = "sequence") -> DataFrame:
     """key, sequence of the distinct sequences whose key the cache lacks."""
     keyed = df.select(cache_key(F.lit(model), F.col(sequence)).alias("key"), F.col(sequence).alias("sequence")).distinct()
@@ -33,11 +46,16 @@ def cache_missing(df: DataFrame, cache: DataFrame, model: str, sequence: str = "
 def through_cache(spark: SparkSession, df: DataFrame, path: str, model: str, provide: Callable[[DataFrame], DataFrame], sequence: str = "sequence") -> DataFrame:
     """key, embedding of every distinct sequence: what the Parquet cache lacks is provided and appended to it.
 
-    provide: takes (key, sequence) and returns (key, embedding). The committer removes what a failed append leaves.
+    provide: takes (key, sequence) and returns (key, embedding). The committer removes what a failed append leaves. A file of the cache that can't be
+    read, and a vector in it that can't be used, count as lacking: they are provided again.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    cache = spark.read.parquet(path) if exists else spark.createDataFrame([], "key string, embedding array<double>")
-    provide(cache_missing(df, cache, model, sequence)).select("key", "embedding").write.mode("append").parquet(path)
+    reader = spark.read.schema("key string, embedding array<double>").option("ignoreCorruptFiles", True)
+    read = lambda: reader.parquet(path).filter(usable(F.col("embedding")))
+    cache = read() if exists else spark.createDataFrame([], "key string, embedding array<double>")
+    missing = cache_missing(df, cache, model, sequence)
+    if not missing.isEmpty():
+        provide(missing).select("key", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("append").parquet(path)
     wanted = df.select(cache_key(F.lit(model), F.col(sequence)).alias("key")).distinct()
-    return spark.read.parquet(path).join(wanted, "key", "left_semi")
+    return read().join(wanted, "key", "left_semi").dropDuplicates(["key"])

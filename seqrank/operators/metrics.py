@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import rank_average, running_before, safe_corr
+from .stats import rank_average, running_within, safe_corr
 
 
 def ndcg_top_fraction(df: DataFrame, predicted: str, truth: str, row_id: str, fraction: float = 0.1, group: list[str] | None = None) -> DataFrame:
@@ -21,10 +21,7 @@ def ndcg_top_fraction(df: DataFrame, predicted: str, truth: str, row_id: str, fr
     gain = F.when(F.col("hi") > F.col("lo"), (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
 
     def sums(by: str, to: str) -> DataFrame:
-        if keys:
-            placed = joined.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), F.desc("r"))))
-        else:
-            placed = running_before(joined, [F.desc(by), F.desc("r")], F.lit(1), "place").withColumn("place", F.col("place") + 1)
+        placed = running_within(joined, keys, [F.desc(by), F.desc("r")], F.lit(1), "place").withColumn("place", F.col("place") + 1)
         top = placed.select(*keys, "k", gain.alias("g"), "place").filter("place <= k")
         return top.groupBy(*keys).agg(F.sum(F.col("g") / F.log2(F.col("place") + 1.0)).alias(to))
 

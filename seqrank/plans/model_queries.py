@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from .. import constants as K
 from ..functions import kmers, residues, vectors
 from ..operators import clusters, embeddings, folds, metrics, models, wild_types
 from ..operators.stats import centered, robust_z, running_before
-from ..session import stored
-from . import scores
-from .catalogue import CHARS, COUNTS, SEQS, Catalogue, charge_sql, kmers_sql, r6, sequences, table, weighted
-from .sequence_queries import _motif_sql
+from ..session import shared_dir, stored
+from . import fit_sql, scores
+from .catalogue import CHARS, COUNTS, SEQS, Catalogue, charge_sql, kmers_sql, r6, sequences, table, values, weighted
+from .sequence_queries import _PI, _motif_sql, dipeptide_weights
 
 C = Catalogue()
 
@@ -102,15 +104,43 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return words.select(F.regexp_replace("w", f"[^{K.AMINO_ACIDS}]", "").alias("sequence")).filter(F.length("sequence") >= 3)
 
 
-@C.add("kmeans_groups")
+def _kmeans_sql(rounds: int = 4) -> str:
+    """The same rounds as joins: seeds by MD5, nearest centres to nine digits, the lowest at a tie."""
+    letters = f"regexp_replace(w, '[^{K.AMINO_ACIDS}]', '', 'g')"
+    out = [
+        f"lines AS (SELECT {letters} AS sequence FROM (SELECT unnest(string_split_regex(upper(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' +')) AS w FROM documents))",
+        "d AS (SELECT DISTINCT sequence, length(sequence) AS seq_len FROM lines WHERE length(sequence) >= 3)",
+        f"g AS (SELECT seq_len, n >= {K.SMALL_GROUP} AS clustered, CASE WHEN n >= {K.SMALL_GROUP} THEN least(n, {_K}) ELSE n END AS k FROM (SELECT seq_len, count(*) AS n FROM d GROUP BY ALL))",
+        "small AS (SELECT sequence, seq_len, row_number() OVER (PARTITION BY seq_len ORDER BY sequence) AS c, 1.0::DOUBLE AS similarity FROM d JOIN g USING (seq_len) WHERE NOT clustered)",
+        "big AS (SELECT sequence, seq_len, k FROM d JOIN g USING (seq_len) WHERE clustered)",
+        kmers_sql("(SELECT sequence AS key, sequence FROM big)", "key", "v"),
+        "x AS MATERIALIZED (SELECT key, length(key) AS seq_len, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY key)) AS w FROM v)",
+        "c0 AS MATERIALIZED (SELECT x.seq_len, s.c, bucket, w AS u FROM x JOIN (SELECT sequence, row_number() OVER (PARTITION BY seq_len ORDER BY md5(sequence), sequence) AS c, k FROM big) s ON s.sequence = x.key WHERE s.c <= s.k)",
+    ]
+    for r in range(rounds + 1):
+        dots = f"SELECT x.key, x.seq_len, c, sum(w * u) AS similarity FROM x JOIN c{r} ON x.seq_len = c{r}.seq_len AND x.bucket = c{r}.bucket GROUP BY ALL"
+        out.append(f"a{r} AS MATERIALIZED (SELECT * FROM ({dots}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(similarity, 9) DESC, c) = 1)")
+        if r < rounds:
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT seq_len, c, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY seq_len, c)) AS u FROM (SELECT x.seq_len, a{r}.c, bucket, sum(w) AS w FROM x JOIN a{r} USING (key) GROUP BY ALL))")
+    out += [
+        f"every AS (SELECT sequence, seq_len, c, similarity FROM small UNION ALL SELECT key, seq_len, c, similarity FROM a{rounds} UNION ALL SELECT sequence, seq_len, 0, 1.0 FROM big WHERE sequence NOT IN (SELECT key FROM a{rounds}))",
+        "clustered AS (SELECT sequence, seq_len, dense_rank() OVER (ORDER BY seq_len, c) - 1 AS cluster_id, similarity FROM every)",
+    ]
+    return "WITH " + ", ".join(out)
+
+
+@C.add("kmeans_groups", f"{_kmeans_sql()} SELECT sequence, seq_len, cluster_id, round(similarity, 6) AS similarity FROM clustered")
 def kmeans_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Iterative; the tests hold its invariants."""
-    return clusters.clusters(_lines(spark, d))
+    return clusters.clusters(_lines(spark, d)).select("sequence", F.col("seq_len").cast("long").alias("seq_len"), "cluster_id", r6("similarity"))
 
 
-@C.add("cluster_reps")
+@C.add(
+    "cluster_reps",
+    f"{_kmeans_sql()} SELECT cluster_id, seq_len, count(*) AS cluster_size, arg_min(sequence, (-round(similarity, 9), sequence)) AS rep_sequence, round(avg(similarity), 6) AS avg_similarity FROM clustered GROUP BY cluster_id, seq_len",
+)
 def cluster_reps(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.representatives(clusters.clusters(_lines(spark, d)))
+    out = clusters.representatives(clusters.clusters(_lines(spark, d)))
+    return out.select("cluster_id", F.col("seq_len").cast("long").alias("seq_len"), "cluster_size", "rep_sequence", r6("avg_similarity"))
 
 
 # --- embeddings ------------------------------------------------------------------------------------------------------
@@ -148,6 +178,38 @@ def delta_emb(spark: SparkSession, d: str) -> DataFrame:
     return _against_first(spark, d).select("vec_id", r6("delta_emb", embeddings.delta(F.col("cosine"))))
 
 
+@C.add("delta_inverse", f"SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN 0.5 ELSE 1 - {_COS} END, 6) AS delta_emb {_PAIR}")
+def delta_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """From the cosine where the delta isn't given."""
+    given = F.when(F.col("vec_id") % 3 == 0, F.lit(0.5))
+    rows = _against_first(spark, d).withColumnRenamed("cosine", "wt_cosine_sim").withColumn("delta_emb", given)
+    return embeddings.delta_given(rows).select("vec_id", r6("delta_emb"))
+
+
+@C.add(
+    "token_log_likelihood",
+    "WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(8)) AS pos FROM embeddings), q AS (SELECT vec_id, (vec_id + 3 * pos) % 8 AS token, e[8 * pos + 1 : 8 * pos + 8] AS s FROM p) "
+    "SELECT vec_id, round(avg(s[token + 1] - ln(list_sum(list_transform(s, lambda x: exp(x))))), 6) AS ll FROM q WHERE token NOT IN (0, 2) GROUP BY vec_id",
+)
+def token_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding read as a model's scores of 8 tokens at 8 positions, two of the tokens being special."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((F.col("vec_id") + 3 * k) % 8).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", r6("ll", vectors.token_log_likelihood(logits, tokens, (0, 2))))
+
+
+@C.add("embed_cache_fill", f"WITH {SEQS} SELECT DISTINCT sha1('model-v1|' || sequence) AS key, length(sequence)::DOUBLE + 1 AS first FROM seqs")
+def embed_cache_fill(spark: SparkSession, d: str) -> DataFrame:
+    """A cache with some vectors, some of them unusable, is completed by a provider and read."""
+    rows, path = sequences(spark, d), f"{shared_dir(spark)}/seqrank/cache-{uuid.uuid4().hex}"
+    vector = F.array(F.length("sequence").cast("double") + 1, F.lit(0.5))
+    known = rows.join(table(spark, d, "labels"), "doc_id").select("sequence", "quality").dropDuplicates(["sequence"])
+    broken = F.when(F.col("quality") == 0, F.array(F.lit(float("nan")))).otherwise(vector)
+    known.select(F.sha1(F.concat_ws("|", F.lit("model-v1"), "sequence")).alias("key"), broken.alias("embedding")).write.parquet(path)
+    out = embeddings.through_cache(spark, rows, path, "model-v1", lambda missing: missing.select("key", vector.alias("embedding")))
+    return out.select("key", F.element_at("embedding", 1).alias("first"))
+
+
 @C.add("embed_cache_miss", f"WITH {SEQS} SELECT DISTINCT sha1('model-v1|' || sequence) AS key FROM seqs WHERE sequence NOT IN (SELECT sequence FROM seqs JOIN labels USING (doc_id))")
 def embed_cache_miss(spark: SparkSession, d: str) -> DataFrame:
     rows = sequences(spark, d)
@@ -256,16 +318,43 @@ def ensemble_mean(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", r6("ensemble", scores.ensemble_mean(["a", "b"])))
 
 
-@C.add(
-    "properties_r6",
-    f"{_motif_sql('E', 'T', 'E')}, {COUNTS}, m AS (SELECT len AS mode FROM cnt GROUP BY len ORDER BY count(*) DESC, len LIMIT 1), "
-    f"pr AS (SELECT doc_id, len, (center IS NULL)::INTEGER AS motif_penalty, CASE WHEN len > 0 THEN {weighted(K.HYDROPATHY)} / len ELSE 0 END AS hydrophobicity, {charge_sql('9.0')} AS charge9, 0 - abs(len - mode) / mode AS length_penalty FROM cnt LEFT JOIN (SELECT doc_id, center FROM f) USING (doc_id), m) "
-    "SELECT doc_id, motif_penalty, round((hydrophobicity - avg(hydrophobicity) OVER ()) / stddev_samp(hydrophobicity) OVER (), 5) AS z_hydrophobicity, round((charge9 - avg(charge9) OVER ()) / stddev_samp(charge9) OVER (), 5) AS z_charge9, "
-    "round((length_penalty - avg(length_penalty) OVER ()) / stddev_samp(length_penalty) OVER (), 5) AS z_length_penalty FROM pr",
-)
+_R6 = {
+    "iep": "ph",
+    "charge7": charge_sql("7.4"),
+    "charge9": charge_sql("9.0"),
+    "charge55": charge_sql("5.5"),
+    "molecular_weight": f"CASE WHEN len > 0 THEN {weighted(K.MASS)} - (len - 1) * {K.WATER}::DOUBLE ELSE 0 END",
+    "hydrophobicity": f"CASE WHEN len > 0 THEN {weighted(K.HYDROPATHY)} / len ELSE 0 END",
+    "pg_fraction": "CASE WHEN len > 0 THEN (nP + nG) / len::DOUBLE ELSE 0 END",
+    "local_charge55": "local55",
+    "local_charge90": "local90",
+    "agg_window": "coalesce(agg_window, 0)",
+    "agg_run": "coalesce(agg_run, 0)::DOUBLE",
+    "length_penalty": "0 - abs(len - mode) / mode",
+    "instability_index": "CASE WHEN len > 1 THEN 10.0::DOUBLE / len * coalesce(total, 0) ELSE 0 END",
+}
+
+
+def _r6_sql() -> str:
+    motif = _motif_sql("E", "T", "E").split(f"{CHARS}, ", 1)[1]
+    hyd = ", ".join(repr(x) for x in K.HYDROPHOBIC)
+    window = ", ".join(f"length(part) - length(replace(part, '{a}', '')) AS n{a}" for a in (*K.PK_POSITIVE, *K.PK_NEGATIVE))
+    return (
+        f"{_PI}, {motif}, hw AS (SELECT doc_id, max(h) / least(9, any_value(len))::DOUBLE AS agg_window FROM (SELECT doc_id, pos, sum((c IN ({hyd}))::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS h, count(*) OVER (PARTITION BY doc_id) AS len FROM chars) WHERE pos >= 8 OR pos = len - 1 GROUP BY doc_id), "
+        f"hr AS (SELECT doc_id, max(n) AS agg_run FROM (SELECT doc_id, island, count(*) AS n FROM (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM chars WHERE c IN ({hyd})) GROUP BY ALL) GROUP BY doc_id), "
+        "lm AS (SELECT len AS mode FROM cnt GROUP BY len ORDER BY count(*) DESC, len LIMIT 1), "
+        "part_ AS (SELECT doc_id, CASE WHEN center IS NULL THEN '' ELSE substr(sequence, (greatest(center - 20, 0) + 1)::BIGINT, (least(center + 21, length(sequence)) - greatest(center - 20, 0))::BIGINT) END AS part, (center IS NULL)::INTEGER AS motif_penalty FROM seqs LEFT JOIN f USING (doc_id)), "
+        f"lq AS (SELECT doc_id, motif_penalty, {charge_sql('5.5', 'part')} AS local55, {charge_sql('9.0', 'part')} AS local90 FROM (SELECT doc_id, part, motif_penalty, {window} FROM part_)), "
+        f"sc AS (SELECT c, w FROM {values(K.HYDROPATHY)}), di AS (SELECT doc_id, c AS a, lead(c) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM chars), ins AS (SELECT doc_id, sum(abs(x.w - y.w) / 7) AS total FROM di JOIN sc x ON di.a = x.c JOIN sc y ON di.b = y.c GROUP BY doc_id), "
+        f"pr AS (SELECT doc_id, motif_penalty, {', '.join(f'{v} AS {k}' for k, v in _R6.items())} FROM cnt JOIN b USING (doc_id) JOIN lq USING (doc_id) LEFT JOIN hw USING (doc_id) LEFT JOIN hr USING (doc_id) LEFT JOIN ins USING (doc_id), lm WHERE b.k = {K.PI_STEPS}) "
+        f"SELECT doc_id, motif_penalty, {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 5) AS z_{c}' for c in _R6)} FROM pr"
+    )
+
+
+@C.add("properties_r6", _r6_sql())
 def properties_r6(spark: SparkSession, d: str) -> DataFrame:
-    rows = scores.properties(sequences(spark, d), pattern=("E", "T", "E"))
-    return rows.select("doc_id", "motif_penalty", *(F.round(c, 5).alias(c) for c in ("z_hydrophobicity", "z_charge9", "z_length_penalty")))
+    rows = scores.properties(sequences(spark, d), pattern=("E", "T", "E"), weights=dipeptide_weights(spark))
+    return rows.select("doc_id", "motif_penalty", *(F.round(f"z_{c}", 5).alias(f"z_{c}") for c in _R6))
 
 
 @C.add(
@@ -360,10 +449,9 @@ def stratified_kfold(spark: SparkSession, d: str) -> DataFrame:
     return folds.stratified(table(spark, d, "labels"), "doc_id", "quality").select("doc_id", "fold")
 
 
-@C.add("group_kfold")
+@C.add("group_kfold", f"WITH RECURSIVE {fit_sql.dealt('events', 'user_id')} SELECT event_id, user_id, fold::INTEGER AS fold FROM events JOIN dealt USING (user_id)")
 def group_kfold(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy; the tests hold that no group is split and that folds are even."""
-    return folds.grouped(table(spark, d, "events").select("event_id", "user_id"), "user_id")
+    return folds.grouped(table(spark, d, "events").select("event_id", "user_id"), "user_id").select("event_id", "user_id", "fold")
 
 
 _FEATURES = ["l_discount", "l_tax", "l_extendedprice"]
@@ -384,7 +472,17 @@ def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(m.weights[0], 9), round(m.intercept, 6))], "weight double, intercept double")
 
 
-@C.add("ridge_cv")
+_RANKS = "rank() OVER (PARTITION BY fold ORDER BY {0}) + (count(*) OVER (PARTITION BY fold, {0}) - 1) / 2.0"
+
+
+@C.add(
+    "ridge_cv",
+    f"WITH RECURSIVE rows_ AS (SELECT l_orderkey % 50 AS g, {', '.join(f'{c}::DOUBLE AS {c}' for c in (*_FEATURES, 'l_quantity'))} FROM lineitem), {fit_sql.dealt('rows_', 'g')}, x AS (SELECT * FROM rows_ JOIN dealt USING (g)), "
+    f"train AS (SELECT f.f, x.* FROM range(5) f(f) JOIN x ON x.fold <> f.f), m AS ({fit_sql.ridge('train', _FEATURES, 'l_quantity')}), "
+    f"p AS (SELECT fold, l_quantity AS t, intercept + {' + '.join(f'w{i} * {c}' for i, c in enumerate(_FEATURES))} AS prediction FROM x JOIN m ON f = fold), "
+    f"k AS (SELECT *, {_RANKS.format('prediction')} AS ra, {_RANKS.format('t')} AS rb FROM p), per AS (SELECT fold, avg(abs(prediction - t)) AS mae, sqrt(avg(pow(prediction - t, 2))) AS rmse, coalesce(corr(ra, rb), 0) AS rho FROM k GROUP BY fold) "
+    f"SELECT {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_sd' for m in ('mae', 'rmse', 'rho'))} FROM per",
+)
 def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(folds.grouped(_fit_rows(spark, d).withColumn("g", F.col("l_orderkey") % 50), "g"), "folds")
     predicted = models.predict_folds(rows, models.ridge_folds(rows, _FEATURES, "l_quantity", "fold"), "fold")
@@ -402,26 +500,65 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 _COMPOSITION = ["frac_acidic", "frac_basic", "frac_A", "frac_E", "frac_L"]
 
 
-@C.add("logreg_fit")
+_LABELLED = (
+    f"WITH {SEQS}, {CHARS}, {COUNTS}, lab AS (SELECT doc_id, quality, CASE WHEN len > 0 THEN (nD + nE) / len::DOUBLE ELSE 0 END AS frac_acidic, CASE WHEN len > 0 THEN (nK + nR + nH) / len::DOUBLE ELSE 0 END AS frac_basic, "
+    + ", ".join(f"CASE WHEN len > 0 THEN n{a} / len::DOUBLE ELSE 0 END AS frac_{a}" for a in "AEL")
+    + " FROM cnt JOIN labels USING (doc_id))"
+)
+
+
+@C.add(
+    "logreg_fit",
+    f"{_LABELLED}, rows_ AS (SELECT 0 AS f, * FROM lab), {fit_sql.logistic('rows_', _COMPOSITION, 'quality')} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round({w}, 6) AS weight FROM fitted" for c, w in [*((c, f"w{i}") for i, c in enumerate(_COMPOSITION)), ("intercept", "intercept")]),
+)
 def logreg_fit(spark: SparkSession, d: str) -> DataFrame:
     m = models.logistic(stored(_labelled(spark, d), "labelled"), _COMPOSITION, "quality")
     return spark.createDataFrame([(c, round(w, 6)) for c, w in zip([*m.columns, "intercept"], [*m.weights, m.intercept], strict=True)], "feature string, weight double")
 
 
-@C.add("logreg_cv")
+@C.add(
+    "logreg_cv",
+    f"{_LABELLED}, x AS (SELECT *, ((row_number() OVER (PARTITION BY quality ORDER BY {_HASH.format('doc_id')}, doc_id) - 1) % 5)::INTEGER AS fold FROM lab), rows_ AS (SELECT f.f, x.* FROM range(5) f(f) JOIN x ON x.fold <> f.f), {fit_sql.logistic('rows_', _COMPOSITION, 'quality')}, "
+    f"p AS (SELECT fold, quality, 1 / (1 + exp(-(intercept + {' + '.join(f'w{i} * {c}' for i, c in enumerate(_COMPOSITION))}))) AS prediction FROM x JOIN fitted ON f = fold), k AS (SELECT *, {_RANKS.format('prediction')} AS r FROM p), "
+    "per AS (SELECT fold, avg(((prediction >= 0.5)::INTEGER = quality)::INTEGER) AS accuracy, (sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0)) AS auc FROM k GROUP BY fold) "
+    "SELECT round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_sd, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_sd FROM per",
+)
 def logreg_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(folds.stratified(_labelled(spark, d), "doc_id", "quality"), "labelled")
-    fitted = {f: models.logistic(rows.filter(F.col("fold") != f), _COMPOSITION, "quality") for f in range(5)}
+    fitted = models.logistic_folds(rows, _COMPOSITION, "quality", "fold")
     predicted = models.predict_folds(rows, fitted, "fold").withColumn("called", (F.col("prediction") >= 0.5).cast("int"))
     per = metrics.auc(predicted, "prediction", "quality", ["fold"]).join(metrics.accuracy(predicted, "called", "quality", ["fold"]), "fold")
     out = metrics.over_folds(per, ["auc", "accuracy"])
     return out.select(*(r6(c) for c in out.columns))
 
 
-@C.add("predict_at_ph")
+_PH = ["l_extendedprice", "l_discount"]
+_PH_SQL = f"WITH rows_ AS (SELECT 0 AS f, l_orderkey, l_linenumber, {', '.join(f'{c}::DOUBLE AS {c}' for c in (*_PH, 'l_quantity'))} FROM lineitem), m AS ({fit_sql.ridge('rows_', _PH, 'l_quantity')})"
+
+
+@C.add("predict_at_ph", f"{_PH_SQL} SELECT l_orderkey, l_linenumber, {', '.join(f'round(greatest(intercept + w0 * l_extendedprice + w1 * {v}::DOUBLE, 0), 6) AS {name}' for v, name in ((0.02, 'low'), (0.08, 'high')))} FROM rows_ JOIN m USING (f)")
 def predict_at_ph(spark: SparkSession, d: str) -> DataFrame:
     """A model of quantity on price and discount, asked at two fixed discounts; not below 0."""
     rows = _fit_rows(spark, d)
-    m = models.ridge(rows, ["l_extendedprice", "l_discount"], "l_quantity")
+    m = models.ridge(rows, _PH, "l_quantity")
     at = models.predict_at(rows, m, "l_discount", 0.02, "low")
     return models.predict_at(at, m, "l_discount", 0.08, "high").select("l_orderkey", "l_linenumber", r6("low"), r6("high"))
+
+
+@C.add("model_roundtrip", f"{_PH_SQL} SELECT l_orderkey, l_linenumber, round(intercept + w0 * l_extendedprice, 6) AS prediction FROM rows_ JOIN m USING (f)")
+def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on all rows, saved, loaded, and asked of a table that lacks one of its columns."""
+    rows, path = _fit_rows(spark, d), f"{shared_dir(spark)}/seqrank/model-{uuid.uuid4().hex}"
+    models.ridge(rows, _PH, "l_quantity").save(spark, path)
+    return models.Linear.load(spark, path).predict(rows.drop("l_discount")).select("l_orderkey", "l_linenumber", r6("prediction"))
+
+
+@C.add("metrics_json", "SELECT round(avg(abs(l_discount::DOUBLE - l_tax::DOUBLE)), 6) AS mae, round(sqrt(avg(pow(l_discount::DOUBLE - l_tax::DOUBLE, 2))), 6) AS rmse FROM lineitem")
+def metrics_json(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a model's figures are, and read back."""
+    rows = table(spark, d, "lineitem").select(F.col("l_discount").cast("double").alias("p"), F.col("l_tax").cast("double").alias("t"))
+    path = f"{shared_dir(spark)}/seqrank/metrics-{uuid.uuid4().hex}"
+    models.save_metrics(spark, metrics.errors(rows, "p", "t").first().asDict(), path)
+    found = models.load_metrics(spark, path)
+    return spark.createDataFrame([(round(found["mae"], 6), round(found["rmse"], 6))], "mae double, rmse double")

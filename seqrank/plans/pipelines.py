@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds, joins, metrics, models, wild_types
-from ..operators.alignment import all_scores, best_match
+from ..operators.alignment import best_match, block_scores
 from ..operators.clusters import clusters, representatives
+from ..operators.embeddings import delta_given
+from ..operators.stats import first_by_key
 from ..schema import require_columns
 from .scores import cluster_aware, properties
 
@@ -19,24 +21,25 @@ def zero_shot(df: DataFrame, clustered: DataFrame, reps: DataFrame, likelihood:
     """Sequences to the three official scores.
 
     clustered: sequence, cluster_id; reps: cluster_id, rep_sequence; likelihood: sequence, ll (a model's log-likelihoods);
-    delta: sequence, delta_emb. Unmapped rows share cluster -1 and are their own representative.
+    delta: sequence, and delta_emb or wt_cosine_sim. Of a repeated sequence the first row counts. Unmapped rows share cluster -1 and are their own representative.
     """
     require_columns(df, ["sequence"], "zero_shot")
-    rows = df.select("sequence").join(clustered.select("sequence", "cluster_id").dropDuplicates(["sequence"]), "sequence", "left")
+    first = lambda t, *c: first_by_key(t.select("sequence", *c).withColumn("__o", F.monotonically_increasing_id()), ["sequence"], "__o").drop("__o")
+    rows = df.select("sequence").join(first(clustered, "cluster_id"), "sequence", "left")
     rows = rows.join(reps.select("cluster_id", "rep_sequence"), "cluster_id", "left")
     rows = rows.withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "rep_sequence": F.coalesce("rep_sequence", "sequence")})
-    ll = likelihood.select("sequence", "ll").dropDuplicates(["sequence"])
+    ll = first(likelihood, "ll")
     rows = rows.join(ll, "sequence", "left").join(ll.select(F.col("sequence").alias("rep_sequence"), F.col("ll").alias("rep_ll")), "rep_sequence", "left")
     if delta is not None:
-        rows = rows.join(delta.select("sequence", "delta_emb").dropDuplicates(["sequence"]), "sequence", "left")
+        rows = rows.join(first(delta_given(delta), "delta_emb"), "sequence", "left")
     scored = cluster_aware(rows)
     return scored.select("sequence", *(F.col(c).alias(name) for c, name in OFFICIAL.items()))
 
 
-def property_table(df: DataFrame, references: DataFrame, sequence: str = "sequence") -> DataFrame:
+def property_table(df: DataFrame, references: DataFrame, sequence: str = "sequence", weights: DataFrame | None = None) -> DataFrame:
     """Clusters, wild types with their fallbacks, properties with z-scores, and the best alignment of each sequence.
 
-    references: wt_id, wt_sequence.
+    references: wt_id, wt_sequence; weights: those of the instability index, if it is wanted.
     """
     found = clusters(df, sequence)
     reps = representatives(found)
@@ -47,8 +50,8 @@ def property_table(df: DataFrame, references: DataFrame, sequence: str = "sequen
     known = references.select(F.col("wt_id").alias("ref_id"), F.col("wt_sequence").alias("ref_sequence"))
     near = joins.nearest_length(mapped, known)
     rows = near.withColumn("wt_sequence", F.coalesce("wt_sequence", "ref_sequence", "sequence")).drop("ref_id", "ref_sequence")
-    best = best_match(all_scores(rows, known))
-    return properties(rows).join(best, "sequence", "left")
+    best = best_match(block_scores(rows, known))
+    return properties(rows.join(best, "sequence", "left"), weights=weights, also=("best_score",))
 
 
 def supervised(assay: DataFrame, features: DataFrame, columns: list[str], target: str, key: str = "sample_id", k: int = 5) -> tuple[models.Linear, DataFrame]:

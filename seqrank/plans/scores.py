@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import kinetics, motifs, residues
 from ..functions.strings import length_penalty
-from ..operators.stats import centered, clipped, finite_or, mode_smallest, robust_z, zscore
+from ..operators.stats import centered, clipped, finite_or, impute_median, mode_smallest, robust_z, zscore
 from ..schema import col_or_lit, require_columns
 from ..session import stored
 
@@ -20,8 +20,13 @@ def _sum(weights: dict[str, float]) -> Column:
     return reduce(add, (F.lit(w) * F.col(c) for c, w in weights.items()))
 
 
-def properties(df: DataFrame, sequence: str = "sequence", pattern: tuple[str, str, str] = ("G", "S", "G"), scale: bool = True) -> DataFrame:
-    """R6: biophysical parameters, motif, aggregation and penalties of each sequence, and their z-scores."""
+def properties(
+    df: DataFrame, sequence: str = "sequence", pattern: tuple[str, str, str] = ("G", "S", "G"), scale: bool = True, weights: DataFrame | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """R6: biophysical parameters, motif, aggregation and penalties of each sequence, and their z-scores.
+
+    weights: the dipeptides' weights (pair, weight), for the instability index. also: columns of ``df`` to be scaled with the others, as an alignment's score.
+    """
     rows = residues.with_counts(df, sequence, "__n")
     s, n, length = F.col(sequence), F.col("__n"), F.length(sequence)
     p = residues.all_params(s, n, length)
@@ -41,8 +46,12 @@ def properties(df: DataFrame, sequence: str = "sequence", pattern: tuple[str, st
         motifs.max_hydrophobic_run(s).alias("agg_run"),
         length_penalty(length, F.col("__mode")).alias("length_penalty"),
     )
-    scaled = ["iep", "charge7", "charge9", "charge55", "molecular_weight", "hydrophobicity", "pg_fraction", "local_charge55", "local_charge90", "agg_window", "agg_run", "length_penalty"]
-    return zscore(rows, scaled) if scale else rows
+    scaled = ["iep", "charge7", "charge9", "charge55", "molecular_weight", "hydrophobicity", "pg_fraction", "local_charge55", "local_charge90", "agg_window", "agg_run", "length_penalty", *also]
+    if weights is not None:
+        found = residues.instability_index(df.select(sequence).distinct().withColumn("__s", s), weights, sequence, "__s")
+        rows = rows.join(found.withColumnRenamed("instability", "instability_index"), sequence, "left")
+        scaled.append("instability_index")
+    return zscore(stored(rows, "properties"), scaled) if scale else rows  # made once: the scales read it before the rows do
 
 
 #: What the cluster-aware recipe scales: the column, and whether within clusters and over all rows.
@@ -74,12 +83,11 @@ def cluster_aware(df: DataFrame, sequence: str = "sequence", cluster: str = "clu
         (F.col("__c") < 0).cast("int").alias("motif_penalty"),
     )
     inputs = list(_R1_INPUTS)
+    rows = stored(rows, "features")  # scaling reads them several times; the features are made once
     if delta:
-        middle = rows.agg(F.median("delta_emb").alias("__md"))
-        rows = rows.crossJoin(F.broadcast(middle)).withColumn("delta_emb", F.coalesce("delta_emb", "__md")).drop("__md")
+        rows = impute_median(rows, ["delta_emb"])
         inputs.append("delta_emb")
-    rows = stored(rows, "features")  # scaling reads them several times; the features are made once
-    rows = centered(rows, inputs, cluster, "__k_")
+    rows = stored(centered(rows, inputs, cluster, "__k_"), "centred")
     rows = robust_z(rows, [f"__k_{c}" for c in inputs], "__z_")
     rows = rows.withColumns({f"c_{c}": F.col(f"__z___k_{c}") for c in inputs})
     rows = robust_z(rows, ["ll", *(["delta_emb"] if delta else [])], "g_")
@@ -102,8 +110,8 @@ def final_parameters(df: DataFrame, style: str = "safe") -> DataFrame:
     five = "charge5" if "charge5" in df.columns else "charge55"
     rows = df.withColumns({f"__{c}": col_or_lit(df, c).cast("double") for c in names} | {"__charge5": col_or_lit(df, five).cast("double")})
     inputs = [f"__{c}" for c in (*names, "charge5")]
-    middles = rows.agg(*(F.median(c).alias(f"m{c}") for c in inputs))
-    rows = rows.crossJoin(F.broadcast(middles)).withColumns({c: F.coalesce(c, f"m{c}", F.lit(0.0)) for c in inputs}).drop(*middles.columns)
+    rows = stored(rows.select(*df.columns, *inputs), "parameters")  # the statistics read them several times
+    rows = impute_median(rows, inputs).fillna(0.0, inputs)
     rows = robust_z(rows, inputs, "z")
     z = lambda weights: _sum({f"z__{c}": w for c, w in weights.items()})
     act = z(K.R2_ACTIVITY[style])

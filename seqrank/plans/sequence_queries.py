@@ -20,6 +20,11 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residues.with_counts(sequences(spark, sf_dir)).withColumn("len", F.length("sequence"))
 
 
+def dipeptide_weights(spark: SparkSession) -> DataFrame:
+    """A caller's table of weights: here a pair weighs a seventh of the difference of its residues' hydropathies."""
+    return spark.createDataFrame([(a + b, abs(x - y) / 7) for a, x in K.HYDROPATHY.items() for b, y in K.HYDROPATHY.items()], "pair string, weight double")
+
+
 @C.add("clean_sequence", f"SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(replace({_LETTERS}, 'B', 'N'), 'Z', 'Q'), 'U', 'C'), 'O', 'K'), 'J', 'L'), 'X', '', 'g')) AS digest, length(regexp_replace({_LETTERS}, 'X', '', 'g')) AS len FROM documents")
 def clean_sequence(spark: SparkSession, d: str) -> DataFrame:
     clean = residues.clean_sequence(F.regexp_replace("text", "[^A-Za-z]", ""))
@@ -83,9 +88,7 @@ def isoelectric_point(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, round(CASE WHEN length(sequence) > 1 THEN 10.0::DOUBLE / length(sequence) * coalesce(total, 0) ELSE 0 END, 3) AS instability FROM seqs LEFT JOIN t USING (doc_id)",
 )
 def instability_index(spark: SparkSession, d: str) -> DataFrame:
-    """With a caller's table: here a pair weighs a seventh of the difference of its residues' hydropathies."""
-    weights = spark.createDataFrame([(a + b, abs(x - y) / 7) for a, x in K.HYDROPATHY.items() for b, y in K.HYDROPATHY.items()], "pair string, weight double")
-    return residues.instability_index(sequences(spark, d), weights, "doc_id").select("doc_id", F.round("instability", 3).alias("instability"))
+    return residues.instability_index(sequences(spark, d), dipeptide_weights(spark), "doc_id").select("doc_id", F.round("instability", 3).alias("instability"))
 
 
 @C.add(
@@ -196,9 +199,7 @@ def kmer_vector_valid(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, count(*) AS n_refs, round(max(dot / (vn.n * un.n)), 6) AS best_cosine, round(avg(dot / (vn.n * un.n)), 6) AS mean_cosine FROM p JOIN vn USING (doc_id) JOIN un USING (ref_id) GROUP BY doc_id",
 )
 def kmer_cosine(spark: SparkSession, d: str) -> DataFrame:
-    v = kmers.unit_vectors(kmers.kmer_buckets(sequences(spark, d), ["doc_id"], valid_only=True), ["doc_id"])
-    u = kmers.unit_vectors(kmers.kmer_buckets(references(spark, d), ["ref_id"], "ref_sequence", valid_only=True), ["ref_id"])
-    pairs = kmers.cosine_to(v, u, "doc_id", "ref_id")
+    pairs = kmers.cosine_to(sequences(spark, d), references(spark, d), "doc_id", "ref_id")
     return pairs.groupBy("doc_id").agg(F.count("*").alias("n_refs"), r6("best_cosine", F.max("cosine")), r6("mean_cosine", F.avg("cosine")))
 
 
@@ -255,7 +256,40 @@ def hamming_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.all_scores(sequences(spark, d), references(spark, d))
+    return alignment.block_scores(sequences(spark, d), references(spark, d))
+
+
+_LCS = (
+    f"WITH RECURSIVE {REFS}, n AS (SELECT DISTINCT p_name AS name FROM part), pos AS (SELECT ref_id, ref_sequence AS t, unnest(range(1, length(ref_sequence) + 1)) AS j FROM refs), "
+    "dp AS (SELECT name, ref_id, j, lower(substr(t, j, 1)) AS c, 0 AS i, 0 AS v FROM n, pos UNION ALL SELECT name, ref_id, j, c, i + 1, max(greatest(v, before + (c = lower(substr(name, i + 1, 1)))::INTEGER)) OVER (PARTITION BY name, ref_id ORDER BY j) "
+    "FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY name, ref_id ORDER BY j), 0) AS before FROM dp WHERE i < length(name))), "
+    "scored AS (SELECT name, ref_id, max(v) AS score, count(*) AS ref_length FROM dp WHERE i = length(name) GROUP BY name, ref_id)"
+)
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.block_scores(table(spark, d, "part"), references(spark, d), "p_name").withColumnRenamed("sequence", "name")
+
+
+@C.add("lcs_sql_short", f"{_LCS} SELECT name, ref_id, ref_length::INTEGER AS ref_length, score FROM scored")
+def lcs_sql_short(spark: SparkSession, d: str) -> DataFrame:
+    """Short strings, for which SQL has a recurrence: a row at a time, by running maxima."""
+    return _names(spark, d).select("name", F.inline("found"))
+
+
+@C.add("lcs_short_best", f"{_LCS} SELECT name, CASE WHEN max(score) > 0 THEN arg_min(ref_id, (-score, ref_id)) END AS best_ref_id, max(score) AS best_score FROM scored GROUP BY name")
+def lcs_short_best(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.best_match(_names(spark, d).withColumnRenamed("name", "sequence")).withColumnRenamed("sequence", "name")
+
+
+@C.add(
+    "lcs_short_arrays",
+    f"{_LCS} SELECT name, array_to_string(list(score ORDER BY ref_id), ',') AS scores, round(list_sum(list(round(100.0::DOUBLE * score / ref_length, 6))), 3) AS identities FROM scored GROUP BY name",
+)
+def lcs_short_arrays(spark: SparkSession, d: str) -> DataFrame:
+    out = alignment.score_arrays(_names(spark, d).withColumnRenamed("name", "sequence"))
+    total = F.aggregate("identity_percent", F.lit(0.0), lambda t, x: t + x)
+    return out.select(F.col("sequence").alias("name"), F.array_join(F.transform("scores", lambda x: x.cast("string")), ",").alias("scores"), F.round(total, 3).alias("identities"))
 
 
 @C.add("lcs_best_match")

@@ -299,3 +299,19 @@ def csv_unnamed_index(spark: SparkSession, d: str) -> DataFrame:
     tables.write_csv(rows, path)
     back = tables.named_index(tables.read_csv(spark, path))
     return tables.without_unnamed(back).select("sample_id", number("balance").alias("balance"))
+
+
+@C.add("back_transform", "SELECT p_partkey, round(pow(10::DOUBLE, p_size / 25.0::DOUBLE), 6) AS km, round(p_retailprice / 2000 * 14, 6) AS phopt, round(p_retailprice / 2000 * 120, 6) AS topt, round(p_retailprice / 2000 * 100, 6) AS tm FROM part")
+def back_transform(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted decimal logarithms as constants, and predictions in [0, 1] in the units of their tasks."""
+    scaled = [r6(task.lower(), kinetics.by_task_maximum(F.col("p_retailprice") / 2000, task)) for task in kinetics.TASK_MAXIMUM]
+    return table(spark, d, "part").select("p_partkey", r6("km", kinetics.from_log10(F.col("p_size") / 25.0)), *scaled)
+
+
+@C.add("csv_list_cells", "SELECT vec_id::VARCHAR AS vec_id, len(embedding)::INTEGER AS dims, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def csv_list_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that hold lists, written as JSON and read back."""
+    path = f"{shared_dir(spark)}/seqrank/lists-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    tables.write_csv(table(spark, d, "embeddings").select("vec_id", "embedding"), path)
+    back = tables.read_csv(spark, path).withColumn("v", F.from_json("embedding", "array<double>"))
+    return back.select("vec_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 5).alias("first"))

@@ -43,3 +43,10 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, str(Path(package.name) / file.relative_to(package)))
     context.addPyFile(str(target))
     context._seqrank_shipped = True
+
+
+def ship_active() -> None:
+    """The same for an expression, which has no session at hand."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)

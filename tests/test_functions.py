@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqrank import constants as K
 from seqrank.functions import kinetics, kmers, motifs, residues, strings, vectors
-from seqrank.operators.alignment import all_scores, best_match, lcs_length, masks_of
+from seqrank.operators.alignment import Packed, all_scores, best_match, block_scores
 
 
 def one(spark, expression, **columns):
@@ -122,16 +122,21 @@ def textbook_lcs(a, b):
 
 def test_lcs():
     rng = random.Random(4)
-    assert lcs_length(masks_of("GXTXAYB"), 7, "AGGTAB") == 4
-    for _ in range(150):
-        a, b = ("".join(rng.choice("ACDG") for _ in range(rng.randrange(0, 40))) for _ in range(2))
-        assert lcs_length(masks_of(b), len(b), a) == textbook_lcs(a, b) == lcs_length(masks_of(a), len(a), b)
+    assert Packed(["GXTXAYB"]).lcs("AGGTAB") == [4]
+    made = lambda: "".join(rng.choice("ACDG") for _ in range(rng.randrange(0, 40)))
+    for _ in range(20):
+        refs = [made() for _ in range(rng.randrange(1, 30))]
+        packed = Packed(refs)
+        for _ in range(5):
+            a = made()
+            assert packed.lcs(a) == [textbook_lcs(a, b) for b in refs]
 
 
 def test_best_match_rules(spark):
     refs = spark.createDataFrame([(1, "CCC"), (2, "ACD"), (3, "ACD")], "ref_id long, ref_sequence string")
     rows = spark.createDataFrame([("aaa",), ("WWW",), ("ACDE",)], "sequence string")
-    got = {r["sequence"]: (r["best_ref_id"], r["best_score"]) for r in best_match(all_scores(rows, refs)).collect()}
+    got = {r["sequence"]: (r["best_ref_id"], r["best_score"]) for r in best_match(block_scores(rows, refs)).collect()}
+    assert all_scores(rows, refs).count() == 9
     assert got == {"aaa": (2, 1), "WWW": (None, 0), "ACDE": (2, 3)}
 
 

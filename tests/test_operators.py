@@ -1,6 +1,8 @@
 """Rules of the table operators, the models and the plans."""
 
 import math
+import random
+import zipfile
 
 import numpy as np
 import pytest
@@ -47,6 +49,28 @@ def test_guards_and_imputation(spark):
         stats.checked_finite(numbers(spark, [float("inf")]), ["x"]).collect()
 
 
+def test_exact_quantiles_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FEW", 20)
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    rng = random.Random(3)
+    columns = {
+        "normal": [rng.gauss(0, 1) for _ in range(3000)],
+        "ties": [float(rng.choice([0, 0, 0, 0, 1, 2, 3])) for _ in range(3000)],
+        "half": [0.0] * 1500 + [rng.random() + 1 for _ in range(1500)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(3000)],
+        "one": [7.0] * 3000,
+        "gaps": [None if k % 3 else rng.random() for k in range(3000)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns)).repartition(3)
+    at = (0.0, 0.1, 0.25, 0.5, 0.501, 0.9, 1.0)
+    got = stats.exact_quantiles(df, {c: F.col(c) for c in columns}, at)
+    for c, v in columns.items():
+        want = np.quantile([x for x in v if x is not None], at)
+        assert got[c] == pytest.approx(want.tolist(), rel=1e-12), c
+    odd = spark.createDataFrame([(None, 1.0), (None, float("nan"))], "a double, b double")
+    assert stats.exact_quantiles(odd, {"a": F.col("a"), "b": F.col("b")}, (0.5,)) == {"a": [None], "b": [1.0]}
+
+
 def test_modes_and_firsts(spark):
     rows = numbers(spark, [5.0, 3.0, 3.0, 5.0])
     assert stats.mode_smallest(rows, "x").first()["mode"] == 3.0
@@ -120,6 +144,18 @@ def test_folds(spark):
         folds.grouped(df.filter("g = 1"), "g")
 
 
+def test_grouped_folds_are_dealt_greedily(spark):
+    rng = random.Random(2)
+    for sizes in ([1] * 23, [9, 9, 9, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], [50] + [3] * 40 + [2] * 17, [rng.randrange(1, 12) for _ in range(60)], [5, 4]):
+        rows = [(f"g{g:02}", k) for g, n in enumerate(sizes) for k in range(n)]
+        got = {r["g"]: r["fold"] for r in folds.grouped(spark.createDataFrame(rows, "g string, k int"), "g").select("g", "fold").distinct().collect()}
+        weight, want = [0] * min(5, len(sizes)), {}
+        for n, g in sorted(((n, f"g{g:02}") for g, n in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+            f = weight.index(min(weight))
+            weight[f], want[g] = weight[f] + n, f
+        assert got == want
+
+
 def test_ridge_and_logistic_against_numpy(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 3)) * [1, 5, 0.1] + [0, 2, 7]
@@ -179,6 +215,13 @@ def test_embedding_cache(spark, tmp_path):
     more = rows.union(spark.createDataFrame([("DD",)], "sequence string"))
     assert embeddings.through_cache(spark, more, path, "m", provide).count() == 3
     assert asked == [["AA", "CC"], ["DD"]]
+    bad = spark.createDataFrame([("AA", None), ("CC", [float("nan")])], "sequence string, embedding array<double>")
+    bad.select(F.sha1(F.concat_ws("|", F.lit("m"), "sequence")).alias("key"), "embedding").write.parquet(str(tmp_path / "bad"))
+    (tmp_path / "bad" / "part-broken.parquet").write_bytes(b"PAR1 cut off")
+    out = embeddings.through_cache(spark, rows, str(tmp_path / "bad"), "m", provide).collect()
+    assert asked[2] == ["AA", "CC"] and [list(r["embedding"]) for r in out] == [[2.0], [2.0]]
+    given = spark.createDataFrame([(1, None, 0.25), (2, 0.5, 0.0)], "i int, delta_emb double, wt_cosine_sim double")
+    assert column(embeddings.delta_given(given).orderBy("i"), "delta_emb") == [0.75, 0.5]
     vec = spark.createDataFrame([("AA", [1.0, 0.0]), ("CC", [0.0, 1.0])], "sequence string, embedding array<double>")
     out = embeddings.with_delta(rows.withColumn("wt_sequence", F.lit("AA")), vec).orderBy("sequence").collect()
     assert [round(r["delta_emb"], 6) for r in out] == [0.0, 1.0]
@@ -223,17 +266,38 @@ def test_sources(spark, tmp_path):
     assert df.columns == ["sample_id", "v"] and sorted(column(df, "sample_id")) == ["x1", "x2"]
     (tmp_path / "b.fasta").write_text(">one some words\nACD\nEFG\n>two\nKLM\n")
     assert [tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "b.fasta")).orderBy("id").collect()] == [("one", "ACDEFG"), ("two", "KLM")]
-    (tmp_path / "c.gb").write_text("LOCUS       pX 12 bp DNA circular\nFEATURES\nORIGIN\n        1 acgtac gtacgt\n//\n")
+    (tmp_path / "arrow.fasta").write_text(">a mutant A->B\r\nAC\r\nD\r\n>b\nKL>M\n")
+    assert [tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "arrow.fasta")).orderBy("id").collect()] == [("a", "ACD"), ("b", "KL>M")]
+    table = "FEATURES             Location/Qualifiers\n     source          1..12\n                     /organism=\"a long\n                     name\"\n                     /circular\n     CDS             complement(join(1..3,\n                     5..9))\n                     /gene=\"x/y\"\n"
+    (tmp_path / "c.gb").write_text(f"LOCUS       pX 12 bp DNA circular\n{table}ORIGIN\n        1 acgtac gtacgt\n//\n")
+    found = [(r["feature"], r["location"], [tuple(q) for q in r["qualifiers"]]) for r in tables.read_genbank_features(spark, str(tmp_path / "c.gb")).orderBy("nth").collect()]
+    assert found == [("source", "1..12", [("organism", "a long name"), ("circular", None)]), ("CDS", "complement(join(1..3,5..9))", [("gene", "x/y")])]
     assert tuple(tables.read_genbank(spark, str(tmp_path / "c.gb")).first()) == ("pX", 12, "ACGTACGTACGT")
-    rows = spark.createDataFrame([("a", "AC"), ("a", "AD"), ("b", None)], "sample_id string, sequence string")
+    rows = spark.createDataFrame([("a", "AD"), ("a", "AC"), ("b", None)], "sample_id string, sequence string")
     tables.write_fasta(rows, str(tmp_path / "out"))
-    assert [tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "out")).collect()] == [("a", "AC")]
+    assert [tuple(r) for r in tables.read_fasta(spark, str(tmp_path / "out")).collect()] == [("a", "AD")]  # the first, not the least
     tables.write_csv(spark.createDataFrame([(1, [1.0, 2.0])], "i int, v array<double>"), str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv")).first()["v"] == "[1.0,2.0]"
     ids = tables.synthetic_ids(spark.range(1000, 0, -7).toDF("k"), "k").orderBy("k")
     assert column(ids, "sample_id") == [f"test_{i:05d}" for i in range(ids.count())]
 
 
+def test_workbooks(spark, tmp_path):
+    space, link = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>ph</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>5.5</v></c></row><row r="3"/><row r="4"><c r="C4"><v>7</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="{link}"><sheets><sheet name="Rounds" r:id="r1"/><sheet name="Activity" r:id="r2"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{space}"><si><t>id</t></si><si><r><t>x</t></r><r><t>1</t></r></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{cells}</sheetData></worksheet>')
+        book.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{space}"><sheetData><row><c><v>9</v></c></row></sheetData></worksheet>')
+    df = tables.read_xlsx(spark, str(tmp_path / "a.xlsx"))
+    assert df.columns == ["id", "_c1", "ph"] and [tuple(r) for r in df.collect()] == [("x1", None, "5.5"), (None, None, "7")]
+    assert tables.read_xlsx(spark, str(tmp_path / "a.xlsx"), "Activity").columns == ["9"]
+    with pytest.raises(Exception, match="there is no sheet"):
+        tables.read_xlsx(spark, str(tmp_path / "a.xlsx"), "None").collect()
+
+
 def test_features_of_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("acdef",), ("",)], "text string").write.parquet(source)
