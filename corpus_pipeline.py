@@ -67,7 +67,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and offsets."""
-    return pack(docs, memo_size=30_000)  # beside executors that have filled their heaps in the stages before: a small memo leaves room
+    # beside executors that have filled their heaps in the stages before: a small memo and small groups leave room
+    return pack(docs, memo_size=30_000, group_size=1 << 20)
 
 
 STAGES = [

@@ -114,7 +114,7 @@ class ByteBPE:
         #: For a token as the left or right half of a pair: the other halves and the pairs' ranks.
         self.as_left, self.as_right = ({t: tuple(np.array(v, np.int32).T) for t, v in side.items()} for side in (left, right))
         self.scratch = np.full(len(self.bytes_of), -1, np.int32)
-        self.memo = Memo(memo_size)
+        self.memo, self.group_size = Memo(memo_size), GROUP_SIZE
 
     def merge_words(self, words: list[str]) -> tuple[bytes, list[int]]:
         """The ids of all pre-tokens in a row as little-endian 32-bit numbers, and where each one's begin (in ids).
@@ -209,7 +209,7 @@ class ByteBPE:
                     found += map(memo.__getitem__, SEGMENT.findall(p))
             group.append(found)
             size += len(text)
-            if size < GROUP_SIZE and k < len(texts) - 1:
+            if size < self.group_size and k < len(texts) - 1:
                 continue
             learned = self.learn(list(set(memo.missed)))
             filled = map(learned.__getitem__, memo.missed)
@@ -222,10 +222,10 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").encode("utf-8")
 
 
-def coder(path: str, memo_size: int = MEMO_SIZE) -> ByteBPE:
-    """One coder per worker process and vocabulary, kept while tasks of BPE follow each other; its memo has the size that was asked for last."""
+def coder(path: str, memo_size: int = MEMO_SIZE, group_size: int = GROUP_SIZE) -> ByteBPE:
+    """One coder per worker process and vocabulary, kept while tasks of BPE follow each other; its memo and groups have the sizes that were asked for last."""
     found: ByteBPE = kept(f"bpe:{path}", lambda: ByteBPE(path))
-    found.memo.size = memo_size
+    found.memo.size, found.group_size = memo_size, group_size
     return found
 
 

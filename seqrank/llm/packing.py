@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_SIZE, coder
+from .bpe import GROUP_SIZE, MEMO_SIZE, coder
 from .common import map_arrow, stored, table, text_or_empty, tokenizer_path
 
 CAPACITY, END_ID = 1024, 2
@@ -175,13 +175,13 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     return best
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_size: int = MEMO_SIZE) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_size: int = MEMO_SIZE, group_size: int = GROUP_SIZE) -> DataFrame:
     """Every document's pieces with their length and checksum; part and nth count them by task and length."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = coder(path, memo_size), TaskContext.get().partitionId()
+        bpe, part = coder(path, memo_size, group_size), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             ids, cols = batch.column(0).to_pylist(), [[] for _ in range(7)]
@@ -233,12 +233,12 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_arrow(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_size: int = MEMO_SIZE) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, memo_size: int = MEMO_SIZE, group_size: int = GROUP_SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    memo_size: segments that a worker memoises in each generation; more of them take memory and save time.
+    memo_size, group_size: segments that a worker memoises in each generation, and characters that it merges at once; more take memory and save time.
     """
-    return place(stored(pieces(df, id_col, text_col, path, capacity, end_id, memo_size), "pieces"), capacity)
+    return place(stored(pieces(df, id_col, text_col, path, capacity, end_id, memo_size, group_size), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
