@@ -48,6 +48,16 @@ class Linear:
         return Linear(**json.loads(spark.read.text(path).first()[0]))
 
 
+def save_metrics(spark: SparkSession, found: dict[str, float | None], path: str) -> None:
+    """A model's figures as one JSON object, in place of what the path held; null where a figure is undefined."""
+    spark.createDataFrame([(json.dumps(found, default=float),)], "metrics string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> dict[str, float | None]:
+    """What ``save_metrics`` wrote."""
+    return json.loads(spark.read.text(path).first()[0])
+
+
 def _x(columns: list[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
 

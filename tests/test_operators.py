@@ -176,6 +176,9 @@ def test_ridge_and_logistic_against_numpy(spark, tmp_path):
     assert np.abs(gradient).max() < 1e-6
     m.save(spark, str(tmp_path / "model"))
     assert models.Linear.load(spark, str(tmp_path / "model")) == m
+    for found in ({"mae": 1.0}, {"mae": 0.25, "rmse": None, "n": np.int64(3)}):  # written anew over the first
+        models.save_metrics(spark, found, str(tmp_path / "metrics"))
+    assert models.load_metrics(spark, str(tmp_path / "metrics")) == {"mae": 0.25, "rmse": None, "n": 3}
     assert min(column(models.predict_at(df, m, "a", -100.0, "low"), "low")) == 0.0
 
 
