@@ -57,7 +57,7 @@ def test_cases(spark):
 def test_lowest_centroid_of_equals_and_large_components():
     q = np.array([[0, 0], [1 << 28, -(1 << 28)]], np.int64)
     nearest, distance = assigned(q, np.array([[1, 0], [0, 1], [-1, 0]], np.int64))
-    assert nearest.tolist() == [0, 1] and distance.tolist() == [1, (1 << 28) ** 2 + ((1 << 28) + 1) ** 2]
+    assert nearest.tolist() == [0, 0] and distance.tolist() == [1, (1 << 28) ** 2 + ((1 << 28) - 1) ** 2]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
