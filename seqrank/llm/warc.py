@@ -18,8 +18,8 @@ What is searched is what lies behind the last record that was read, so the work
 
 An archive is read in pieces. Files up to ``WHOLE`` bytes are a row of Spark's, handed over in pieces; larger ones, of any size, come
 from Spark's line reader by ranges, put in order by a shuffle of those files alone. That reader inflates files whose names end like
-compressed ones (``.gz``), which would lose their damage: they are a row at any size, up to the 2 GB beyond which Spark raises an error. A worker holds a record, at most ``LONGEST`` bytes (a longer one is
-a gap), and what waits for its member's checksum: beyond ``HELD`` bytes, records whose digest fits don't wait, and others are suspect.
+compressed ones (``.gz``), which would lose their damage: they are a row at any size, up to the 2 GB beyond which Spark raises an error. A worker holds a record, at most ``LONGEST`` bytes (a longer one, which
+no value of Spark's could hold, is a gap; header lines of any length below that are read whole), and what waits for its member's checksum: beyond ``HELD`` bytes, records whose digest fits don't wait, and others are suspect.
 
 Defined results: a null payload is empty, and such records are responses. Rows repeated with an id and payload are records of
 their own: as equal payloads of one id they are responses all. A row without an id gets a record without one, and never is another's response.
@@ -46,8 +46,8 @@ from .common import fresh_path, map_arrow, stored, table
 #: Shortest payload that a revisit may refer to; records of an archive file; the level of compression.
 LEAST, RECORDS, LEVEL = 100, 5_000, 6
 VERSION = b"WARC/1.1\r\n"
-#: Longest file that is one row, and its pieces; longest record, line and header; bytes that wait for a checksum; bytes inflated at once.
-WHOLE, PIECE, LONGEST, LINE, HEADER, HELD, STEP = 128 << 20, 1 << 20, 1 << 30, 1 << 16, 1 << 20, 64 << 20, 1 << 14
+#: Longest file that is one row, and its pieces; the most bytes that a value of Spark's holds, and so a record; bytes that wait for a checksum; bytes inflated at once.
+WHOLE, PIECE, LONGEST, HELD, STEP = 128 << 20, 1 << 20, (1 << 31) - 1, 64 << 20, 1 << 14
 _VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 _MEMBER_OR_LINE, _LINE_START = re.compile(rb"\x1f\x8b\x08|\nWARC/"), re.compile(rb"\nWARC/")
@@ -135,16 +135,16 @@ class _Source:
         return bytes(self.held[at - self.base : stop - self.base])
 
     def line(self, at: int) -> bytes | None:
-        """The line at a place with its end; None if it is too long or has none."""
-        size = 256
+        """The line at a place with its end, however long it is; None if it has none."""
+        seen, size = at, 256
         while True:
-            self.has(at + size)
-            end = self.held.find(b"\n", at - self.base, at - self.base + size)
+            self.has(seen + size)
+            end = self.held.find(b"\n", seen - self.base)
             if end >= 0:
                 return bytes(self.held[at - self.base : end + 1])
-            if size >= LINE or self.base + len(self.held) < at + size:
+            if self.base + len(self.held) < seen + size:
                 return None
-            size *= 4
+            seen, size = self.base + len(self.held), PIECE
 
     def search(self, pattern: re.Pattern[bytes], at: int) -> int:
         """Where the pattern (of 6 bytes at most) is found next, or the end; what is passed is let go."""
@@ -165,12 +165,15 @@ class _Source:
 
 
 def _header(src: _Source, at: int) -> tuple[dict[str, str], int] | None:
-    """The headers of a record and where its block begins; None if a line isn't one of a header."""
-    line = src.line(at)
-    if line is None or not _VERSION_LINE.fullmatch(line):
+    """The headers of a record and where its block begins; None if a line isn't one of a header.
+
+    Header lines are read whole. One that isn't of a header ends the search, as the next version line does: failures cost linear time.
+    """
+    first = _VERSION_LINE.match(src.get(at, at + 64))
+    if first is None:
         return None
-    out, begin, name = {}, at + len(line), ""
-    while begin - at <= HEADER:
+    out, begin, name = {}, at + first.end(), ""
+    while begin - at <= LONGEST:
         line = src.line(begin)
         if line is None:
             return None

@@ -166,3 +166,22 @@ def test_write_and_read_back(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write_archives(spark.createDataFrame([], SCHEMA), str(tmp_path / "a"))
     assert read_archives(spark, str(tmp_path / "a")).collect() == []
+
+
+def test_header_lines_of_any_length_are_read(spark, tmp_path):
+    same = "<p>" + "z" * 200
+    pages = [(1, "http://a/" + "u" * 70_000, same), (2, "http://a/2", same), (3, "http://a/" + "v" * 2_000_000, "short"), (4, "http://a/4 " + "w " * 600_000, same), (5, "u", None)]
+    write_archives(spark.createDataFrame([(*p, "x", "y", "z") for p in pages], SCHEMA), str(tmp_path / "a"))
+    rows = {r["page_id"]: r for r in read_archives(spark, str(tmp_path / "a")).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5] and all(r["kind"] == "record" for r in rows.values())
+    assert {i: r["refers_to"] for i, r in rows.items()} == {1: None, 2: 1, 3: None, 4: 1, 5: None}
+    assert [rows[i]["url"] for i in (1, 2, 3)] == [u for _, u, _ in pages[:3]]
+    assert all(r["refers_to"] is None or r["refers_to"] in rows for r in rows.values())
+
+
+def test_version_lines_before_endless_lines_take_linear_time():
+    junk = (b"WARC/1.1\r\nName: " + b"x" * 50_000 + b"\n") * 60 + b"WARC/1.1\r\nName: " + b"y" * 3_000_000
+    began = time.perf_counter()
+    got, gaps = ids(record(1) + junk + b"\n" + record(2))
+    assert got == urn(1, 2) and len(gaps) == 1
+    assert time.perf_counter() - began < 5
