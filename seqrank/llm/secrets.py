@@ -31,7 +31,8 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 #: Weak parts: a 40-character secret that stands alone or behind a "=", and the address of a service.
 SECRET = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
+#: No pattern repeats a group (Java does that by recursion), and each run of characters is tried from its beginning alone.
+ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![a-z0-9.-])[a-z0-9.-]*[a-z0-9-]\.amazonaws\.com"
 #: Kinds in the contract's order, then those that the method adds.
 KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32), ("secret", SECRET, 40), ("endpoint", ENDPOINT, 8))
 BASE = ("assign", "access", "hex")

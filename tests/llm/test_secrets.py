@@ -128,3 +128,19 @@ def test_redaction_keeps_everything_else(documents):
 @pytest.mark.parametrize("text", ["token=1234567", "AKIAABCDEFGHIJK", "0123456789abcdef0123456789abcde"])
 def test_too_short(documents, text):
     assert findings(documents([(1, text)])).first()["spans"] == ""
+
+
+def test_long_runs_of_labels_are_scanned_in_linear_time(documents):
+    from seqrank.llm.secrets import ENDPOINT
+
+    labels = "a." * 100_000
+    near = f"{ACCESS} {KEY} "
+    rows = [(1, "https://x " + labels), (2, near + labels + "s3.amazonaws.com"), (3, near + labels * 5), (4, near + "..eu.amazonaws.community a..b.amazonaws.com .amazonaws.com"), (5, "a-" * 200_000 + " https://" + labels)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in findings(documents(rows)).collect()}
+    assert time.perf_counter() - began < 60
+    first = len(near)
+    assert got[1] == got[5] == ""
+    assert f"endpoint:{first}:{first + len(labels) + 16}" in got[2] and "endpoint" not in got[3]
+    assert [m.span() for m in re.finditer(ENDPOINT, rows[3][1])] == [tuple(map(int, s.split(":")[1:])) for s in got[4].split(",") if s.startswith("endpoint")]
+    assert got[4].count("endpoint") == 2
