@@ -1,22 +1,32 @@
-"""Global alignment with match 1 and all else 0, that is the longest common subsequence, of all rows with all references.
+"""Global alignment with match 1 and all else 0, that is the longest common subsequence, with references.
 
-References are packed into blocks of ``BLOCK``, and each distinct sequence meets each block once, in an Arrow batch: the references of a block
-lie side by side in one wide integer, with a bit between them that takes each one's carry, and a bit-parallel recurrence takes one
-step per residue on all of them. The blocks are a table, so nothing goes through the driver.
+``all_scores`` has every score; ``best_references`` has the best reference of each sequence without scoring all; ``mutations`` aligns pairs.
+References lie in blocks of like length. Sequences and blocks meet in a shuffle: the references of a block come once for some hundred sequences,
+not beside each of them. In an Arrow batch the references of a pack lie side by side in one wide integer, with a bit between them that takes
+each one's carry, and a bit-parallel recurrence takes one step per residue on all of them.
+
+No score is above the sum over residues of the smaller of two counts, nor above the same sum with the largest counts of a whole block.
+The search takes each sequence to its most promising block first, there meets packs of references by falling bounds until no bound is above the
+best score, and takes the sequence to other blocks only where their bound could still hold a better one. What is left out can't win, so the
+result is that of all scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, stored
+from .stats import running_before
 
-#: References in a block.
-BLOCK = 64
+#: References in a block and in a pack; sequences that a block's references are sent with.
+BLOCK, PACK, TOGETHER = 1024, 16, 512
+#: Residues that are counted apart; all others are one kind, which keeps bounds true.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 class Packed:
@@ -32,50 +42,170 @@ class Packed:
             self.places.append((at, len(r), (1 << len(r)) - 1))
             at += len(r) + 1
 
+    def rows(self, sequence: str, v: int | None = None) -> Iterator[int]:
+        """The row of the table behind each residue; a bit is 0 where the score rises."""
+        v, full, get = self.full if v is None else v, self.full, self.masks.get
+        for c in sequence:
+            if m := get(c):
+                u = v & m
+                v = ((v + u) | (v ^ u)) & full  # what is carried out of a reference ends in the bit above it
+            yield v
+
     def lcs(self, sequence: str) -> list[int]:
         """The length of the longest common subsequence with each reference."""
         v, full, get = self.full, self.full, self.masks.get
         for c in sequence:
             if m := get(c):
                 u = v & m
-                v = ((v + u) | (v ^ u)) & full  # what is carried out of a reference ends in the bit above it
+                v = ((v + u) | (v ^ u)) & full
         return [n - (v >> at & own).bit_count() for at, n, own in self.places]
 
 
+def matched(a: str, b: str) -> list[tuple[int, int]]:
+    """The pairs of places (from 0, last pair first) of one longest common subsequence.
+
+    From the ends, a place of ``a`` is passed over whenever what is left of ``a`` still has the whole score, then one of ``b``; else the two match.
+    Every K-th row of the table is kept, K about the root of the length, and the rows between are made again: memory grows with len(b) * root of len(a) bits.
+    """
+    packed = Packed([b])
+    every = max(1, int(len(a) ** 0.5))
+    kept, v = [packed.full], packed.full
+    for k, v in enumerate(packed.rows(a), 1):
+        if k % every == 0:
+            kept.append(v)
+    i, j = len(a), len(b)
+    score = j - v.bit_count()
+    out = []
+    while i and score:
+        base = (i - 1) // every * every
+        rows = [kept[base // every], *packed.rows(a[base:i], kept[base // every])]
+        while i > base and score:
+            low = (1 << j) - 1
+            if j - (rows[i - 1 - base] & low).bit_count() < score:
+                j = (~rows[i - base] & low).bit_length() - 1  # the first place of b where this score is reached
+                out.append((i - 1, j))
+                score -= 1
+            i -= 1
+    return out
+
+
+def mismatch_columns(a: str, b: str) -> tuple[int, int]:
+    """Score and mismatch columns. Strings of one length stand as they are; else what lies between two matches faces each other as far as both have some."""
+    a, b = a.lower(), b.lower()
+    pairs = matched(a, b)
+    if len(a) == len(b):
+        return len(pairs), sum(x != y for x, y in zip(a, b, strict=True))
+    mismatches, x, y = 0, len(a), len(b)
+    for i, j in [*pairs, (-1, -1)]:
+        mismatches += min(x - i - 1, y - j - 1)
+        x, y = i, j
+    return len(pairs), mismatches
+
+
+def mutations(pairs: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence") -> DataFrame:
+    """The rows with score, mismatches, gaps and mutation_rate (mismatch columns in percent of the reference's length) of each pair; null where one of a pair is, and the rate with an empty reference."""
+    ship(pairs.sparkSession)
+    names = [*pairs.columns, "score", "mismatches", "gaps"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (sequence, ref)), strict=True):
+                if a is None or b is None:
+                    found.append((None,) * 3)
+                    continue
+                score, wrong = mismatch_columns(a, b)
+                found.append((score, wrong, 0 if len(a) == len(b) else len(a) + len(b) - 2 * (score + wrong)))
+            more = [pa.array([f[k] for f in found], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), "score int", "mismatches int", "gaps int"])
+    size = F.length(ref)
+    return pairs.mapInArrow(run, kinds).withColumn("mutation_rate", F.when(size > 0, F.col("mismatches") / size * 100.0))
+
+
 def blocks_of(references: DataFrame, ref: str, ref_id: str) -> DataFrame:
-    """block, refs (array of struct<i, r>): references dealt over as many blocks as it takes; null ones are left out."""
+    """block, i, r: references of like length together, ``BLOCK`` in a block; null ones are left out."""
     known = references.filter(F.col(ref).isNotNull()).select(F.col(ref_id).cast("long").alias("i"), F.lower(ref).alias("r"))
-    count = known.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("__blocks"))
-    dealt = known.crossJoin(F.broadcast(count))  # one row
-    return dealt.groupBy(F.pmod(F.xxhash64("i"), F.col("__blocks")).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("refs"))
+    placed = running_before(known, [F.length("r"), F.col("r"), F.col("i")], F.lit(1), "place")
+    return stored(placed.select(F.floor(F.col("place") / BLOCK).alias("block"), "i", "r"), "blocks")
+
+
+def _met(rows: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
+    """block, salt, i, r, and the rows' columns: rows (that name a block) behind the block's references, which come once for ``TOGETHER`` of them."""
+    counts = rows.groupBy("block").agg(F.ceil(F.count("*") / TOGETHER).alias("salts"))
+    salted = rows.join(counts, "block").withColumn("salt", F.pmod(F.xxhash64("sequence"), "salts"))
+    dealt = blocks.join(counts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    kinds = dict(rows.dtypes)
+    refs = dealt.select("block", "salt", "i", "r", *(none(c, kinds[c]) for c in columns))
+    texts = salted.select("block", "salt", none("i", "long"), none("r", "string"), *columns)
+    # a block's references first, in order; then its sequences
+    return refs.union(texts).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("i").isNull(), F.length("r"), "r", "i")
+
+
+class _Blocks:
+    """The packs of the block at hand, and what its rows are held against."""
+
+    def __init__(self):
+        self.block, self.salt, self.refs, self.open = None, None, [], False
+
+    def add(self, block: int, salt: int, i: int, r: str) -> None:
+        if (block, salt) != (self.block, self.salt):
+            self.block, self.salt, self.refs = block, salt, []
+        self.refs.append((i, r))
+        self.open = True
+
+    def ready(self) -> bool:
+        """Whether the packs are new since this was asked last."""
+        if not self.open:
+            return False
+        self.open = False
+        cut = [self.refs[k : k + PACK] for k in range(0, len(self.refs), PACK)]
+        self.packs = [Packed([r for _, r in c]) for c in cut]
+        self.ids, self.lengths = [[i for i, _ in c] for c in cut], [[len(r) for _, r in c] for c in cut]
+        return True
+
+
+def counted(text: str) -> np.ndarray:
+    """How often each of LETTERS occurs, and all else."""
+    own = np.array([text.count(c) for c in LETTERS])
+    return np.append(own, len(text) - own.sum())
 
 
 def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
-    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and block of references (null ones left out)."""
+    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and pack of references (null ones left out)."""
     ship(df.sparkSession)
     rows = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct()
+    blocks = blocks_of(references, ref, ref_id)
     kind = pa.list_(pa.struct([("ref_id", pa.int64()), ("ref_length", pa.int32()), ("score", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[Packed, list[int], list[int]]] = {}
+        at = _Blocks()
         for batch in batches:
-            blocks, texts, refs = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2)
             names, out = [], []
-            for k in sorted(range(len(blocks)), key=blocks.__getitem__):  # one block's rows after each other
-                if blocks[k] not in known:
-                    if len(known) >= BLOCK:
-                        known.clear()
-                    found = refs[k].as_py()
-                    known[blocks[k]] = Packed([r["r"] for r in found]), [r["i"] for r in found], [len(r["r"]) for r in found]
-                packed, ids, lengths = known[blocks[k]]
-                names.append(texts[k])
-                out.append([{"ref_id": i, "ref_length": n, "score": x} for i, n, x in zip(ids, lengths, packed.lcs(texts[k].lower()), strict=True)])
+            for block, salt, i, r, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i is not None:
+                    at.add(block, salt, i, r)
+                    continue
+                at.ready()
+                low = text.lower()
+                for packed, ids, lengths in zip(at.packs, at.ids, at.lengths, strict=True):
+                    names.append(text)
+                    out.append([{"ref_id": i, "ref_length": n, "score": x} for i, n, x in zip(ids, lengths, packed.lcs(low), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, kind)], ["sequence", "found"])
 
-    met = rows.crossJoin(blocks_of(references, ref, ref_id).select("block", "refs"))  # rows times blocks, not times references
+    met = _met(_everywhere(rows, blocks), blocks, ["sequence"])
     return met.mapInArrow(run, "sequence string, found array<struct<ref_id:long,ref_length:int,score:int>>")
 
 
+def _everywhere(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each row with the number of every block."""
+    last = blocks.agg(F.max("block").alias("__last"))  # one row
+    met = rows.join(F.broadcast(last)).filter("__last is not null")
+    return met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last")))).drop("__last")
+
+
 def all_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
     """sequence, ref_id, ref_length, score: each distinct sequence with each reference (null ones left out)."""
     return block_scores(df, references, sequence, ref, ref_id).select("sequence", F.inline("found"))
@@ -89,6 +219,77 @@ def best_match(blocks: DataFrame) -> DataFrame:
     return found.select("sequence", F.when(hit, -F.col("b.i")).alias("best_ref_id"), F.col("b.score").alias("best_score"))
 
 
+def _with_counts(df: DataFrame, text: str) -> DataFrame:
+    """The rows with n, the counts of the residues of a column."""
+    names = [*df.columns, "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [counted(t.lower()).tolist() for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.list_(pa.int32()))], names)
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "n array<int>"]))
+
+
+def _searched(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """key, score, ref_id, scored: the best in the block that a row (key, sequence, block, best, best_id) names, if it beats those, and how many were scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _Blocks()
+        most = members = None
+        for batch in batches:
+            out = []
+            for block, salt, i, r, key, text, best, best_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i is not None:
+                    at.add(block, salt, i, r)
+                    continue
+                if at.ready():
+                    members = np.array([counted(r) for _, r in at.refs])
+                    firsts = [min(ids) for ids in at.ids]
+                low = text.lower()
+                # each reference's bound, then the highest of each pack
+                bound = np.minimum(members, counted(low)).sum(1)
+                most = np.maximum.reduceat(bound, np.arange(0, len(bound), PACK))
+                top, who, scored = best if best is not None else 0, best_id, 0
+                for k in np.argsort(-most, kind="stable").tolist():
+                    if most[k] < top or top > 0 and most[k] == top and (who is not None and firsts[k] > who):
+                        if most[k] < top:
+                            break
+                        continue
+                    for i, x in zip(at.ids[k], at.packs[k].lcs(low), strict=True):
+                        if x > top or (x == top and x > 0 and (who is None or i < who)):
+                            top, who = x, i
+                    scored += len(at.ids[k])
+                out.append((key, top, who, scored))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["key", "score", "ref_id", "scored"])
+
+    return _met(rows, blocks, ["key", "sequence", "best", "best_id"]).mapInArrow(run, "key string, score int, ref_id long, scored long")
+
+
+def best_references(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
+    """sequence, best_ref_id, best_score, scored, references of each distinct sequence: the highest score above 0, the lowest id at a tie (null and 0 if there is none), how many
+    references were scored for it, and how many there are. Without references there are no rows."""
+    ship(df.sparkSession)
+    blocks = blocks_of(references, ref, ref_id)
+    texts = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct().withColumn("key", F.md5("sequence"))
+    rows = stored(_with_counts(texts, "sequence"), "counted")
+    each = _with_counts(blocks, "r")
+    most = each.groupBy("block").agg(F.array(*(F.max(F.col("n")[k]) for k in range(len(LETTERS) + 1))).alias("most"))
+    bound: Column = F.aggregate(F.zip_with("n", "most", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
+    pairs = stored(_everywhere(rows.select("key", "n"), blocks).join(most, "block").select("key", "block", bound.alias("bound")), "pairs")
+    first = pairs.groupBy("key").agg(F.max(F.struct("bound", (-F.col("block")).alias("b"))).alias("top")).select("key", (-F.col("top.b")).alias("block"))
+    texts = rows.select("key", "sequence")
+    found = stored(_searched(first.join(texts, "key").select("key", "sequence", "block", F.lit(None).cast("int").alias("best"), F.lit(None).cast("long").alias("best_id")), blocks), "found")
+    begun = first.join(found.select("key", F.col("score").alias("best"), F.col("ref_id").alias("best_id")), "key").withColumnRenamed("block", "done")
+    rest = pairs.join(begun, "key").filter("block <> done AND bound >= best AND bound > 0").join(texts, "key").select("key", "sequence", "block", "best", "best_id")
+    every = found.union(_searched(rest, blocks))
+    better = F.max(F.struct("score", (-F.col("ref_id")).alias("i"))).alias("b")
+    out = every.groupBy("key").agg(better, F.sum("scored").alias("scored"))
+    total = blocks.agg(F.count("*").alias("references"))  # one row
+    return out.join(texts, "key").join(F.broadcast(total)).select("sequence", (-F.col("b.i")).alias("best_ref_id"), F.col("b.score").alias("best_score"), "scored", "references")
+
+
 def score_arrays(blocks: DataFrame) -> DataFrame:
     """sequence, scores, identity_percent of block_scores: arrays over the references in the order of their ids."""
     part = F.sort_array(F.flatten(F.collect_list("found")))

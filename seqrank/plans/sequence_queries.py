@@ -295,10 +295,47 @@ def lcs_short_arrays(spark: SparkSession, d: str) -> DataFrame:
 @C.add("lcs_best_match")
 def lcs_best_match(spark: SparkSession, d: str) -> DataFrame:
     """Whole sequences; SQL has no such recurrence at this length, so the tests hold it against a textbook table."""
-    best = alignment.best_match(_scores(spark, d))
+    best = alignment.best_references(sequences(spark, d), references(spark, d))
     return sequences(spark, d).join(best, "sequence", "left").select("doc_id", "best_ref_id", "best_score")
 
 
+@C.add("lcs_best_short", f"{_LCS} SELECT name, CASE WHEN max(score) > 0 THEN arg_min(ref_id, (-score, ref_id)) END AS best_ref_id, max(score) AS best_score FROM scored GROUP BY name")
+def lcs_best_short(spark: SparkSession, d: str) -> DataFrame:
+    """The search that leaves out what bounds rule out, on short strings."""
+    best = alignment.best_references(table(spark, d, "part"), references(spark, d), "p_name")
+    return best.select(F.col("sequence").alias("name"), "best_ref_id", "best_score")
+
+
+@C.add(
+    "lcs_mutation_short",
+    f"{_LCS}, best AS (SELECT name, arg_min(ref_id, (-score, ref_id)) AS ref_id, max(score) AS score FROM scored GROUP BY name HAVING max(score) > 0), "
+    "lines AS MATERIALIZED (SELECT name, ref_id, i, list(v ORDER BY j) AS l FROM dp JOIN best USING (name, ref_id) GROUP BY ALL), "
+    "walk AS (SELECT name, ref_id, length(name) AS i, len(l) AS j, length(name) + 1 AS x, len(l) + 1 AS y, 0 AS wrong FROM lines WHERE i = length(name) UNION ALL "
+    "SELECT w.name, w.ref_id, w.i - 1, CASE WHEN hit THEN spot - 1 ELSE j END, CASE WHEN hit THEN w.i ELSE x END, CASE WHEN hit THEN spot ELSE y END, wrong + CASE WHEN hit THEN least(x - w.i - 1, y - spot - 1) ELSE 0 END "
+    "FROM (SELECT w.*, CASE WHEN j > 0 THEN own.l[j] > up.l[j] ELSE false END AS hit, list_position(own.l, own.l[greatest(j, 1)]) AS spot FROM walk w JOIN lines own ON own.name = w.name AND own.i = w.i "
+    "JOIN lines up ON up.name = w.name AND up.i = w.i - 1) w), "
+    "done AS (SELECT name, ref_id, wrong + least(x - 1, y - 1) AS wrong FROM walk WHERE i = 0) "
+    "SELECT name, ref_id, score, m::INTEGER AS mismatches, (CASE WHEN length(name) = length(ref_sequence) THEN 0 ELSE length(name) + length(ref_sequence) - 2 * (score + m) END)::INTEGER AS gaps, round(m / length(ref_sequence)::DOUBLE * 100, 6) AS mutation_rate "
+    "FROM (SELECT name, ref_id, score, ref_sequence, CASE WHEN length(name) = length(ref_sequence) THEN hamming(lower(name), lower(ref_sequence)) ELSE wrong END AS m FROM done JOIN best USING (name, ref_id) JOIN refs USING (ref_id))",
+)
+def lcs_mutation_short(spark: SparkSession, d: str) -> DataFrame:
+    """Each name aligned with its best reference; the SQL walks back through its table."""
+    refs = references(spark, d)
+    best = alignment.best_references(table(spark, d, "part"), refs, "p_name").filter("best_ref_id is not null")
+    pairs = best.join(refs, F.col("best_ref_id") == F.col("ref_id")).select(F.col("sequence").alias("name"), "ref_id", "ref_sequence")
+    return alignment.mutations(pairs, "name").select("name", "ref_id", "score", "mismatches", "gaps", r6("mutation_rate"))
+
+
+@C.add("lcs_mutation_rate")
+def lcs_mutation_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sequences aligned with their best references; the tests hold it against a textbook table."""
+    rows, refs = sequences(spark, d), references(spark, d)
+    best = alignment.best_references(rows, refs).filter("best_ref_id is not null")
+    pairs = best.join(refs, F.col("best_ref_id") == F.col("ref_id")).select("sequence", "ref_id", "ref_sequence")
+    found = alignment.mutations(pairs).drop("ref_sequence")
+    return rows.select("doc_id", "sequence").join(found, "sequence").select("doc_id", "ref_id", "score", "mismatches", "gaps", r6("mutation_rate"))
+
+
 @C.add("lcs_all_scores")
 def lcs_all_scores(spark: SparkSession, d: str) -> DataFrame:
     return sequences(spark, d).join(alignment.score_arrays(_scores(spark, d)), "sequence", "left").select("doc_id", "scores", "identity_percent")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +27,64 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/seqrank/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing lies at."""
+    return f"{shared_dir(spark)}/seqrank/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path through Hadoop's file system, wherever that is."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+#: The tables of the scopes that are open in this thread (or task of an event loop), innermost last.
+_scopes: contextvars.ContextVar[tuple[list["Stored"], ...]] = contextvars.ContextVar("seqrank_scopes", default=())
+#: Tables written outside any scope, or kept by the outermost: their caller's result reads them.
+_kept: list["Stored"] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but those with ``keep``: a result that is still to be read needs them. Threads have scopes of their own."""
+    own: list[Stored] = []
+    before = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(before)
+        for t in own:
+            t.drop()
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that results of this session still could read, once they are no longer wanted; how many there were."""
+    mine = [t for t in _kept if t.spark.sparkContext is spark.sparkContext]
+    for t in mine:
+        _kept.remove(t)
+        t.drop()
+    return len(mine)
+
+
+class Stored:
+    """A DataFrame written to the shared folder and read again: its lineage is the files alone, and lost executors lose nothing."""
+
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
+        self.spark = df.sparkSession
+        self.path = fresh_path(self.spark, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        scopes = _scopes.get()
+        within = scopes[:-1] if keep else scopes  # what outlives this scope ends with the one around it
+        (within[-1] if within else _kept).append(self)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Written to the shared folder and read again, until the scope ends or the caller calls release()."""
+    return Stored(df, name, keep).df
 
 
 def ship(spark: SparkSession) -> None:
