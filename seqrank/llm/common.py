@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import shared_dir, ship
+from ..session import Stored, drop_path, fresh_path, scratch, ship, stored  # noqa: F401  (the operators' own names for them)
 
 #: The six white-space characters that the contracts name.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -28,16 +27,6 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seqrank/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Hadoop's file system, wherever it lies."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 #: Rows and bytes of an Arrow batch, where the session has Spark's defaults: rows are whole texts here.
 BATCH, BATCH_BYTES = 2000, 8 << 20
 #: What a worker process keeps from task to task, by name.
@@ -106,40 +95,6 @@ def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame,
     return rows.join(words, hit, "left_semi"), rows.join(words, hit, "left_anti")
 
 
-_scratch: list[list["Stored"]] = []
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end, but those with ``keep``: a result that is still to be read needs them."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for t in _scratch.pop():
-            t.drop()
-
-
-class Stored:
-    """A DataFrame written to the shared folder and read again: its lineage is the files alone."""
-
-    def __init__(self, df: DataFrame, name: str, keep: bool = False):
-        self.spark = df.sparkSession
-        self.path = fresh_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        within = _scratch[:-1] if keep else _scratch  # what outlives this scratch ends with the one around it
-        if within:
-            within[-1].append(self)
-
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
-
-
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    return Stored(df, name, keep).df
-
-
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; SEQRANK_TOKENIZERS names another folder."""
     folder = os.environ.get("SEQRANK_TOKENIZERS")
