@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
+from .meeting import behind, groups, numbered
 from .stats import running_before
 
 #: References in a block and in a pack; sequences that a block's references are sent with.
@@ -124,47 +125,25 @@ def mutations(pairs: DataFrame, sequence: str = "sequence", ref: str = "ref_sequ
     return pairs.mapInArrow(run, kinds).withColumn("mutation_rate", F.when(size > 0, F.col("mismatches") / size * 100.0))
 
 
-def blocks_of(references: DataFrame, ref: str, ref_id: str) -> DataFrame:
-    """block, i, r: references of like length together, ``BLOCK`` in a block; null ones are left out."""
+def blocks_of(references: DataFrame, ref: str, ref_id: str, size: int | None = None) -> DataFrame:
+    """block, i, r: references (in lower case) of like length together, ``size`` (else BLOCK) in a block; null ones are left out."""
     known = references.filter(F.col(ref).isNotNull()).select(F.col(ref_id).cast("long").alias("i"), F.lower(ref).alias("r"))
     placed = running_before(known, [F.length("r"), F.col("r"), F.col("i")], F.lit(1), "place")
-    return stored(placed.select(F.floor(F.col("place") / BLOCK).alias("block"), "i", "r"), "blocks")
+    return stored(placed.select(F.floor(F.col("place") / (size or BLOCK)).alias("block"), "i", "r"), "blocks")
 
 
-def _met(rows: DataFrame, blocks: DataFrame, columns: list[str]) -> DataFrame:
-    """block, salt, i, r, and the rows' columns: rows (that name a block) behind the block's references, which come once for ``TOGETHER`` of them."""
-    counts = rows.groupBy("block").agg(F.ceil(F.count("*") / TOGETHER).alias("salts"))
-    salted = rows.join(counts, "block").withColumn("salt", F.pmod(F.xxhash64("sequence"), "salts"))
-    dealt = blocks.join(counts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    kinds = dict(rows.dtypes)
-    refs = dealt.select("block", "salt", "i", "r", *(none(c, kinds[c]) for c in columns))
-    texts = salted.select("block", "salt", none("i", "long"), none("r", "string"), *columns)
-    # a block's references first, in order; then its sequences
-    return refs.union(texts).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("i").isNull(), F.length("r"), "r", "i")
+class _Block:
+    """The packs of a block's references."""
 
+    def __init__(self, heads: list[dict]):
+        cut = [heads[k : k + PACK] for k in range(0, len(heads), PACK)]
+        self.packs = [Packed([h["r"] for h in c]) for c in cut]
+        self.ids, self.lengths = [[h["i"] for h in c] for c in cut], [[len(h["r"]) for h in c] for c in cut]
+        self.references = [h["r"] for h in heads]
 
-class _Blocks:
-    """The packs of the block at hand, and what its rows are held against."""
 
-    def __init__(self):
-        self.block, self.salt, self.refs, self.open = None, None, [], False
-
-    def add(self, block: int, salt: int, i: int, r: str) -> None:
-        if (block, salt) != (self.block, self.salt):
-            self.block, self.salt, self.refs = block, salt, []
-        self.refs.append((i, r))
-        self.open = True
-
-    def ready(self) -> bool:
-        """Whether the packs are new since this was asked last."""
-        if not self.open:
-            return False
-        self.open = False
-        cut = [self.refs[k : k + PACK] for k in range(0, len(self.refs), PACK)]
-        self.packs = [Packed([r for _, r in c]) for c in cut]
-        self.ids, self.lengths = [[i for i, _ in c] for c in cut], [[len(r) for _, r in c] for c in cut]
-        return True
+def _met(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    return behind(rows, blocks, "block", "sequence", [F.length("r"), F.col("r"), F.col("i")], TOGETHER)
 
 
 def counted(text: str) -> np.ndarray:
@@ -181,31 +160,22 @@ def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence
     kind = pa.list_(pa.struct([("ref_id", pa.int64()), ("ref_length", pa.int32()), ("score", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _Blocks()
-        for batch in batches:
+        at = block = None
+        for heads, held in groups(batches, PACK):
+            if heads is not at:
+                at, block = heads, _Block(heads)
             names, out = [], []
-            for block, salt, i, r, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if i is not None:
-                    at.add(block, salt, i, r)
-                    continue
-                at.ready()
+            for text in (r["sequence"] for r in held):
                 low = text.lower()
-                for packed, ids, lengths in zip(at.packs, at.ids, at.lengths, strict=True):
+                for packed, ids, lengths in zip(block.packs, block.ids, block.lengths, strict=True):
                     names.append(text)
                     out.append([{"ref_id": i, "ref_length": n, "score": x} for i, n, x in zip(ids, lengths, packed.lcs(low), strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, kind)], ["sequence", "found"])
 
-    met = _met(_everywhere(rows, blocks), blocks, ["sequence"])
+    met = _met(numbered(rows, blocks.agg(F.max("block")), "block"), blocks)
     return met.mapInArrow(run, "sequence string, found array<struct<ref_id:long,ref_length:int,score:int>>")
 
 
-def _everywhere(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each row with the number of every block."""
-    last = blocks.agg(F.max("block").alias("__last"))  # one row
-    met = rows.join(F.broadcast(last)).filter("__last is not null")
-    return met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last")))).drop("__last")
-
-
 def all_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
     """sequence, ref_id, ref_length, score: each distinct sequence with each reference (null ones left out)."""
     return block_scores(df, references, sequence, ref, ref_id).select("sequence", F.inline("found"))
@@ -235,36 +205,32 @@ def _searched(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """key, score, ref_id, scored: the best in the block that a row (key, sequence, block, best, best_id) names, if it beats those, and how many were scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _Blocks()
-        most = members = None
-        for batch in batches:
+        at = block = members = firsts = None
+        for heads, held in groups(batches, TOGETHER):
+            if heads is not at:
+                at, block = heads, _Block(heads)
+                members = np.array([counted(r) for r in block.references])
+                firsts = [min(ids) for ids in block.ids]
             out = []
-            for block, salt, i, r, key, text, best, best_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if i is not None:
-                    at.add(block, salt, i, r)
-                    continue
-                if at.ready():
-                    members = np.array([counted(r) for _, r in at.refs])
-                    firsts = [min(ids) for ids in at.ids]
-                low = text.lower()
+            for row in held:
+                low = row["sequence"].lower()
                 # each reference's bound, then the highest of each pack
-                bound = np.minimum(members, counted(low)).sum(1)
-                most = np.maximum.reduceat(bound, np.arange(0, len(bound), PACK))
-                top, who, scored = best if best is not None else 0, best_id, 0
+                most = np.maximum.reduceat(np.minimum(members, counted(low)).sum(1), np.arange(0, len(members), PACK))
+                top, who, scored = row["best"] or 0, row["best_id"], 0
                 for k in np.argsort(-most, kind="stable").tolist():
-                    if most[k] < top or top > 0 and most[k] == top and (who is not None and firsts[k] > who):
-                        if most[k] < top:
-                            break
+                    if most[k] < top:
+                        break
+                    if most[k] == top > 0 and who is not None and firsts[k] > who:  # at best a tie, which its ids would lose
                         continue
-                    for i, x in zip(at.ids[k], at.packs[k].lcs(low), strict=True):
+                    for i, x in zip(block.ids[k], block.packs[k].lcs(low), strict=True):
                         if x > top or (x == top and x > 0 and (who is None or i < who)):
                             top, who = x, i
-                    scored += len(at.ids[k])
-                out.append((key, top, who, scored))
+                    scored += len(block.ids[k])
+                out.append((row["key"], top, who, scored))
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["key", "score", "ref_id", "scored"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "score", "ref_id", "scored"])
 
-    return _met(rows, blocks, ["key", "sequence", "best", "best_id"]).mapInArrow(run, "key string, score int, ref_id long, scored long")
+    return _met(rows, blocks).mapInArrow(run, "key string, score int, ref_id long, scored long")
 
 
 def best_references(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
@@ -277,7 +243,7 @@ def best_references(df: DataFrame, references: DataFrame, sequence: str = "seque
     each = _with_counts(blocks, "r")
     most = each.groupBy("block").agg(F.array(*(F.max(F.col("n")[k]) for k in range(len(LETTERS) + 1))).alias("most"))
     bound: Column = F.aggregate(F.zip_with("n", "most", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
-    pairs = stored(_everywhere(rows.select("key", "n"), blocks).join(most, "block").select("key", "block", bound.alias("bound")), "pairs")
+    pairs = stored(numbered(rows.select("key", "n"), blocks.agg(F.max("block")), "block").join(most, "block").select("key", "block", bound.alias("bound")), "pairs")
     first = pairs.groupBy("key").agg(F.max(F.struct("bound", (-F.col("block")).alias("b"))).alias("top")).select("key", (-F.col("top.b")).alias("block"))
     texts = rows.select("key", "sequence")
     found = stored(_searched(first.join(texts, "key").select("key", "sequence", "block", F.lit(None).cast("int").alias("best"), F.lit(None).cast("long").alias("best_id")), blocks), "found")

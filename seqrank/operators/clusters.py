@@ -64,6 +64,11 @@ def clusters(df: DataFrame, sequence: str = "sequence", k: int = K.KMER, dim: in
     found = _assigned(vectors, centres) if rounds else single.limit(0)
     left = big.select("key", "seq_len").join(found.select("key", "seq_len"), ["key", "seq_len"], "left_anti")  # too short for a k-mer
     every = stored(single.unionByName(found).unionByName(left.withColumns({"c": F.lit(0).cast("long"), "similarity": F.lit(1.0)})), "clustered")
+    return numbered_clusters(every)
+
+
+def numbered_clusters(every: DataFrame) -> DataFrame:
+    """sequence, seq_len, cluster_id, similarity of rows (key, seq_len, c, similarity): ids from 0, by length, then by c."""
     ids = every.groupBy("seq_len", "c").agg(F.count("*").alias("size"))
     per_length = ids.groupBy("seq_len").agg(F.count("*").alias("m"))
     # the lengths are few: their running sum is the only unpartitioned window

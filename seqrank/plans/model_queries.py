@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import kmers, residues, vectors
-from ..operators import clusters, embeddings, folds, metrics, models, wild_types
+from ..operators import clusters, embeddings, folds, metrics, minibatch, models, wild_types
 from ..operators.stats import centered, robust_z, running_before
 from ..session import shared_dir, stored
 from . import fit_sql, scores
@@ -143,6 +143,47 @@ def cluster_reps(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cluster_id", F.col("seq_len").cast("long").alias("seq_len"), "cluster_size", "rep_sequence", r6("avg_similarity"))
 
 
+def _minibatch_sql(rounds: int, batch: int) -> str:
+    """Seeds by MD5; each round a batch of every length, each centre moved by its share of rows; then all rows to the nearest centre."""
+    head = _kmeans_sql(0)
+    out = [head[: head.index(", a0 AS MATERIALIZED")].removeprefix("WITH ")]
+    out.append(f"slots AS MATERIALIZED (SELECT key, seq_len, ('0x' || substr(md5(key), 1, 8))::BIGINT % s AS slot, s FROM (SELECT DISTINCT key, x.seq_len, (n + {batch - 1}) // {batch} AS s FROM x JOIN (SELECT seq_len, count(*) AS n FROM d GROUP BY ALL) AS z ON x.seq_len = z.seq_len))")
+    out.append("h0 AS MATERIALIZED (SELECT DISTINCT seq_len, c, 0::BIGINT AS had FROM c0)")
+
+    def nearest(r: int, rows: str) -> str:
+        dots = f"SELECT x.key, c, sum(w * u) AS dot FROM x JOIN {rows} USING (key) JOIN c{r} ON x.seq_len = c{r}.seq_len AND x.bucket = c{r}.bucket GROUP BY ALL"
+        every = f"SELECT key, b.seq_len, c, norm, 1 + norm - 2 * coalesce(dot, 0) AS e FROM {rows} b JOIN (SELECT seq_len, c, sum(u * u) AS norm FROM c{r} GROUP BY ALL) AS n ON n.seq_len = b.seq_len LEFT JOIN ({dots}) USING (key, c)"
+        return f"(SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(e, 9), c) = 1)"
+
+    for r in range(rounds):
+        out.append(f"b{r} AS MATERIALIZED (SELECT key, seq_len FROM slots WHERE slot = {r} % s)")
+        out.append(f"f{r} AS MATERIALIZED {nearest(r, f'b{r}')}")
+        out.append(f"h{r + 1} AS MATERIALIZED (SELECT seq_len, c, had + coalesce(got, 0) AS had, coalesce(got, 0) AS m FROM h{r} LEFT JOIN (SELECT seq_len, c, count(*) AS got FROM f{r} GROUP BY ALL) USING (seq_len, c))")
+        kept = f"SELECT seq_len, c, bucket, CASE WHEN m > 0 THEN u * (had - m) / had ELSE u END AS u FROM c{r} JOIN h{r + 1} USING (seq_len, c)"
+        new = f"SELECT x.seq_len, f{r}.c, bucket, sum(w) / any_value(had) AS u FROM x JOIN f{r} USING (key) JOIN h{r + 1} ON h{r + 1}.seq_len = x.seq_len AND h{r + 1}.c = f{r}.c GROUP BY ALL"
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT seq_len, c, bucket, sum(u) AS u FROM ({kept} UNION ALL {new}) GROUP BY ALL HAVING sum(u) <> 0)")
+    out += [
+        f"last AS MATERIALIZED {nearest(rounds, 'slots')}",
+        "every AS (SELECT sequence, seq_len, c, similarity FROM small UNION ALL SELECT key, seq_len, c, (1 + norm - greatest(e, 0)) / 2 / sqrt(norm) FROM last UNION ALL SELECT sequence, seq_len, 0, 1.0 FROM big WHERE sequence NOT IN (SELECT key FROM last))",
+        "clustered AS (SELECT sequence, seq_len, dense_rank() OVER (ORDER BY seq_len, c) - 1 AS cluster_id, similarity FROM every)",
+    ]
+    return "WITH " + ", ".join(out)
+
+
+@C.add("minibatch_groups", f"{_minibatch_sql(6, 100)} SELECT sequence, seq_len, cluster_id, round(similarity, 6) AS similarity FROM clustered")
+def minibatch_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Mini-batches with learning rates, as many rounds as the SQL makes, from the same seeds."""
+    found = minibatch.minibatch_clusters(_lines(spark, d), batch=100, rounds=6, patience=None, seeding="hashed")
+    return found.select("sequence", F.col("seq_len").cast("long").alias("seq_len"), "cluster_id", r6("similarity"))
+
+
+@C.add("minibatch_reps")
+def minibatch_reps(spark: SparkSession, d: str) -> DataFrame:
+    """With oversampled seeds, until the inertia stands still: the tests hold its invariants, and its inertia against the plain rounds'."""
+    out = clusters.representatives(minibatch.minibatch_clusters(_lines(spark, d)))
+    return out.select("cluster_id", F.col("seq_len").cast("long").alias("seq_len"), "cluster_size", "rep_sequence", r6("avg_similarity"))
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------------
 
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"

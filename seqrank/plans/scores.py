@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import kinetics, motifs, residues
 from ..functions.strings import length_penalty
+from ..operators import matrices, profiles
 from ..operators.stats import centered, clipped, finite_or, impute_median, mode_smallest, robust_z, zscore
 from ..schema import col_or_lit, require_columns
 from ..session import stored
@@ -134,6 +135,29 @@ def profile_composite(df: DataFrame) -> DataFrame:
     return rows.withColumn("composite", (F.col("z_supervised") + F.col("unsupervised")) / 2)
 
 
+def profile_raw_scores(
+    df: DataFrame, models: DataFrame, references: DataFrame, matrix: DataFrame, roles: dict[str, str], sequence: str = "sequence", supervised: str = "supervised", alphabet: str = K.AMINO_ACIDS, **costs: float
+) -> DataFrame:
+    """R3's raw scores beside the rows: each role's profile (its forward score), and blosum, the highest matrix score with a reference.
+
+    roles: the family of models that stands for family_hmm, site_hmm and homologs_hmm. The supervised score is a column of the rows; what is missing is 0, as
+    the composite expects. A null or empty sequence has no scores: all of them are 0.
+    """
+    texts = df.select(sequence).filter(F.length(sequence) > 0)
+    wanted = models.filter(F.col("family").isin(*roles.values()))
+    found = profiles.profile_scores(texts, wanted, sequence, alphabet)
+    by_role = [F.max(F.when(F.col("family") == family, F.col("forward"))).alias(role) for role, family in roles.items()]
+    hmm = found.groupBy("sequence").agg(*by_role)
+    best = matrices.matrix_with_all(texts, references, matrix, sequence, **costs).groupBy("sequence").agg(F.max("matrix_score").alias("blosum"))
+    raw = hmm.join(best, "sequence", "full").withColumnRenamed("sequence", "__s")
+    names = [*roles, "blosum"]
+    keep = [c for c in df.columns if c not in names]
+    out = df.select(*keep).join(raw, F.col(sequence) == F.col("__s"), "left").drop("__s")
+    real = F.coalesce(F.length(sequence) > 0, F.lit(False))
+    value = lambda c: F.when(real, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).otherwise(0.0)
+    return out.withColumns({c: value(c) for c in names} | {"supervised": value(supervised) if supervised in df.columns else F.lit(0.0)})
+
+
 def kinetics_activity(df: DataFrame, s0: float, enzyme_mgml: float = 1.0, mw_kda: float = 30.0, volume_ml: float = 1.0, unit: str = "mM", per_second: bool = True, expression: str | None = None) -> DataFrame:
     """R5: v0 and specific activity from kcat and km; the enzyme's concentration may come from a column."""
     kcat = kinetics.per_minute(F.col("kcat")) if per_second else F.col("kcat")
