@@ -1,10 +1,8 @@
-"""Embedding deltas against a wild type, and the cache of embeddings."""
+"""Embedding deltas against a wild type, and what a cache of embeddings lacks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import cache_key
@@ -41,21 +39,3 @@ def cache_missing(df: DataFrame, cache: DataFrame, model: str, sequence: str = "
     """key, sequence of the distinct sequences whose key the cache lacks."""
     keyed = df.select(cache_key(F.lit(model), F.col(sequence)).alias("key"), F.col(sequence).alias("sequence")).distinct()
     return keyed.join(cache.select("key"), "key", "left_anti")
-
-
-def through_cache(spark: SparkSession, df: DataFrame, path: str, model: str, provide: Callable[[DataFrame], DataFrame], sequence: str = "sequence") -> DataFrame:
-    """key, embedding of every distinct sequence: what the Parquet cache lacks is provided and appended to it.
-
-    provide: takes (key, sequence) and returns (key, embedding). The committer removes what a failed append leaves. A file of the cache that can't be
-    read, and a vector in it that can't be used, count as lacking: they are provided again.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    reader = spark.read.schema("key string, embedding array<double>").option("ignoreCorruptFiles", True)
-    read = lambda: reader.parquet(path).filter(usable(F.col("embedding")))
-    cache = read() if exists else spark.createDataFrame([], "key string, embedding array<double>")
-    missing = cache_missing(df, cache, model, sequence)
-    if not missing.isEmpty():
-        provide(missing).select("key", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("append").parquet(path)
-    wanted = df.select(cache_key(F.lit(model), F.col(sequence)).alias("key")).distinct()
-    return read().join(wanted, "key", "left_semi").dropDuplicates(["key"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import kmers, residues, vectors
-from ..operators import clusters, embeddings, folds, metrics, minibatch, models, wild_types
+from ..operators import cache, clusters, embeddings, folds, metrics, minibatch, models, positions, trees, wild_types
 from ..operators.stats import centered, robust_z, running_before
 from ..session import shared_dir, stored
 from . import fit_sql, scores
@@ -247,15 +247,57 @@ def embed_cache_fill(spark: SparkSession, d: str) -> DataFrame:
     known = rows.join(table(spark, d, "labels"), "doc_id").select("sequence", "quality").dropDuplicates(["sequence"])
     broken = F.when(F.col("quality") == 0, F.array(F.lit(float("nan")))).otherwise(vector)
     known.select(F.sha1(F.concat_ws("|", F.lit("model-v1"), "sequence")).alias("key"), broken.alias("embedding")).write.parquet(path)
-    out = embeddings.through_cache(spark, rows, path, "model-v1", lambda missing: missing.select("key", vector.alias("embedding")))
+    out = cache.filled(spark, rows, path, "model-v1", lambda missing: missing.select("key", vector.alias("embedding")), chunks=2)
     return out.select("key", F.element_at("embedding", 1).alias("first"))
 
 
 @C.add("embed_cache_miss", f"WITH {SEQS} SELECT DISTINCT sha1('model-v1|' || sequence) AS key FROM seqs WHERE sequence NOT IN (SELECT sequence FROM seqs JOIN labels USING (doc_id))")
 def embed_cache_miss(spark: SparkSession, d: str) -> DataFrame:
     rows = sequences(spark, d)
-    cache = rows.join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.sha1(F.concat_ws("|", F.lit("model-v1"), "sequence")).alias("key"))
-    return embeddings.cache_missing(rows, cache, "model-v1").select("key")
+    known = rows.join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.sha1(F.concat_ws("|", F.lit("model-v1"), "sequence")).alias("key"))
+    return embeddings.cache_missing(rows, known, "model-v1").select("key")
+
+
+# --- tree ensembles, tables side by side -----------------------------------------------------------------------------
+
+TREES, DEPTH = 70, 4
+_SPLIT_BY = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A caller's ensemble: complete trees whose thresholds are shares of the features' means."""
+    means = table(spark, d, "lineitem").agg(*(F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in _SPLIT_BY))  # one row
+    rows = spark.range(TREES).select(F.col("id").alias("tree"), F.explode(F.sequence(F.lit(0), F.lit(2 ** (DEPTH + 1) - 2))).alias("node"))
+    inner = F.col("node") < 2**DEPTH - 1
+    feature = F.when(inner, (F.col("tree") + F.col("node")) % 3).cast("int")
+    share = (F.col("node") * 7 + F.col("tree") * 3) % 11 / F.lit(5.0)
+    mean = F.element_at(F.array(*_SPLIT_BY), feature + 1)
+    rows = rows.join(F.broadcast(means)).select("tree", "node", feature.alias("feature"), (mean * share).alias("threshold"), F.when(inner, 2 * F.col("node") + 1).alias("left"), F.when(inner, 2 * F.col("node") + 2).alias("right"), ((F.col("node") + F.col("tree")) % 2 == 0).alias("missing_left"), F.when(~inner, ((F.col("node") * 13 + F.col("tree") * 5) % 17).cast("double")).alias("value"))
+    return rows
+
+
+@C.add(
+    "tree_ensemble",
+    "WITH RECURSIVE m AS (SELECT " + ", ".join(f"round(avg({c}::DOUBLE), 6) AS m{k}" for k, c in enumerate(_SPLIT_BY)) + " FROM lineitem), "
+    "x AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % 7 = {k} THEN NULL ELSE {c}::DOUBLE END AS x{k}" for k, c in enumerate(_SPLIT_BY)) + " FROM lineitem), "
+    "dx AS (SELECT DISTINCT x0, x1, x2 FROM x), "
+    f"walk AS (SELECT x0, x1, x2, tree, 0::BIGINT AS node FROM dx, range({TREES}) AS t(tree) UNION ALL "
+    "SELECT x0, x1, x2, tree, 2 * node + CASE WHEN CASE WHEN v IS NULL THEN (node + tree) % 2 = 0 ELSE v <= mean * ((node * 7 + tree * 3) % 11 / 5.0::DOUBLE) END THEN 1 ELSE 2 END FROM "
+    f"(SELECT walk.*, CASE (tree + node) % 3 WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS v, CASE (tree + node) % 3 WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS mean FROM walk, m WHERE node < {2**DEPTH - 1})), "
+    f"p AS (SELECT x0, x1, x2, round(sum((node * 13 + tree * 5) % 17) / {TREES}::DOUBLE, 6) AS prediction FROM walk WHERE node >= {2**DEPTH - 1} GROUP BY ALL) "
+    "SELECT l_orderkey, l_linenumber, prediction FROM x JOIN p ON x.x0 IS NOT DISTINCT FROM p.x0 AND x.x1 IS NOT DISTINCT FROM p.x1 AND x.x2 IS NOT DISTINCT FROM p.x2",
+)
+def tree_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    gone = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.when(gone != k, F.col(c).cast("double")).alias(c) for k, c in enumerate(_SPLIT_BY)))
+    return trees.ensemble_predictions(rows, list(_SPLIT_BY), _nodes(spark, d)).select("l_orderkey", "l_linenumber", r6("prediction"))
+
+
+@C.add("side_by_side", "SELECT doc_id, source, page_id, length(url) AS url_length FROM documents POSITIONAL JOIN pages")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables without a common key, row by row."""
+    found = positions.side_by_side(table(spark, d, "documents"), table(spark, d, "pages"))
+    return found.select("doc_id", "source", "page_id", F.length("url").cast("long").alias("url_length"))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------

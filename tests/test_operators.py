@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqrank.operators import assays, clusters, embeddings, folds, joins, metrics, models, stats, wild_types
+from seqrank.operators import assays, cache, clusters, embeddings, folds, joins, metrics, models, stats, wild_types
 from seqrank.plans import pipelines, scores
 from seqrank.schema import col_or_lit, require_columns
 from seqrank.sources import tables
@@ -214,14 +214,14 @@ def test_embedding_cache(spark, tmp_path):
         return missing.select("key", F.array(F.length("sequence").cast("double")).alias("embedding"))
 
     path = str(tmp_path / "cache")
-    assert embeddings.through_cache(spark, rows, path, "m", provide).count() == 2
+    assert cache.filled(spark, rows, path, "m", provide).count() == 2
     more = rows.union(spark.createDataFrame([("DD",)], "sequence string"))
-    assert embeddings.through_cache(spark, more, path, "m", provide).count() == 3
+    assert cache.filled(spark, more, path, "m", provide).count() == 3
     assert asked == [["AA", "CC"], ["DD"]]
     bad = spark.createDataFrame([("AA", None), ("CC", [float("nan")])], "sequence string, embedding array<double>")
     bad.select(F.sha1(F.concat_ws("|", F.lit("m"), "sequence")).alias("key"), "embedding").write.parquet(str(tmp_path / "bad"))
     (tmp_path / "bad" / "part-broken.parquet").write_bytes(b"PAR1 cut off")
-    out = embeddings.through_cache(spark, rows, str(tmp_path / "bad"), "m", provide).collect()
+    out = cache.filled(spark, rows, str(tmp_path / "bad"), "m", provide).collect()
     assert asked[2] == ["AA", "CC"] and [list(r["embedding"]) for r in out] == [[2.0], [2.0]]
     given = spark.createDataFrame([(1, None, 0.25), (2, 0.5, 0.0)], "i int, delta_emb double, wt_cosine_sim double")
     assert column(embeddings.delta_given(given).orderBy("i"), "delta_emb") == [0.75, 0.5]
