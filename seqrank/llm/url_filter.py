@@ -14,7 +14,8 @@ The share of blocked examples of a template is smoothed towards what is expected
 branches with examples, each counted once, itself smoothed towards the node's own share (one half at the root, so after two
 branches of two a new one is expected at 3/4). Branches without examples are thus judged by their siblings, by
 how many branches are known and not by how many urls those have. A template is rejected if its smoothed share reaches PURITY.
-Every level of a path is a level of the tree: the levels go on until no path is longer, each over the paths that reach it.
+Every level of a path is a level of the tree. Levels of one branch alone are passed over at once, so the jobs are as many as a path meets nodes
+of several branches, not as many as the longest path has segments.
 Shapes are aggregated before every shuffle, so a host with a third of all pages is as many rows as it has shapes.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed. Rows repeated
@@ -63,11 +64,60 @@ def shape_of(path: Column) -> Column:
     return F.when(F.size(general) > 0, general).otherwise(F.array(F.lit("")))
 
 
-def _level(at: DataFrame, d: int) -> DataFrame:
-    """The next level of paths that reach it: template and purity by host and shape. at: host, shape, n, known, blocked, template, purity."""
+def _share(a: Column, b: Column) -> Column:
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def _chain(at: DataFrame) -> DataFrame:
+    """All levels at once that hold one branch alone, up to where a node's paths part or end; so what is left has nodes of several branches.
+
+    A level of one branch has its own segment as its name; only the smoothed share changes from level to level, with the paths that end there.
+    """
+    key = ["host", "template"]
+    rows = at.withColumn("rest", F.expr("slice(shape, level + 1, size(shape) - level)"))
+    last = rows.groupBy(*key).agg(F.max("rest").alias("last"))  # the paths of a node that are a beginning of its last one lie on the chain
+    parts = F.array_position(F.zip_with("rest", F.expr("slice(last, 1, size(rest))"), lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    met = rows.join(last, key).withColumn("same", F.when(parts == 0, F.size("rest")).otherwise(parts - 1).cast("int"))
+    turn = met.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("same") < F.size("rest"), F.col("same"))), F.max(F.size("last"))).alias("turn"))
+    met = stored(met.join(turn, key), "chain")
+    sums = [F.sum(c).alias(c) for c in ("known", "blocked")]
+    ends = met.filter(F.size("rest") <= F.col("turn")).groupBy(*key, F.size("rest").alias("stop")).agg(*sums)
+    ends = ends.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("stop", "known", "blocked"))).alias("ends"))  # one for each length at most
+    nodes = met.groupBy(*key).agg(*sums, F.max("purity").alias("above"), F.max("turn").alias("turn")).join(ends, key, "left")
+
+    def deeper(p: Column, levels: Column, known: Column, blocked: Column) -> Column:
+        """The smoothed share so many levels on."""
+        labelled = F.when(known > 0, F.lit(1)).otherwise(0)
+
+        def step(q: Column, _: Column) -> Column:
+            expected = (F.coalesce(_share(blocked, known), F.lit(0.0)) + BRANCHES * q) / (labelled + BRANCHES)
+            return (blocked + PRIOR * expected) / (known + PRIOR)
+
+        return F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), p, step)).otherwise(p)
+
+    def passed(s: Column, e: Column) -> Column:
+        p = deeper(s["p"], e["stop"] - s["level"], s["known"], s["blocked"])
+        out = F.concat(s["out"], F.array(p))
+        return F.struct(p.alias("p"), e["stop"].alias("level"), (s["known"] - e["known"]).alias("known"), (s["blocked"] - e["blocked"]).alias("blocked"), out.alias("out"))
+
+    start = F.struct(F.col("above").alias("p"), F.lit(0).alias("level"), "known", "blocked", F.array().cast("array<double>").alias("out"))
+    stops = F.coalesce("ends", F.array().cast("array<struct<stop:int,known:bigint,blocked:bigint>>"))
+    nodes = nodes.withColumn("s", F.aggregate(stops, start, passed))
+    shares = F.map_from_arrays(F.transform(stops, lambda e: e["stop"]), F.col("s.out"))
+    end = deeper(F.col("s.p"), F.col("turn") - F.col("s.level"), F.col("s.known"), F.col("s.blocked"))
+    nodes = nodes.select(*key, shares.alias("shares"), end.alias("end"))
+    far = F.least(F.size("rest"), F.col("turn"))
+    name = F.when(far > 0, F.concat("template", F.lit("/"), F.array_join(F.expr("slice(last, 1, least(size(rest), turn))"), "/"))).otherwise(F.col("template"))
+    purity = F.when(F.size("rest") <= F.col("turn"), F.try_element_at("shares", F.size("rest"))).otherwise(F.col("end"))
+    out = met.drop("purity").join(nodes, key)
+    return out.select("host", "shape", "n", "known", "blocked", name.alias("template"), purity.alias("purity"), (F.col("level") + far).alias("level"))
+
+
+def _level(at: DataFrame) -> DataFrame:
+    """The next level of paths: template and purity by host and shape. at: host, shape, n, known, blocked, template, purity, level (how many levels a path has had)."""
     stats = ("n", "known", "blocked")
-    at = at.withColumn("segment", F.try_element_at("shape", F.lit(d)))
-    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    at = at.withColumn("segment", F.try_element_at("shape", F.col("level") + 1))
+    share = _share
     child = at.groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in stats), F.max("purity").alias("above"))
     child = child.withColumn("share", share(F.col("blocked"), F.col("known")))
     sums = [F.sum(c).alias(f"all_{c}") for c in stats]
@@ -87,21 +137,22 @@ def _level(at: DataFrame, d: int) -> DataFrame:
     merged = named.groupBy("host", "template", "name").agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.max("expected").alias("expected"))
     purity = (F.col("blocked") + PRIOR * F.col("expected")) / (F.col("known") + PRIOR)
     found = named.select("host", "template", "segment", "name").join(merged.select("host", "template", "name", purity.alias("purity")), ["host", "template", "name"])
-    return at.drop("purity").join(found, ["host", "template", "segment"]).select("host", "shape", *stats, F.concat("template", F.lit("/"), "name").alias("template"), "purity")
+    out = at.drop("purity").join(found, ["host", "template", "segment"])
+    return out.select("host", "shape", *stats, F.concat("template", F.lit("/"), "name").alias("template"), "purity", (F.col("level") + 1).alias("level"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape, template, purity. shapes: host, shape, n, known, blocked (a row per host and shape)."""
     with scratch():
         # a level uses the one before it several times: written, each is made once, and plans stay small
-        now = stored(shapes.withColumns({"template": F.lit(""), "purity": F.lit(0.5)}), "shapes")
-        deepest, out = now.agg(F.max(F.size("shape"))).first()[0] or 0, None
-        for d in range(1, deepest + 1):
-            now = stored(_level(now.filter(F.size("shape") >= d), d), "level")
-            ended = now.filter(F.size("shape") == d).select("host", "shape", "template", "purity")
-            out = ended if out is None else out.union(ended)
-        none = now.select("host", "shape", "template", "purity").limit(0)
-        return stored(none if out is None else out, "templates", keep=True)
+        now = stored(shapes.withColumns({"template": F.lit(""), "purity": F.lit(0.5), "level": F.lit(0)}), "shapes")
+        ended = now.select("host", "shape", "template", "purity").limit(0)
+        while not now.isEmpty():
+            for step in (_chain, _level):
+                now = stored(step(now), "level")
+                ended = ended.union(now.filter(F.size("shape") <= F.col("level")).select("host", "shape", "template", "purity"))
+                now = now.filter(F.size("shape") > F.col("level"))
+        return stored(ended, "templates", keep=True)
 
 
 def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, label_col: str | None = None) -> DataFrame:

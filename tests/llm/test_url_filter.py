@@ -1,5 +1,6 @@
 import math
 import re
+import time
 
 from seqrank.llm import url_filter as u
 from seqrank.llm.url_filter import judged
@@ -130,3 +131,31 @@ def test_empty_table_and_repeated_rows(spark):
     schema = "page_id long, url string"
     assert judged(spark.createDataFrame([], schema)).collect() == []
     assert judged(spark.createDataFrame([(None, "http://a.com/"), (1, "http://a.com/"), (1, "http://a.com/")], schema)).count() == 3
+
+
+def test_chains_are_passed_over_at_once(spark, monkeypatch):
+    """Crawl loops with every beginning of a path, long paths alone, and chains that part: as in the recursion, in few levels."""
+    levels = []
+    real = u._level
+    monkeypatch.setattr(u, "_level", lambda at: levels.append(1) or real(at))
+    pages = [("http://loop.org/" + "a/" * k, (1 if k % 2 else 0) if k % 3 == 0 else None) for k in range(1, 60)]
+    pages += [("http://loop.org/" + "a/" * 30 + "b/" * k, 1) for k in (1, 2)] + [("http://one.org/" + "x/" * 400, None), ("http://one.org/" + "x/" * 400 + "y", 1), ("http://one.org/" + "x/" * 400 + "z", 0)]
+    pages += [("http://alone.org/" + "/".join("pqrs" * 200), None), ("http://loop.org/" + "a/" * 30, 1)]
+    df = spark.createDataFrame([(k, t, y, "x", "y") for k, (t, y) in enumerate(pages)], "page_id long, url string, y int, rest string, level string")
+    want = brute([(*(lambda h, p: (h, shape(p)))(*parsed(t)), y) for t, y in pages])
+    for r in judged(df, rules=(), label_col="y").collect():
+        host, path = parsed(pages[r["page_id"]][0])
+        template, purity = want[host, shape(path)]
+        assert (r["template"], round(r["purity"], 5)) == (template, round(purity, 5))
+    assert len(levels) <= 5
+
+
+def test_a_very_deep_path_costs_no_more_jobs(spark):
+    def took(depth):
+        df = spark.createDataFrame([(1, "http://h.org/" + "/".join("abcde" * (depth // 5)), 0), (2, "http://h.org/q/r", 1)], "page_id long, url string, y int")
+        began = time.perf_counter()
+        assert judged(df, rules=(), label_col="y").count() == 2
+        return time.perf_counter() - began
+
+    took(5)
+    assert took(2000) < 2 * took(5) + 5
