@@ -9,20 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kmers
-from .operators import clusters, embeddings, wild_types
+from .operators import clusters, embeddings, positions, wild_types
 from .plans import pipelines, scores
 from .schema import number, require_columns
 from .sources import tables
 
 
-def _table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A CSV, XLSX or FASTA table by its name's ending, Parquet otherwise."""
+#: The column of a row's place in its files, where a flow needs it.
+ORDER = "__position"
+
+
+def _table(spark: SparkSession, path: str, sheet: str | None = None, ordered: bool = False) -> DataFrame:
+    """A CSV, XLSX or FASTA table by its name's ending, Parquet otherwise. ordered: CSV and Parquet with their rows' places as ORDER."""
     name = path.lower().rstrip("/")
     if name.endswith(".xlsx"):
         return tables.read_xlsx(spark, path, sheet)
     if name.endswith((".fasta", ".fa", ".faa")):
         return tables.read_fasta(spark, path)
-    return tables.without_unnamed(tables.named_index(tables.read_csv(spark, path))) if name.endswith(".csv") else spark.read.parquet(path)
+    read = tables.read_csv(spark, path) if name.endswith(".csv") else spark.read.parquet(path)
+    read = positions.positioned(read, ORDER) if ordered else read
+    return tables.without_unnamed(tables.named_index(read)) if name.endswith(".csv") else read
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -59,8 +65,9 @@ def final(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def zero_shot(spark: SparkSession, a: argparse.Namespace) -> None:
-    delta = _numbers(_table(spark, a.delta), ["delta_emb", "wt_cosine_sim"]) if a.delta else None
-    found = pipelines.zero_shot(_table(spark, a.input, a.sheet), _table(spark, a.clusters), _table(spark, a.reps), _numbers(_table(spark, a.likelihood), ["ll"]), delta)
+    delta = _numbers(_table(spark, a.delta, ordered=True), ["delta_emb", "wt_cosine_sim"]) if a.delta else None
+    clustered, likelihood = _table(spark, a.clusters, ordered=True), _numbers(_table(spark, a.likelihood, ordered=True), ["ll"])
+    found = pipelines.zero_shot(_table(spark, a.input, a.sheet), clustered, _table(spark, a.reps), likelihood, delta, ORDER)
     tables.write_csv(found, a.output)
 
 

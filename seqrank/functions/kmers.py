@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.meeting import behind, groups, numbered
 
 
 def fnv1a(word: Column, length: int, dim: int) -> Column:
@@ -49,13 +50,12 @@ def unit_vectors(buckets: DataFrame, key: list[str], frequency: bool = False) ->
 def cosine_to(df: DataFrame, references: DataFrame, key: str, other: str, sequence: str = "sequence", ref: str = "ref_sequence", k: int = K.KMER, dim: int = K.KMER_DIM, per_block: int = 256) -> DataFrame:
     """key, other, cosine of all rows with all references that share a bucket, of k-mers of the 20 amino acids alone.
 
-    References are packed into blocks; each row meets each block once, in an Arrow batch, where the k-mers of a batch are
-    counted by numpy and its vectors multiplied with the block's as matrices. No row per k-mer is made or shuffled.
+    References are dealt over blocks, and a block is sent once for some hundred rows; in an Arrow batch the k-mers of the rows are
+    counted by numpy and their vectors multiplied with the block's as matrices. No row per k-mer is made or shuffled.
     """
     known = references.filter(F.col(ref).isNotNull()).select(F.col(other).cast("long").alias("i"), F.col(ref).alias("r"))
-    count = known.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_block)).alias("__blocks"))
-    dealt = known.crossJoin(F.broadcast(count)).groupBy(F.pmod(F.xxhash64("i"), F.col("__blocks")).alias("block"))  # one row
-    blocks = dealt.agg(F.collect_list(F.struct("i", "r")).alias("refs"))
+    last = known.agg(F.when(F.count("*") > 0, F.ceil(F.count("*") / per_block) - 1).alias("__end"))  # one row
+    blocks = known.join(F.broadcast(last)).select(F.pmod(F.xxhash64("i"), F.col("__end") + 1).alias("block"), "i", "r")
     letter = np.full(256, -1, np.int64)
     letter[np.frombuffer(K.AMINO_ACIDS.encode(), np.uint8)] = np.frombuffer(K.AMINO_ACIDS.encode(), np.uint8)
     offset, prime, mask = K.FNV_OFFSET, K.FNV_PRIME, K.FNV_MASK
@@ -78,25 +78,18 @@ def cosine_to(df: DataFrame, references: DataFrame, key: str, other: str, sequen
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            keys, texts, block, refs = np.asarray(batch.column(0)), batch.column(1).to_pylist(), np.asarray(batch.column(2)), batch.column(3)
-            for b in np.unique(block).tolist():
-                at = np.flatnonzero(block == b)
-                if b not in made:
-                    if len(made) >= 8:
-                        made.clear()
-                    found = refs[int(at[0])].as_py()
-                    made[b] = np.array([r["i"] for r in found], np.int64), matrix([r["r"] for r in found]).T.copy()
-                ids, other_side = made[b]
-                for s in range(0, len(at), 256):
-                    part = at[s : s + 256]
-                    dots = matrix([texts[i] for i in part.tolist()]) @ other_side
-                    x, y = np.nonzero(dots)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part][x]), pa.array(ids[y]), pa.array(dots[x, y])], [key, other, "cosine"])
-
-    rows = df.filter(F.col(sequence).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(sequence).alias("s"))
-    return rows.crossJoin(blocks.select("block", "refs")).mapInArrow(run, f"{key} long, {other} long, cosine double")
+        at = ids = other_side = None
+        for heads, held in groups(batches, 256):
+            if heads is not at:
+                at, ids, other_side = heads, np.array([h["i"] for h in heads], np.int64), matrix([h["r"] for h in heads]).T.copy()
+            dots = matrix([r["s"] for r in held]) @ other_side
+            x, y = np.nonzero(dots)
+            names = pa.array([r["__key"] for r in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), pa.array(ids[y]), pa.array(dots[x, y])], [key, other, "cosine"])
+
+    rows = df.filter(F.col(sequence).isNotNull()).select(F.col(key).cast("long").alias("__key"), F.col(sequence).alias("s"))
+    met = behind(numbered(rows, last, "block"), blocks, "block", "s", [F.col("i")])
+    return met.mapInArrow(run, f"{key} long, {other} long, cosine double")
 
 
 def centrality(vectors: DataFrame, key: str, group: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds, joins, metrics, models, wild_types
-from ..operators.alignment import best_match, block_scores
+from ..operators.alignment import best_references
 from ..operators.clusters import clusters, representatives
 from ..operators.embeddings import delta_given
 from ..operators.stats import first_by_key
@@ -17,14 +17,14 @@ from .scores import cluster_aware, properties
 OFFICIAL = {"activity_1": "activity_1 (μmol [TPA]/min·mg [E])", "activity_2": "activity_2 (μmol [TPA]/min·mg [E])", "expression": "expression (mg/mL)"}
 
 
-def zero_shot(df: DataFrame, clustered: DataFrame, reps: DataFrame, likelihood: DataFrame, delta: DataFrame | None = None) -> DataFrame:
+def zero_shot(df: DataFrame, clustered: DataFrame, reps: DataFrame, likelihood: DataFrame, delta: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Sequences to the three official scores.
 
     clustered: sequence, cluster_id; reps: cluster_id, rep_sequence; likelihood: sequence, ll (a model's log-likelihoods);
-    delta: sequence, and delta_emb or wt_cosine_sim. Of a repeated sequence the first row counts. Unmapped rows share cluster -1 and are their own representative.
+    delta: sequence, and delta_emb or wt_cosine_sim. order: a column by which the first row of a repeated sequence counts (positions.positioned gives one); in a table without it the row with the least value counts. Unmapped rows share cluster -1 and are their own representative.
     """
     require_columns(df, ["sequence"], "zero_shot")
-    first = lambda t, *c: first_by_key(t.select("sequence", *c).withColumn("__o", F.monotonically_increasing_id()), ["sequence"], "__o").drop("__o")
+    first = lambda t, c: first_by_key(t.select("sequence", c, F.col(order if order in t.columns else c).alias("__o")), ["sequence"], "__o").drop("__o")
     rows = df.select("sequence").join(first(clustered, "cluster_id"), "sequence", "left")
     rows = rows.join(reps.select("cluster_id", "rep_sequence"), "cluster_id", "left")
     rows = rows.withColumns({"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "rep_sequence": F.coalesce("rep_sequence", "sequence")})
@@ -50,7 +50,7 @@ def property_table(df: DataFrame, references: DataFrame, sequence: str = "sequen
     known = references.select(F.col("wt_id").alias("ref_id"), F.col("wt_sequence").alias("ref_sequence"))
     near = joins.nearest_length(mapped, known)
     rows = near.withColumn("wt_sequence", F.coalesce("wt_sequence", "ref_sequence", "sequence")).drop("ref_id", "ref_sequence")
-    best = best_match(block_scores(rows, known))
+    best = best_references(rows, known).select("sequence", "best_ref_id", "best_score")
     return properties(rows.join(best, "sequence", "left"), weights=weights, also=("best_score",))
 
 

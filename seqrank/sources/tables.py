@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -122,6 +123,10 @@ def _sheet_rows(raw: bytes, sheet: str | None) -> Iterator[list[str | None]]:
                 row.clear()
 
 
+#: Rows of a sheet that are handed over at once.
+SLICE = 4096
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A sheet (the first by default) of the workbooks under a path, that have one header, as columns of strings; cast where they are used.
 
@@ -132,8 +137,10 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                rows = list(_sheet_rows(raw.as_py(), sheet))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["nth", "cells"])
+                nth = 0
+                for rows in itertools.batched(_sheet_rows(raw.as_py(), sheet), SLICE):
+                    yield pa.RecordBatch.from_arrays([pa.array(range(nth, nth + len(rows)), pa.int64()), pa.array(list(rows), pa.list_(pa.string()))], ["nth", "cells"])
+                    nth += len(rows)
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "nth long, cells array<string>")
     header = rows.filter("nth = 0").first()
