@@ -8,7 +8,8 @@ space and the word after it), so a frequent word is merged once per worker.
 Texts are cut into segments before the tokenizer's own pattern is applied: a pre-token never reaches from a character
 that isn't white space over a white-space character behind it, so segments are independent of each other.
 
-Defined results: null counts as empty; an empty text has no tokens. The vocabulary's added tokens are found in the text
+Defined results: null counts as empty; an empty text has no tokens. Rows repeated with an id are answered each, rows without one as well; an empty table gives
+no rows. Whole texts are encoded, of any length, a segment after another. The vocabulary's added tokens are found in the text
 before all else, as the library does.
 """
 

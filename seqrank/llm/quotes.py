@@ -11,7 +11,7 @@ Original passages are aggregated to one row per conversation and hash before the
 repeats any number of times joins once; no conversation is ever gathered in one task.
 
 Defined results: a null text is empty. A row without a conversation or turn links with nothing. Rows repeated with conversation and turn are one
-message to those that quote them; each is returned. A message that quotes nothing known is the root of its own thread.
+message to those that quote them; each is returned. A message that quotes nothing known is the root of its own thread. An empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations

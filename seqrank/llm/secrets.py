@@ -12,7 +12,8 @@ scope, an endpoint only if such a complete pair does. An assignment (a base find
 access identifier is what it assigns.
 
 Defined results: a null text counts as empty and has no findings. Rows repeated with the same id and text are one
-document: each of them is returned with the same spans. Rows of one id with different texts keep to themselves. A row without an id is scanned like any other.
+document: each of them is returned with the same spans. Rows of one id with different texts keep to themselves. A row without an id is scanned like any other. An
+empty table gives no rows; texts are scanned whole, in near linear time. Of a run of host characters all up to its last service suffix is the endpoint.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from seqrank.llm.bpe import ByteBPE, decode, encode, op5_bpe
+from seqrank.llm.bpe import ByteBPE, decode, encode, op5_bpe, round_trip
 from seqrank.llm.common import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -49,6 +49,14 @@ def test_query_over_a_table(spark, tmp_path):
     assert rows[None] == 0 and rows[1] == 2
 
 
+def test_empty_tables_and_repeated_rows(spark, documents):
+    assert encode(documents([])).collect() == [] and round_trip(documents([])).collect() == []
+    long = "word " * 60_000 + "é" * 1000
+    rows = round_trip(documents([(1, "twice"), (1, "twice"), (2, ""), (3, long)])).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 1, 2, 3]
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) for i, t in ((1, "twice"), (2, ""), (3, long))}
+
+
 def test_a_vocabulary_out_of_order_is_refused(tmp_path):
     spec = '{"model": {"vocab": {%s}, "merges": ["ab c", "a b"]}}'
     from seqrank.llm.bpe import byte_symbols
