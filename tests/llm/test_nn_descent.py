@@ -111,3 +111,65 @@ def test_pairs_that_the_graph_misses_are_found(spark, monkeypatch):
     rows = list(rng.normal(size=(300, 32)))
     got, want = groups(spark, rows + [v + 0.3 * rng.normal(size=32) for v in rows[:20]])
     assert got == want and sum(n for n, _ in want.values()) == 40
+
+
+def test_the_audit_weighs_links_by_their_chance_to_be_shown(spark):
+    rng = np.random.default_rng(7)
+    sims, bits = rng.uniform(0.93, 1, 200), rng.integers(0, 8, 200)
+    shown = [(2 * i, 2 * i + 1, float(s), 5, int(b)) for i, (s, b) in enumerate(zip(sims, bits, strict=True))]
+    shown += [(u, v, *rest) for v, u, *rest in shown]  # blocks show a pair from both sides
+    held = rng.random(200) < 0.6
+    graph = [(2 * i, 2 * i + 1, float(sims[i])) for i in np.flatnonzero(held).tolist()] + [(2 * i, 2 * i + 1, 0.2) for i in np.flatnonzero(~held).tolist()]
+    weight = 1 / (1 - (1 - (1 - np.arccos(sims) / np.pi) ** bits) ** nn_descent.TREES)
+    got, n = nn_descent._audit(
+        spark.createDataFrame(graph, "v long, u long, sim double"), spark.createDataFrame(shown, "v long, u long, sim double, label long, bits int"), 0.93
+    )
+    assert n == 200 and abs(got - (weight * held).sum() / weight.sum()) < 1e-9
+    nothing = spark.createDataFrame([], "v long, u long, sim double"), spark.createDataFrame([], "v long, u long, sim double, label long, bits int")
+    assert nn_descent._audit(*nothing, 0.93) == (1.0, 0)
+
+
+def test_saturated_vectors_meet_few_others(spark):
+    """A label of 5200 vectors, of which 1200 lie close together: leaders decide nearly all pairs, and counts are those of brute force."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    v = np.concatenate([centre + 0.03 * rng.normal(size=(1200, 32)), centre + 0.35 * rng.normal(size=(200, 32)), rng.normal(size=(3800, 32))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    weight = rng.integers(1, 4, len(v))
+    rows = [(i, 7, x.astype("<f8").tobytes(), int(w)) for i, (x, w) in enumerate(zip(v, weight, strict=True))]
+    classes = spark.createDataFrame(rows, "id long, label long, vec binary, weight long")
+    cells = nn_descent._cells(classes.filter("id < 1200"), 0.93).persist()
+    assert cells.count() == 1200
+    members = classes.withColumn("root", classes["id"]).join(cells, "id", "left").persist()
+    led = nn_descent._with_leaders(members, 0.93).persist()
+    met = nn_descent._with_members(members.filter("cell is not null"), led.filter("vec is not null"), 0.93)
+    links = dict.fromkeys(range(len(v)), 0)
+    edges = set()
+    inside = {}
+    for r in cells.collect():
+        inside.setdefault(r["cell"], []).append(r["id"])
+        edges.add((r["id"], r["cell"]))
+    for r in led.collect() + met.collect():
+        if r["other"] is not None:
+            edges.add((r["id"], r["other"]))
+        elif r["links"] is not None:
+            for i in inside[r["cell"]] if r["id"] is None else [r["id"]]:
+                links[i] += r["links"]
+    hit = (v @ v.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+    full = np.arange(len(v)) < 1200
+    want = (hit * weight)[:, :].sum(1) * full + (hit * (weight * full)).sum(1) * ~full
+    assert [links[i] for i in range(len(v))] == want.tolist()
+    assert all(hit[a, b] or a == b for a, b in edges if b in inside)
+    compared = len(inside) * len(v) + sum(len(inside[r["cell"]]) for r in led.filter("vec is not null").select("cell").collect())
+    assert compared < 0.1 * len(v) ** 2
+
+
+def test_bundles_of_a_hundred_whose_links_cross(spark):
+    rng = np.random.default_rng(9)
+    a, b = np.eye(32)[:2]
+    rows = []
+    for turn in (0, 19, 38):  # the first and the last are linked through the one between alone
+        centre = np.cos(np.radians(turn)) * a + np.sin(np.radians(turn)) * b
+        rows += [centre + 0.003 * rng.normal(size=32) for _ in range(100)]
+    got, want = groups(spark, rows + list(rng.normal(size=(150, 32))))
+    assert got == want and max(n for n, _ in want.values()) == 299
