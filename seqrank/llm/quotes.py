@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import running_within
 from .common import Stored, map_arrow, stored, table, text_or_empty
 
 #: Shortest normalised passage that is evidence of a quotation whoever else says it, in characters.
@@ -77,7 +78,7 @@ def unquoted(lines: list[tuple[int, str]]) -> str:
 def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, reply_to, quote_level, thread_root, depth, text (without quotes) of every row.
 
-    Ordered by conv_id, thread_root and turn they are reply-ordered conversations.
+    Ordered by conv_id, thread_root and turn they are reply-ordered conversations; reply_order() keeps branches together as well.
     """
     key = F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn")
     rows = df.select(*key, F.col(role_col).cast("string").alias("role"), text_or_empty(text_col).alias("text"))
@@ -123,6 +124,43 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     )
 
 
+def reply_order(messages: DataFrame) -> DataFrame:
+    """The rows of linked() with position: a message's place in its thread, depth first, replies to one message by turn. The root has 0.
+
+    Threads are walked as lists of steps, into and out of each message, which are ranked by doubling steps: as many jobs as the
+    logarithm of the longest thread, and no thread or message with many replies is gathered in one task. Rows repeated with
+    conversation and turn share a place; rows without either are the roots of their own threads.
+    """
+    replies = stored(messages.filter("conv_id is not null and turn is not null and reply_to is not null").select("conv_id", "turn", "reply_to").distinct(), "tree")
+    placed = stored(running_within(replies, ["conv_id", "reply_to"], [F.col("turn")], F.lit(1), "place").select("conv_id", "turn", "reply_to", "place"), "siblings")
+    roots = replies.select("conv_id", F.col("reply_to").alias("turn")).distinct().join(replies, ["conv_id", "turn"], "left_anti")
+    every = replies.select("conv_id", "turn", "reply_to").unionByName(roots.withColumn("reply_to", F.lit(None).cast("long")))
+    first = placed.filter("place = 0").select("conv_id", F.col("reply_to").alias("turn"), F.col("turn").alias("child"))
+    into = every.join(first, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.lit(0).alias("out"), F.coalesce("child", "turn").alias("next"), F.col("child").isNull().cast("int").alias("next_out"), F.lit(1).cast("long").alias("rest")
+    )
+    later = placed.select("conv_id", "reply_to", (F.col("place") - 1).alias("place"), F.col("turn").alias("sibling"))
+    onward = placed.join(later, ["conv_id", "reply_to", "place"], "left").select(
+        "conv_id", "turn", F.lit(1).alias("out"), F.coalesce("sibling", "reply_to").alias("next"), F.col("sibling").isNull().cast("int").alias("next_out"), F.lit(0).cast("long").alias("rest")
+    )
+    # a root's way out is the end of its list: steps that lead to it have nothing left to add
+    now = Stored(into.unionByName(onward), "steps")
+    while True:
+        ahead = now.df.select("conv_id", F.col("turn").alias("next"), F.col("out").alias("next_out"), F.col("next").alias("then"), F.col("next_out").alias("then_out"), F.col("rest").alias("more"))
+        step = now.df.join(ahead, ["conv_id", "next", "next_out"], "left")
+        rest = F.col("rest") + F.coalesce("more", F.lit(0))
+        after = Stored(step.select("conv_id", "turn", "out", F.col("then").alias("next"), F.col("then_out").alias("next_out"), rest.alias("rest")), "steps")
+        going = not after.df.filter("next is not null").isEmpty()
+        now.drop()
+        now = after
+        if not going:
+            break
+    left = now.df.filter("out = 0").select("conv_id", "turn", "rest")
+    whole = left.join(roots, ["conv_id", "turn"], "left_semi").select("conv_id", F.col("turn").alias("thread_root"), F.col("rest").alias("whole"))
+    out = messages.join(left, ["conv_id", "turn"], "left").join(whole, ["conv_id", "thread_root"], "left")
+    return out.select(*messages.columns, F.coalesce(F.col("whole") - F.col("rest"), F.lit(0)).alias("position"))
+
+
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
 

@@ -1,6 +1,6 @@
 import random
 
-from seqrank.llm.quotes import levels, linked, normal, passages, unquoted
+from seqrank.llm.quotes import levels, linked, normal, passages, reply_order, unquoted
 
 SCHEMA = "conv_id long, turn long, role string, text string, hash string, level string, root string"
 
@@ -82,3 +82,35 @@ def test_sentences_and_short_passages(spark):
 
 def test_empty_table(spark):
     assert linked(frame(spark, [])).collect() == []
+
+
+def test_reply_order_keeps_branches_together(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv, shape in ((1, "random"), (2, "chain"), (3, "star"), (4, "alone")):
+        above = {}
+        for turn in range(40):
+            above[turn] = None if not turn or shape == "alone" else {"random": rng.randrange(turn) if rng.random() < 0.9 else None, "chain": turn - 1, "star": 0}[shape]
+        below = {}
+        for turn, up in above.items():
+            below.setdefault(up, []).append(turn)
+        for root in below[None]:
+            walk, stack = 0, [root]
+            while stack:
+                turn = stack.pop()
+                want[conv, turn] = walk
+                walk += 1
+                rows.append((conv, turn, above[turn], root))
+                stack += sorted(below.get(turn, []), reverse=True)
+    rows += [rows[5], (None, 3, None, 3), (1, None, None, None)]
+    rng.shuffle(rows)
+    got = reply_order(spark.createDataFrame(rows, "conv_id long, turn long, reply_to long, thread_root long")).collect()
+    assert len(got) == len(rows)
+    assert all(r["position"] == want.get((r["conv_id"], r["turn"]), 0) for r in got)
+    assert reply_order(linked(frame(spark, []))).collect() == []
+
+
+def test_reply_order_of_linked_messages(spark):
+    said = ["the first message opens the thread", "> the first message opens the thread\nan early answer to it", "> the first message opens the thread\na second branch of talk", "> an early answer to it\nback to the early branch"]
+    got = reply_order(linked(frame(spark, [(1, t, "user", x) for t, x in enumerate(said)]))).collect()
+    assert [r["turn"] for r in sorted(got, key=lambda r: r["position"])] == [0, 1, 3, 2]
