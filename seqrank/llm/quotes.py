@@ -162,7 +162,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "conversations"))
+    return reply_order(linked(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {"op3_quotation_linking": op3_quotation_linking}
