@@ -9,17 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import ship_active
+from .batches import in_slices, side_by_side
 from .residues import net_charge, residue_count
 
 
-def _side_by_side(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The code points of all texts with marks (0) between them, their sizes, and where each begins."""
-    sizes = texts.str.len().to_numpy(np.int64)
-    gap = "\0" * 4
-    codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, sizes, np.concatenate([[0], np.cumsum(sizes + 4)[:-1]]) if len(sizes) else sizes
-
-
 #: Positions at either end where a motif's centre isn't taken.
 EDGE = 10
 
@@ -27,14 +20,14 @@ EDGE = 10
 def motif_center(s: Column, pattern: tuple[str, str, str] = ("G", "S", "G")) -> Column:
     """0-based position of the middle residue of ``a.b.c`` nearest to 0.4 of the length, the earlier at a tie; -1 if absent, null of null.
 
-    Centres among the first or last EDGE positions don't count. One pass over an Arrow batch: all residues side by side in numpy.
+    Centres among the first or last EDGE positions don't count. One pass over an Arrow batch: residues side by side in numpy, a slice of the batch at a time.
     """
     ship_active()
     a, b, c = (ord(x) for x in pattern)
     edge = EDGE
 
-    def nearest(texts: pd.Series) -> pd.Series:
-        codes, sizes, begins = _side_by_side(texts)
+    def nearest(texts: pd.Series) -> np.ndarray:
+        codes, sizes, begins = side_by_side(texts)
         at = np.flatnonzero((codes[:-4] == a) & (codes[2:-2] == b) & (codes[4:] == c))  # no motif reaches over the marks between rows
         row = np.searchsorted(begins, at, "right") - 1
         center = at + 2 - begins[row]
@@ -45,9 +38,9 @@ def motif_center(s: Column, pattern: tuple[str, str, str] = ("G", "S", "G")) ->
         rows, first = np.unique(row[order], return_index=True)
         out = np.full(len(texts), -1, np.int64)
         out[rows] = center[order][first]
-        return pd.Series(out.astype(np.int32))
+        return out
 
-    return F.when(s.isNotNull(), F.pandas_udf(nearest, "int")(F.coalesce(s, F.lit(""))))
+    return F.when(s.isNotNull(), F.pandas_udf(lambda texts: in_slices(texts, nearest, np.int32), "int")(F.coalesce(s, F.lit(""))))
 
 
 def window(s: Column, center: Column, width: int = 41) -> Column:
@@ -70,14 +63,14 @@ def window_charge(part: Column, ph: float) -> Column:
 def max_hydrophobic_window(s: Column, width: int = 9) -> Column:
     """Greatest share of hydrophobic residues in a window; of a shorter sequence the whole; 0 if empty, null of null.
 
-    One pass over an Arrow batch: a running count of all residues side by side in numpy.
+    One pass over an Arrow batch: a running count of residues side by side in numpy, a slice of the batch at a time.
     """
     ship_active()
     marks = np.zeros(128, bool)
     marks[[ord(x) for x in K.HYDROPHOBIC]] = True
 
-    def greatest(texts: pd.Series) -> pd.Series:
-        codes, sizes, begins = _side_by_side(texts)
+    def greatest(texts: pd.Series) -> np.ndarray:
+        codes, sizes, begins = side_by_side(texts)
         total = np.concatenate([[0], np.cumsum(marks[np.minimum(codes, 127)])])
         spans = np.minimum(sizes, width)
         top = np.zeros(len(texts), np.int64)
@@ -90,9 +83,9 @@ def max_hydrophobic_window(s: Column, width: int = 9) -> Column:
                 top[long] = np.maximum.reduceat(np.concatenate([inside, [0]]), cuts)[::2]
             short = full[sizes[full] < width]
             top[short] = total[begins[short] + sizes[short]] - total[begins[short]]
-        return pd.Series(np.where(sizes > 0, top / np.maximum(spans, 1), 0.0))
+        return np.where(sizes > 0, top / np.maximum(spans, 1), 0.0)
 
-    return F.when(s.isNotNull(), F.pandas_udf(greatest, "double")(F.coalesce(s, F.lit(""))))
+    return F.when(s.isNotNull(), F.pandas_udf(lambda texts: in_slices(texts, greatest, np.float64), "double")(F.coalesce(s, F.lit(""))))
 
 
 def max_hydrophobic_run(s: Column) -> Column:

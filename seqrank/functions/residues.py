@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .kmers import kmer_words
+from ..session import ship_active
+from .batches import MARKS, in_slices, side_by_side
 
 
 def clean_sequence(s: Column) -> Column:
@@ -113,21 +114,37 @@ def isoelectric_point(s: Column, n: Column) -> Column:
     return F.when(s.isNotNull(), found)
 
 
-def instability_index(df: DataFrame, weights: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
-    """key, instability: 10 / length times the sum of the dipeptides' weights.
+def instability(s: Column, weights: DataFrame) -> Column:
+    """10 / length times the sum of the weights of a sequence's dipeptides; 0 of fewer than two residues, null of null.
 
     weights (pair, weight) is the caller's table of at most 400 pairs, each once, which is checked; pairs that it lacks count nothing.
-    Dipeptides are counted per sequence before they meet the weights.
+    One pass over the residues of an Arrow batch side by side: no row per dipeptide is made or shuffled.
     """
     size = weights.agg(F.count("*").alias("n"), F.countDistinct("pair").alias("pairs")).first()
     if size["n"] > len(K.AMINO_ACIDS) ** 2 or size["n"] != size["pairs"]:
         raise ValueError(f"instability weights: {size['n']} rows with {size['pairs']} pairs; at most {len(K.AMINO_ACIDS) ** 2}, each once, can be used")
-    rows = df.select(key, F.col(sequence).alias("s")).withColumn("length", F.length("s"))
-    pairs = rows.select(key, "length", F.explode(kmer_words(F.col("s"), 2)).alias("pair"))
-    counts = pairs.groupBy(key, "length", "pair").agg(F.count("*").alias("c"))
-    sums = counts.join(F.broadcast(weights.select("pair", "weight")), "pair").groupBy(key, "length").agg(F.sum(F.col("c") * F.col("weight")).alias("total"))
-    scored = sums.select(key, (10.0 / F.col("length") * F.col("total")).alias("instability"))
-    return rows.select(key).join(scored, key, "left").fillna({"instability": 0.0})
+    ship_active()
+    known = {r["pair"]: r["weight"] or 0.0 for r in weights.filter(F.length("pair") == 2).collect()}  # 400 at most
+    letters = np.array(sorted({ord(x) for pair in known for x in pair}), np.uint32)
+    # the last row and column stand for what is in no pair
+    table = np.zeros((len(letters) + 1, len(letters) + 1))
+    for pair, weight in known.items():
+        table[tuple(np.searchsorted(letters, [ord(x) for x in pair]))] = weight
+
+    def scored(texts: pd.Series) -> np.ndarray:
+        codes, sizes, begins = side_by_side(texts)
+        at = np.searchsorted(letters, codes)
+        at[at < len(letters)] = np.where(letters[at[at < len(letters)]] == codes[at < len(letters)], at[at < len(letters)], len(letters))
+        worth = table[at[:-1], at[1:]]  # the marks between rows are in no pair
+        rows = np.repeat(np.arange(len(sizes)), sizes + MARKS)[: len(worth)]
+        return 10.0 / np.maximum(sizes, 1) * np.bincount(rows, worth, len(sizes))
+
+    return F.when(s.isNotNull(), F.pandas_udf(lambda texts: in_slices(texts, scored, np.float64), "double")(F.coalesce(s, F.lit(""))))
+
+
+def instability_index(df: DataFrame, weights: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
+    """key, instability of each row, as ``instability`` has it; 0 of null."""
+    return df.select(key, F.coalesce(instability(F.col(sequence), weights), F.lit(0.0)).alias("instability"))
 
 
 def all_params(s: Column, n: Column, length: Column, instability: Column | None = None) -> Column:

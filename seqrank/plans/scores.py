@@ -46,11 +46,10 @@ def properties(
         motifs.max_hydrophobic_window(s).alias("agg_window"),
         motifs.max_hydrophobic_run(s).alias("agg_run"),
         length_penalty(length, F.col("__mode")).alias("length_penalty"),
+        *([residues.instability(s, weights).alias("instability_index")] if weights is not None else []),
     )
     scaled = ["iep", "charge7", "charge9", "charge55", "molecular_weight", "hydrophobicity", "pg_fraction", "local_charge55", "local_charge90", "agg_window", "agg_run", "length_penalty", *also]
     if weights is not None:
-        found = residues.instability_index(df.select(sequence).distinct().withColumn("__s", s), weights, sequence, "__s")
-        rows = rows.join(found.withColumnRenamed("instability", "instability_index"), sequence, "left")
         scaled.append("instability_index")
     return zscore(stored(rows, "properties"), scaled) if scale else rows  # made once: the scales read it before the rows do
 

@@ -2,7 +2,9 @@
 
 import math
 import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,15 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0], [1.0, 1.0])], "a array<double>, z array<double>, b array<double>")
     r = df.select(vectors.cosine_or_zero(F.col("a"), F.col("z")).alias("zero"), vectors.cosine_safe(F.col("a"), F.col("b")).alias("c"), vectors.l2_normalised(F.col("b")).alias("u")).first()
     assert (r["zero"], r["c"]) == (0.0, pytest.approx(math.sqrt(0.5))) and r["u"] == pytest.approx([math.sqrt(0.5)] * 2)
+
+
+def test_instability_makes_no_row_per_dipeptide(spark):
+    """The rows of a sequence never pass an exchange, and what isn't in the table counts nothing."""
+    rng = random.Random(5)
+    pairs = {a + b: round(rng.uniform(-2, 2), 3) for a in "ACDE" for b in "ACDF"}
+    w = spark.createDataFrame(list(pairs.items()), "pair string, weight double")
+    cases = [*("".join(rng.choice("ACDEFGé\U0001f600") for _ in range(rng.randrange(0, 40))) for _ in range(300)), None]
+    out = residues.instability_index(spark.createDataFrame(list(enumerate(cases)), "k long, sequence string"), w, "k")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {k: 10 / len(s) * sum(pairs.get(s[i : i + 2], 0) for i in range(len(s) - 1)) if s else 0.0 for k, s in enumerate(cases)}
+    assert {r["k"]: r["instability"] for r in out.collect()} == {k: pytest.approx(v) for k, v in want.items()}
