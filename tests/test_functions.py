@@ -182,3 +182,28 @@ def test_instability_makes_no_row_per_dipeptide(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     want = {k: 10 / len(s) * sum(pairs.get(s[i : i + 2], 0) for i in range(len(s) - 1)) if s else 0.0 for k, s in enumerate(cases)}
     assert {r["k"]: r["instability"] for r in out.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_slices_bound_what_a_worker_holds(spark, monkeypatch):
+    """Windows and motifs of 2,000 texts of 2,000 residues: a slice of the batch at a time, with the same results."""
+    rng = random.Random(6)
+    some = ["".join(rng.choice("GSAVLK") for _ in range(rng.randrange(0, 60))) for _ in range(50)]
+    texts = pd.Series([*some, *(x * 2000 for x in "VG" * 975)])
+    held = []
+
+    def peak(f):
+        tracemalloc.start()
+        out = f(texts)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return out.tolist()
+
+    made = []
+    monkeypatch.setattr(F, "pandas_udf", lambda f, kind: (made.append(f), lambda c: c)[1])
+    spark.range(1)  # an active session
+    motifs.max_hydrophobic_window(F.lit("A"))
+    motifs.motif_center(F.lit("A"))
+    windows, centers = (peak(f) for f in made)
+    assert max(held) < 40e6
+    assert windows[:50] == [max((sum(x in K.HYDROPHOBIC for x in s[i : i + 9]) for i in range(max(1, len(s) - 8))), default=0) / min(9, len(s)) if s else 0.0 for s in some]
+    assert centers[:50] == [brute_motif(s, ("G", "S", "G")) for s in some] and windows[50:52] == [1.0, 0.0]
