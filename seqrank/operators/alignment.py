@@ -24,8 +24,8 @@ from ..session import ship, stored
 from .meeting import behind, groups, numbered
 from .stats import running_before
 
-#: References in a block and in a pack; sequences that a block's references are sent with.
-BLOCK, PACK, TOGETHER = 1024, 16, 512
+#: References in a block and in a pack; sequences that a block's references are sent with. Where all are scored and none is ruled out, packs are wider: fewer steps for the same bits.
+BLOCK, PACK, TOGETHER, WIDE = 1024, 16, 512, 256
 #: Residues that are counted apart; all others are one kind, which keeps bounds true.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -135,8 +135,8 @@ def blocks_of(references: DataFrame, ref: str, ref_id: str, size: int | None = N
 class _Block:
     """The packs of a block's references."""
 
-    def __init__(self, heads: list[dict]):
-        cut = [heads[k : k + PACK] for k in range(0, len(heads), PACK)]
+    def __init__(self, heads: list[dict], pack: int = PACK):
+        cut = [heads[k : k + pack] for k in range(0, len(heads), pack)]
         self.packs = [Packed([h["r"] for h in c]) for c in cut]
         self.ids, self.lengths = [[h["i"] for h in c] for c in cut], [[len(h["r"]) for h in c] for c in cut]
         self.references = [h["r"] for h in heads]
@@ -153,24 +153,23 @@ def counted(text: str) -> np.ndarray:
 
 
 def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
-    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and pack of references (null ones left out)."""
+    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and block of references (null ones left out)."""
     ship(df.sparkSession)
     rows = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct()
     blocks = blocks_of(references, ref, ref_id)
     kind = pa.list_(pa.struct([("ref_id", pa.int64()), ("ref_length", pa.int32()), ("score", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = block = None
+        at = block = ids = lengths = None
         for heads, held in groups(batches, PACK):
             if heads is not at:
-                at, block = heads, _Block(heads)
-            names, out = [], []
-            for text in (r["sequence"] for r in held):
-                low = text.lower()
-                for packed, ids, lengths in zip(block.packs, block.ids, block.lengths, strict=True):
-                    names.append(text)
-                    out.append([{"ref_id": i, "ref_length": n, "score": x} for i, n, x in zip(ids, lengths, packed.lcs(low), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, kind)], ["sequence", "found"])
+                at, block = heads, _Block(heads, WIDE)
+                ids, lengths = (pa.array([x for c in part for x in c], k) for part, k in ((block.ids, pa.int64()), (block.lengths, pa.int32())))
+            names = [r["sequence"] for r in held]
+            scores = pa.array([x for text in map(str.lower, names) for packed in block.packs for x in packed.lcs(text)], pa.int32())
+            cells = [pa.concat_arrays([c] * len(names)) for c in (ids, lengths)]
+            found = pa.ListArray.from_arrays(pa.array(range(0, len(scores) + 1, len(ids)), pa.int32()), pa.StructArray.from_arrays([*cells, scores], fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), found], ["sequence", "found"])
 
     met = _met(numbered(rows, blocks.agg(F.max("block")), "block"), blocks)
     return met.mapInArrow(run, "sequence string, found array<struct<ref_id:long,ref_length:int,score:int>>")

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from seqrank.operators import alignment
 from seqrank.operators.alignment import all_scores, best_match, best_references, block_scores, matched, mismatch_columns, mutations
 
 
@@ -113,3 +112,15 @@ def test_more_references_are_left_out(spark):
         shares.append(sum(r["scored"] for r in rows) / sum(r["references"] for r in rows))
         assert all(refs[r["best_ref_id"]] == r["sequence"] for r in rows)
     assert shares[1] < 0.5 * shares[0]
+
+
+def test_scores_are_a_row_for_each_sequence_and_block(spark):
+    """Not one for each pack, each with the sequence beside it."""
+    rng = random.Random(8)
+    refs = [(i, "".join(rng.choice("ACD") for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    texts = ["".join(rng.choice("ACDe") for _ in range(rng.randrange(0, 15))) for _ in range(30)]
+    df, known = spark.createDataFrame([(t,) for t in texts], "sequence string"), spark.createDataFrame(refs, "ref_id long, ref_sequence string")
+    rows = block_scores(df, known).collect()
+    assert len(rows) == len(set(texts))
+    for r in rows:
+        assert {f["ref_id"]: (f["ref_length"], f["score"]) for f in r["found"]} == {i: (len(s), len(matched(r["sequence"].lower(), s.lower()))) for i, s in refs}
