@@ -23,7 +23,8 @@ def behind(rows: DataFrame, heads: DataFrame, key: str, by: str, order: list[Col
 
     by: a column of the rows that deals them. Rows whose key has no head are left out. A key's rows spread over as many tasks as it takes.
     """
-    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / (together or TOGETHER)).alias("salts"))
+    # a row per key that has heads: joined by broadcast, for by a shuffle on the key all rows of one would land in one task
+    counts = F.broadcast(rows.groupBy(key).agg(F.ceil(F.count("*") / (together or TOGETHER)).alias("salts")))
     salted = rows.join(counts, key).withColumn("salt", F.pmod(F.xxhash64(by), "salts"))
     dealt = heads.join(counts, key).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     own, others = [c for c in heads.columns if c != key], [c for c in rows.columns if c != key]

@@ -2,8 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from seqrank.operators import trees
+from seqrank.operators import meeting, trees
 from seqrank.operators.positions import positioned, side_by_side
 from seqrank.operators.trees import ensemble_predictions
 
@@ -86,3 +87,19 @@ def test_positions_follow_files_blocks_and_rows(spark, tmp_path, monkeypatch, ki
         assert met[0].asDict().keys() == {"position", "k", "v", "k_right", "v_right"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rows_that_meet_a_block_are_not_gathered_by_it(spark):
+    """A join by shuffle on the block would send all rows of one to a task, and here all rows are of one."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(5000).select(F.lit(0).cast("long").alias("block"), F.col("id").alias("x"))
+        heads = spark.createDataFrame([(0, 1.0), (0, 2.0)], "block long, h double")
+        met = meeting.behind(rows, heads, "block", "x", together=100)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert met.filter("not head").agg(F.countDistinct("x"), F.countDistinct("salt")).first() == (5000, 50)
+        assert met.filter("head").count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
