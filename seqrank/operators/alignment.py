@@ -242,7 +242,7 @@ def best_references(df: DataFrame, references: DataFrame, sequence: str = "seque
     each = _with_counts(blocks, "r")
     most = each.groupBy("block").agg(F.array(*(F.max(F.col("n")[k]) for k in range(len(LETTERS) + 1))).alias("most"))
     bound: Column = F.aggregate(F.zip_with("n", "most", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
-    pairs = stored(numbered(rows.select("key", "n"), blocks.agg(F.max("block")), "block").join(most, "block").select("key", "block", bound.alias("bound")), "pairs")
+    pairs = stored(numbered(rows.select("key", "n"), blocks.agg(F.max("block")), "block").join(F.broadcast(most), "block").select("key", "block", bound.alias("bound")), "pairs")
     first = pairs.groupBy("key").agg(F.max(F.struct("bound", (-F.col("block")).alias("b"))).alias("top")).select("key", (-F.col("top.b")).alias("block"))
     texts = rows.select("key", "sequence")
     found = stored(_searched(first.join(texts, "key").select("key", "sequence", "block", F.lit(None).cast("int").alias("best"), F.lit(None).cast("long").alias("best_id")), blocks), "found")

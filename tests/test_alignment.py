@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from seqrank.operators import alignment
 from seqrank.operators.alignment import all_scores, best_match, best_references, block_scores, matched, mismatch_columns, mutations
+from seqrank.session import stored
 
 
 def table_of(a, b):
@@ -114,6 +116,26 @@ def test_more_references_are_left_out(spark):
     assert shares[1] < 0.5 * shares[0]
 
 
+def test_bounds_of_blocks_meet_sequences_without_a_shuffle_by_block(spark, monkeypatch):
+    """Without automatic broadcasts, too: no join of the search has the block as the key of a shuffle."""
+    plans = []
+
+    def kept(df, name, keep=False):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name, keep)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(alignment, "stored", kept)
+    try:
+        df, refs = spark.createDataFrame([("ACDA",), ("DD",)], "sequence string"), spark.createDataFrame([(1, "ACA"), (2, "D")], "ref_id long, ref_sequence string")
+        got = {r["sequence"]: (r["best_ref_id"], r["best_score"]) for r in best_references(df, refs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {"ACDA": (1, 3), "DD": (2, 1)}
+    assert "SortMergeJoin" not in dict(plans)["pairs"]
+
+
 def test_scores_are_a_row_for_each_sequence_and_block(spark):
     """Not one for each pack, each with the sequence beside it."""
     rng = random.Random(8)
