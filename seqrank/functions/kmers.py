@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.meeting import behind, groups, numbered
+from ..session import ship, stored
+from .batches import MARKS, side_by_side, slices
 
 
 def fnv1a(word: Column, length: int, dim: int) -> Column:
@@ -27,17 +32,71 @@ def kmer_words(s: Column, k: int) -> Column:
     return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def kmer_buckets(df: DataFrame, key: list[str], sequence: str = "sequence", k: int = K.KMER, dim: int = K.KMER_DIM, valid_only: bool = False) -> DataFrame:
-    """key, bucket, c: how many k-mers of each sequence fall into a bucket. valid_only: of the 20 amino acids alone.
+def _counted(df: DataFrame, key: list[str], k: int, dim: int, valid_only: bool) -> DataFrame:
+    """key, buckets, counts, weights of each row of key and s that has a k-mer: its buckets ascending, how many k-mers fall into each, and those scaled to unit length."""
+    ship(df.sparkSession)
+    letters = np.array(sorted(map(ord, K.AMINO_ACIDS)), np.uint32)
+    offset, prime = np.uint32(K.FNV_OFFSET), np.uint32(K.FNV_PRIME)
+
+    def vectors(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts with k residues at least: row, bucket and count, by row and bucket."""
+        codes, sizes, begins = side_by_side(texts)
+        n = len(codes) - k + 1
+        rows = np.repeat(np.arange(len(sizes)), sizes + MARKS)[:n]
+        ok = np.arange(n) - begins[rows] <= sizes[rows] - k
+        h = np.full(n, offset)
+        for j in range(k):
+            h = (h ^ codes[j : j + n]) * prime  # modulo 2^32
+        if valid_only:
+            known = np.isin(codes, letters)
+            for j in range(k):
+                ok &= known[j : j + n]
+        cells, counts = np.unique(rows[ok] * dim + h[ok] % dim, return_counts=True)
+        return cells // dim, cells % dim, counts
 
-    K-mers are counted as strings first, so that a repeated one is hashed once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("s")).to_pandas()
+            heads = batch.select(key)
+            for a, b in slices(texts.str.len().to_numpy(np.int64)):
+                rows, buckets, counts = vectors(texts.iloc[a:b])
+                norms = np.sqrt(np.bincount(rows, counts * counts, b - a))
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))]), pa.int32())
+                cells = (pa.array(buckets, pa.int32()), pa.array(counts, pa.int64()), pa.array(counts / norms[rows]))
+                out = pa.RecordBatch.from_arrays([*heads.slice(a, b - a).columns, *(pa.ListArray.from_arrays(ends, c) for c in cells)], [*key, "buckets", "counts", "weights"])
+                yield out.filter(pa.array(norms > 0))
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+    return df.select(*key, "s").mapInArrow(run, f"{kinds}, buckets array<int>, counts array<long>, weights array<double>")
+
+
+def kmer_vectors(df: DataFrame, key: list[str], sequence: str = "sequence", k: int = K.KMER, dim: int = K.KMER_DIM, valid_only: bool = False) -> DataFrame:
+    """key, buckets, counts, weights: each key's sparse vector as one row. valid_only: of k-mers of the 20 amino acids alone.
+
+    K-mers are counted by numpy in an Arrow batch, so that no row per k-mer is made or shuffled. Keys that several rows have are found first; the vectors
+    of those rows alone are added up by key and bucket.
     """
     rows = df.select(*key, F.col(sequence).alias("s")).filter(F.length("s") >= k)
-    words = rows.select(*key, F.explode(kmer_words(F.col("s"), k)).alias("word"))
-    if valid_only:
-        words = words.filter(F.col("word").rlike(f"^[{K.AMINO_ACIDS}]+$"))
-    counted = words.groupBy(*key, "word").agg(F.count("*").alias("c"))
-    return counted.groupBy(*key, fnv1a(F.col("word"), k, dim).alias("bucket")).agg(F.sum("c").alias("c"))
+    held = df.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.count("*").alias("__n"))
+    repeated = stored(held.filter("__n > 1").drop("__n"), "repeated")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    single = _counted(rows.join(repeated, same, "left_anti"), key, k, dim, valid_only)
+    parts = _counted(rows.join(repeated, same, "left_semi"), key, k, dim, valid_only)
+    cells = parts.select(*key, F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(*key, F.col("x.buckets").alias("b")).agg(F.sum("x.counts").alias("c"))
+    added = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("x"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))  # dim at most
+    return single.union(added.select(*key, "x.b", "x.c", F.transform("x.c", lambda c: c / F.col("norm"))))
+
+
+def unit_rows(df: DataFrame, key: list[str], sequence: str = "sequence", k: int = K.KMER, dim: int = K.KMER_DIM, valid_only: bool = False) -> DataFrame:
+    """key, bucket, w: each sequence's vector scaled to unit length."""
+    v = kmer_vectors(df, key, sequence, k, dim, valid_only)
+    return v.select(*key, F.explode(F.arrays_zip("buckets", "weights")).alias("x")).select(*key, F.col("x.buckets").alias("bucket"), F.col("x.weights").alias("w"))
+
+
+def kmer_buckets(df: DataFrame, key: list[str], sequence: str = "sequence", k: int = K.KMER, dim: int = K.KMER_DIM, valid_only: bool = False) -> DataFrame:
+    """key, bucket, c: how many k-mers of each sequence fall into a bucket. valid_only: of the 20 amino acids alone."""
+    v = kmer_vectors(df, key, sequence, k, dim, valid_only)
+    return v.select(*key, F.explode(F.arrays_zip("buckets", "counts")).alias("x")).select(*key, F.col("x.buckets").alias("bucket"), F.col("x.counts").alias("c"))
 
 
 def unit_vectors(buckets: DataFrame, key: list[str], frequency: bool = False) -> DataFrame:
@@ -96,8 +155,9 @@ def centrality(vectors: DataFrame, key: str, group: str) -> DataFrame:
     """key, group, centrality: mean cosine to the others of a group; 1 for one alone.
 
     The mean of the cosines to all others is the dot product with the group's summed vector less the vector's own, so no pair is ever made.
+    The sums are written, so that their size is known: where they are small they meet the vectors by broadcast.
     """
-    sums = vectors.groupBy(group, "bucket").agg(F.sum("w").alias("total"))
+    sums = stored(vectors.groupBy(group, "bucket").agg(F.sum("w").alias("total")), "sums")
     sizes = vectors.groupBy(group).agg(F.countDistinct(key).alias("n"))
     dots = vectors.join(sums, [group, "bucket"]).groupBy(key, group).agg(F.sum(F.col("w") * F.col("total")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("own"))
     mean = F.when(F.col("n") > 1, (F.col("dot") - F.col("own")) / (F.col("n") - 1)).otherwise(F.lit(1.0))

@@ -175,10 +175,10 @@ _VECTOR = "SELECT doc_id, count(*) AS n_buckets, sum(c)::BIGINT AS n_kmers, roun
 
 def _vectors(spark: SparkSession, d: str, valid_only: bool) -> DataFrame:
     raw = table(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
-    b = kmers.kmer_buckets(raw, ["doc_id"], valid_only=valid_only)
-    v = kmers.unit_vectors(b, ["doc_id"], frequency=not valid_only)
-    sums = b.groupBy("doc_id").agg(F.count("*").alias("n_buckets"), F.sum("c").alias("n_kmers"), F.sum(F.col("bucket") * F.col("c")).alias("checksum"))
-    return sums.join(v.groupBy("doc_id").agg(F.max("w").alias("top_weight")), "doc_id").select("doc_id", "n_buckets", "n_kmers", r6("top_weight"), "checksum")
+    v = kmers.kmer_vectors(raw, ["doc_id"], valid_only=valid_only)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, c: t + c)
+    checksum = total(F.zip_with("buckets", "counts", lambda b, c: b * c))
+    return v.select("doc_id", F.size("buckets").cast("long").alias("n_buckets"), total("counts").alias("n_kmers"), r6("top_weight", F.array_max("weights")), checksum.alias("checksum"))
 
 
 @C.add("kmer_vector_freq", f"WITH {_RAW}, {kmers_sql('raw', 'doc_id', 'v')} {_VECTOR}")

@@ -207,3 +207,25 @@ def test_slices_bound_what_a_worker_holds(spark, monkeypatch):
     assert max(held) < 40e6
     assert windows[:50] == [max((sum(x in K.HYDROPHOBIC for x in s[i : i + 9]) for i in range(max(1, len(s) - 8))), default=0) / min(9, len(s)) if s else 0.0 for s in some]
     assert centers[:50] == [brute_motif(s, ("G", "S", "G")) for s in some] and windows[50:52] == [1.0, 0.0]
+
+
+@pytest.mark.parametrize("valid_only", [False, True])
+def test_vectors_are_a_row_for_each_key(spark, valid_only):
+    """Counted without a shuffle of k-mers; rows of one key are added up."""
+    rng = random.Random(7)
+    rows = [(i % 37, "".join(rng.choice("ACBDé") for _ in range(rng.randrange(0, 30)))) for i in range(60)]
+    want: dict = {}
+    for i, s in rows:
+        for word in (s[j : j + 3] for j in range(len(s) - 2)):
+            if not valid_only or set(word) <= set(K.AMINO_ACIDS):
+                h = K.FNV_OFFSET
+                for x in word:
+                    h = (h ^ ord(x)) * K.FNV_PRIME & K.FNV_MASK
+                own = want.setdefault(i, {})
+                own[h % K.KMER_DIM] = own.get(h % K.KMER_DIM, 0) + 1
+    v = kmers.kmer_vectors(spark.createDataFrame(rows, "k long, sequence string"), ["k"], valid_only=valid_only)
+    got = {r["k"]: r for r in v.collect()}
+    assert {k: dict(zip(r["buckets"], r["counts"], strict=True)) for k, r in got.items()} == want
+    for k, r in got.items():
+        assert list(r["buckets"]) == sorted(r["buckets"])
+        assert r["weights"] == pytest.approx([c / math.sqrt(sum(x * x for x in want[k].values())) for c in r["counts"]])
