@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.kmers import centrality, kmer_buckets, unit_vectors
+from ..functions.kmers import centrality, unit_rows
+from ..session import stored
 from .stats import mode_first_seen
 
 
@@ -29,7 +30,8 @@ def choose(found: DataFrame, clusters: DataFrame, k: int = K.KMER, dim: int = K.
     sized = found.withColumn("length", F.length("wt_sequence"))
     modal = mode_first_seen(sized, "length", "wt_id", ["cluster_id"])
     kept = sized.join(modal, "cluster_id").filter("length = mode").select("cluster_id", "wt_id", "wt_sequence")
-    vectors = unit_vectors(kmer_buckets(kept, ["cluster_id", "wt_id"], "wt_sequence", k, dim, valid_only=True), ["cluster_id", "wt_id"])
+    kept = stored(kept, "kept")
+    vectors = stored(unit_rows(kept, ["cluster_id", "wt_id"], "wt_sequence", k, dim, valid_only=True), "vectors")
     scored = kept.join(centrality(vectors, "wt_id", "cluster_id"), ["wt_id", "cluster_id"], "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
     alone = kept.groupBy("cluster_id").agg((F.count("*") == 1).alias("alone"))
     scored = scored.join(alone, "cluster_id").withColumn("centrality", F.when(F.col("alone"), F.lit(1.0)).otherwise(F.col("centrality")))

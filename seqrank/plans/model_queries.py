@@ -53,8 +53,8 @@ def wt_candidates(spark: SparkSession, d: str) -> DataFrame:
 def wt_centrality(spark: SparkSession, d: str) -> DataFrame:
     """By summed vectors; the SQL makes all pairs."""
     found = wild_types.candidates(*wild_type_rows(spark, d))
-    v = kmers.unit_vectors(kmers.kmer_buckets(found, ["cluster_id", "wt_id"], "wt_sequence", valid_only=True), ["cluster_id", "wt_id"])
-    return kmers.centrality(v, "wt_id", "cluster_id").select("wt_id", "cluster_id", r6("centrality"))
+    v = kmers.unit_rows(stored(found, "candidates"), ["cluster_id", "wt_id"], "wt_sequence", valid_only=True)
+    return kmers.centrality(stored(v, "vectors"), "wt_id", "cluster_id").select("wt_id", "cluster_id", r6("centrality"))
 
 
 _CHOSEN = (

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqrank.functions import kmers
 from seqrank.operators import assays, cache, clusters, embeddings, folds, joins, metrics, models, stats, wild_types
 from seqrank.plans import pipelines, scores
 from seqrank.schema import col_or_lit, require_columns
+from seqrank.session import stored
 from seqrank.sources import tables
 from seqrank.streaming.features import featurised
 
@@ -309,3 +311,20 @@ def test_features_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["seq_len"] for r in spark.table("featurised").collect()) == [0, 5]
+
+
+def test_centrality_makes_and_shuffles_no_row_per_kmer(spark, monkeypatch):
+    """The vectors that are written come without an exchange of words, and the sums meet them with a known size."""
+    made = {}
+
+    def kept(df, name, keep=False):
+        made[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name, keep)
+
+    monkeypatch.setattr(wild_types, "stored", kept)
+    monkeypatch.setattr(kmers, "stored", kept)
+    rows = spark.createDataFrame([("a", "ACDEF"), ("a", "ACDEG"), ("b", "KLMNP")], "cluster_id string, sequence string")
+    wild = spark.createDataFrame([(1, "ACDEF"), (2, "ACDEG"), (3, "KLMNP")], "wt_id long, wt_sequence string")
+    got = {r["cluster_id"]: (r["wt_id"], round(r["wt_centrality"], 6)) for r in wild_types.choose(wild_types.candidates(rows, wild), rows).collect()}
+    assert got == {"a": (1, round(2 / 3, 6)), "b": (3, 1.0)}
+    assert "MapInArrow" in made["vectors"] and "regexp_extract_all" not in made["vectors"] and "sums" in made
