@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.kmers import kmer_buckets, unit_vectors
+from ..functions.kmers import unit_rows
 from ..session import stored
 
 
@@ -36,23 +36,26 @@ def _unit(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _assigned(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """key, seq_len, c, similarity: the nearest centre (to nine digits), the lowest at a tie."""
-    c = centres.select("seq_len", "c", "bucket", F.col("w").alias("v"))
-    dots = vectors.join(c, ["seq_len", "bucket"]).groupBy("key", "seq_len", "c").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
-    nearest = F.struct(F.round("similarity", 9).alias("near"), (-F.col("c")).alias("c"), "similarity")
-    best = dots.groupBy("key", "seq_len").agg(F.max(nearest).alias("b"))
+    """key, seq_len, c, similarity: the nearest centre (to nine digits), the lowest at a tie; c is from 1 to CLUSTERS_MOST.
+
+    The centres of a length lie side by side in a row per bucket, so that a vector's cell makes one row and not one for each centre.
+    """
+    numbers = range(1, K.CLUSTERS_MOST + 1)
+    cells = centres.groupBy("seq_len", "bucket").agg(*(F.sum(F.when(F.col("c") == j, F.col("w"))).alias(f"v{j}") for j in numbers))
+    dots = vectors.join(cells, ["seq_len", "bucket"]).groupBy("key", "seq_len").agg(*(F.sum(F.col("w") * F.col(f"v{j}")).alias(f"d{j}") for j in numbers))
+    near = [F.when(F.col(f"d{j}").isNotNull(), F.struct(F.round(f"d{j}", 9).alias("near"), F.lit(-j).cast("long").alias("c"), F.col(f"d{j}").alias("similarity"))) for j in numbers]
+    best = dots.select("key", "seq_len", F.array_max(F.array(*near)).alias("b"))
     return best.select("key", "seq_len", (-F.col("b.c")).alias("c"), F.col("b.similarity").alias("similarity"))
 
 
 def clusters(df: DataFrame, sequence: str = "sequence", k: int = K.KMER, dim: int = K.KMER_DIM, rounds: int = 4) -> DataFrame:
     """sequence, seq_len, cluster_id, similarity of each distinct non-empty sequence; ids ascend with length."""
-    distinct = df.select(F.col(sequence).alias("key")).filter(F.length("key") > 0).distinct().withColumn("seq_len", F.length("key"))
+    distinct = stored(df.select(F.col(sequence).alias("key")).filter(F.length("key") > 0).distinct().withColumn("seq_len", F.length("key")), "distinct")
     policy = group_policy(distinct, "key")
-    rows = stored(distinct.join(policy, "seq_len"), "lengths")
+    rows = stored(distinct.join(F.broadcast(policy), "seq_len"), "lengths")  # a row per length: a shuffle would gather all rows of one in a task
     single = rows.filter("not clustered").select("key", "seq_len", F.row_number().over(Window.partitionBy("seq_len").orderBy("key")).cast("long").alias("c"), F.lit(1.0).alias("similarity"))
     big = rows.filter("clustered").withColumn("seed", F.md5("key"))
-    vectors = unit_vectors(kmer_buckets(big.withColumn("s", F.col("key")), ["key", "seq_len"], "s", k, dim), ["key", "seq_len"])
-    vectors = stored(vectors, "vectors")
+    vectors = stored(unit_rows(big.withColumn("s", F.col("key")), ["key", "seq_len"], "s", k, dim), "vectors")
     rank = F.row_number().over(Window.partitionBy("seq_len").orderBy("seed", "key"))
     # the literal bound lets each task keep the first few of its rows before they are shuffled
     seeds = big.withColumn("c", rank).filter(F.col("c") <= K.CLUSTERS_MOST).filter(F.col("c") <= F.col("k")).select("key", "seq_len", F.col("c").cast("long").alias("c"))

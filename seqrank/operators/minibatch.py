@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.kmers import kmer_buckets, unit_vectors
+from ..functions.kmers import unit_rows
 from ..session import scratch, ship, stored
 from .clusters import group_policy, numbered_clusters
 
@@ -41,10 +41,27 @@ def _distances(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.join(dots, ["key", *_CLUSTER], "left").select("key", *_CLUSTER, (1 + F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0))).alias("d"))
 
 
+#: Centres of a length that lie side by side in a row.
+WIDE = 12
+
+
 def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """key, seq_len, c, d: the nearest centre (to nine digits), the lowest at a tie."""
-    best = F.min(F.struct(F.round("d", 9).alias("near"), "c", "d")).alias("b")
-    return _distances(vectors, centres).groupBy("key", "seq_len").agg(best).select("key", "seq_len", F.col("b.c").alias("c"), F.greatest(F.lit(0.0), F.col("b.d")).alias("d"))
+    """key, seq_len, c, d: the nearest centre (to nine digits), the lowest at a tie.
+
+    WIDE centres of a length lie side by side in a row per bucket, so that a vector's cell makes one row for them and not one for each.
+    """
+    rank = F.row_number().over(Window.partitionBy("seq_len").orderBy("c")) - 1
+    names = centres.select(*_CLUSTER).distinct().withColumn("n", rank)  # a row per centre
+    numbered = centres.join(F.broadcast(names), _CLUSTER).select("*", F.floor(F.col("n") / WIDE).alias("slot"), (F.col("n") % WIDE).alias("j"))
+    of = lambda f, j, x: f(F.when(F.col("j") == j, x))
+    cells = numbered.groupBy("seq_len", "slot", "bucket").agg(*(of(F.sum, j, F.col("w")).alias(f"v{j}") for j in range(WIDE)))
+    heads = numbered.groupBy("seq_len", "slot").agg(*(of(F.sum, j, F.col("w") * F.col("w")).alias(f"norm{j}") for j in range(WIDE)), *(of(F.max, j, F.col("c")).alias(f"c{j}") for j in range(WIDE)))
+    met = vectors.join(F.broadcast(heads.select("seq_len", "slot")), "seq_len").join(cells, ["seq_len", "slot", "bucket"], "left")
+    dots = met.groupBy("key", "seq_len", "slot").agg(*(F.coalesce(F.sum(F.col("w") * F.col(f"v{j}")), F.lit(0.0)).alias(f"dot{j}") for j in range(WIDE)))
+    d = [1 + F.col(f"norm{j}") - 2 * F.col(f"dot{j}") for j in range(WIDE)]
+    near = [F.when(F.col(f"c{j}").isNotNull(), F.struct(F.round(d[j], 9).alias("near"), F.col(f"c{j}").alias("c"), d[j].alias("d"))) for j in range(WIDE)]
+    best = dots.join(F.broadcast(heads), ["seq_len", "slot"]).select("key", "seq_len", F.array_min(F.array(*near)).alias("b"))
+    return best.groupBy("key", "seq_len").agg(F.min("b").alias("b")).select("key", "seq_len", F.col("b.c").alias("c"), F.greatest(F.lit(0.0), F.col("b.d")).alias("d"))
 
 
 def _picked(pairs: DataFrame) -> DataFrame:
@@ -135,12 +152,12 @@ def minibatch_clusters(
     """sequence, seq_len, cluster_id, similarity (with the centre's direction) of each distinct non-empty sequence; ids ascend with length."""
     ship(df.sparkSession)
     with scratch():
-        distinct = df.select(F.col(sequence).alias("key")).filter(F.length("key") > 0).distinct().withColumn("seq_len", F.length("key"))
+        distinct = stored(df.select(F.col(sequence).alias("key")).filter(F.length("key") > 0).distinct().withColumn("seq_len", F.length("key")), "distinct")
         policy = stored(group_policy(distinct, "key"), "policy")
-        rows = stored(distinct.join(policy, "seq_len"), "lengths")
+        rows = stored(distinct.join(F.broadcast(policy), "seq_len"), "lengths")  # a row per length: a shuffle would gather all rows of one in a task
         single = rows.filter("not clustered").select("key", "seq_len", F.row_number().over(Window.partitionBy("seq_len").orderBy("key")).cast("long").alias("c"), F.lit(1.0).alias("similarity"))
         big = rows.filter("clustered")
-        vectors = stored(unit_vectors(kmer_buckets(big.withColumn("s", F.col("key")), ["key", "seq_len"], "s", k, dim), ["key", "seq_len"]), "vectors")
+        vectors = stored(unit_rows(big.withColumn("s", F.col("key")), ["key", "seq_len"], "s", k, dim), "vectors")
         seeds = stored((oversampled_seeds if seeding == "oversampled" else hashed_seeds)(vectors, policy), "seeds")
         centres = minibatch_centres(vectors, policy, seeds, batch, rounds, patience)
         found = nearest(vectors, centres)

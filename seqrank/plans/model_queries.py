@@ -99,8 +99,8 @@ def choose_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the documents as sequences: many of each length, so that length groups are clustered."""
-    words = table(spark, d, "documents").select(F.explode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z]+", " ")), " +")).alias("w"))
+    """Words of the documents as sequences, each once: many of each length, so that length groups are clustered. What is no amino acid is dropped of different words alone."""
+    words = table(spark, d, "documents").select(F.explode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z]+", " ")), " +")).alias("w")).distinct()
     return words.select(F.regexp_replace("w", f"[^{K.AMINO_ACIDS}]", "").alias("sequence")).filter(F.length("sequence") >= 3)
 
 

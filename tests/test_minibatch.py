@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,22 @@ def test_a_learning_rate_is_one_over_the_rows_had(spark):
     centre = {r["bucket"]: r["w"] for r in minibatch.minibatch_centres(vectors, policy, seeds, batch=1, rounds=3, patience=None).collect()}
     had = [k for r in range(3) for k in "abc" if slots[k] == r]
     assert centre == {{"a": 1, "b": 2, "c": 3}[k]: pytest.approx(1 / len(had)) for k in had}
+
+
+def test_nearest_of_many_centres_makes_no_row_for_each(spark):
+    """More centres than lie side by side, against brute force; no shuffle has the centre as its key."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((40, 6)).round(3), rng.random((30, 6)).round(3)
+    x[:, 4:] = 0
+    x[0], y[:7, :4], y[20] = [0, 0, 0, 0, 0, 1], 0, y[10]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    flat = lambda m: [(str(i), 3, b, float(v)) for i, row in enumerate(m) for b, v in enumerate(row) if v]
+    vectors = spark.createDataFrame(flat(x), "key string, seq_len int, bucket int, w double")
+    centres = spark.createDataFrame([(n, int(i) * 7, b, w) for i, n, b, w in flat(y)], "seq_len int, c long, bucket int, w double")
+    found = minibatch.nearest(vectors, centres)
+    assert not re.search(r"hashpartitioning\(key#\d+, seq_len#\d+, c#", found._jdf.queryExecution().executedPlan().toString())
+    d = 1 + (y * y).sum(1)[None, :] - 2 * x @ y.T
+    want = {str(i): (int(np.argmin(row.round(9))) * 7, row.min()) for i, row in enumerate(d)}
+    got = {r["key"]: (r["c"], r["d"]) for r in found.collect()}
+    assert {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
+    assert [got[k][1] for k in sorted(want)] == pytest.approx([max(0, want[k][1]) for k in sorted(want)])
