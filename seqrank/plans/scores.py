@@ -31,7 +31,11 @@ def properties(
     rows = residues.with_counts(df, sequence, "__n")
     s, n, length = F.col(sequence), F.col("__n"), F.length(sequence)
     p = residues.all_params(s, n, length)
-    rows = rows.withColumn("__p", p).withColumn("motif_center", motifs.motif_center(s, pattern))
+    # side by side, what Python computes takes one worker for each task
+    found = {"__p": p, "motif_center": motifs.motif_center(s, pattern), "__agg": motifs.max_hydrophobic_window(s)}
+    if weights is not None:
+        found["__instability"] = residues.instability(s, weights)
+    rows = rows.withColumns(found)
     mode = mode_smallest(df.select(F.length(sequence).alias("__l")), "__l", "__mode")
     rows = rows.crossJoin(F.broadcast(mode)).withColumn("__w", motifs.window(s, F.col("motif_center")))
     rows = rows.select(
@@ -43,10 +47,10 @@ def properties(
         (1 - (F.col("motif_center") >= 0).cast("int")).alias("motif_penalty"),
         motifs.window_charge(F.col("__w"), 5.5).alias("local_charge55"),
         motifs.window_charge(F.col("__w"), 9.0).alias("local_charge90"),
-        motifs.max_hydrophobic_window(s).alias("agg_window"),
+        F.col("__agg").alias("agg_window"),
         motifs.max_hydrophobic_run(s).alias("agg_run"),
         length_penalty(length, F.col("__mode")).alias("length_penalty"),
-        *([residues.instability(s, weights).alias("instability_index")] if weights is not None else []),
+        *([F.col("__instability").alias("instability_index")] if weights is not None else []),
     )
     scaled = ["iep", "charge7", "charge9", "charge55", "molecular_weight", "hydrophobicity", "pg_fraction", "local_charge55", "local_charge90", "agg_window", "agg_run", "length_penalty", *also]
     if weights is not None:
@@ -65,7 +69,9 @@ def cluster_aware(df: DataFrame, sequence: str = "sequence", cluster: str = "clu
     one of their own. A delta that is missing in a row is the median; a table without any drops the term.
     """
     require_columns(df, [sequence, cluster, "ll", "rep_ll"], "cluster_aware")
-    rows = residues.with_counts(df, sequence, "__n").withColumn("__c", motifs.motif_center(F.col(sequence), pattern))
+    # side by side, motif and window take one worker for each task
+    found = {"__c": motifs.motif_center(F.col(sequence), pattern), "__agg": motifs.max_hydrophobic_window(F.col(sequence))}
+    rows = residues.with_counts(df, sequence, "__n").withColumns(found)
     mode = mode_smallest(df.select(F.length(sequence).alias("__l")), "__l", "__mode")
     rows = rows.crossJoin(F.broadcast(mode)).withColumn("__w", motifs.window(F.col(sequence), F.col("__c")))
     s, length = F.col(sequence), F.length(sequence)
@@ -78,7 +84,7 @@ def cluster_aware(df: DataFrame, sequence: str = "sequence", cluster: str = "clu
         length_penalty(length, F.col("__mode"), 1.5).alias("length"),
         motifs.window_charge(F.col("__w"), 5.5).alias("local55"),
         motifs.window_charge(F.col("__w"), 9.0).alias("local90"),
-        motifs.max_hydrophobic_window(s).alias("agg_window"),
+        F.col("__agg").alias("agg_window"),
         motifs.max_hydrophobic_run(s).cast("double").alias("agg_run"),
         (F.col("__c") < 0).cast("int").alias("motif_penalty"),
     )

@@ -249,6 +249,19 @@ def test_recipes_run_and_clip(spark):
     assert got.count() == 30 and got.filter("activity_1 is null or isnan(activity_1)").isEmpty()
 
 
+def test_recipes_take_one_worker_for_each_task(spark, monkeypatch):
+    """Motif and window, and in R6 the other features of Python, are evaluated together: beside each other they'd take a worker each."""
+    held = []
+    monkeypatch.setattr(scores, "stored", lambda df, name, keep=False: (held.append(df), stored(df, name, keep))[1])
+    rows = spark.createDataFrame([("ACDEFGHIKLGASAG" * 4, 0, -1.0, -2.0), ("WWAV", 1, -3.0, -1.0)], "sequence string, cluster_id int, ll double, rep_ll double")
+    weights = spark.createDataFrame([("AC", 1.0)], "pair string, weight double")
+    scores.cluster_aware(rows)
+    scores.properties(rows, weights=weights)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (held[0], held[-1])]
+    assert [plan.count("ArrowEvalPython") for plan in plans] == [1, 1]
+    assert sorted(column(held[0], "agg_window")) == sorted(column(held[-1], "agg_window")) == [pytest.approx(5 / 9), 1.0]
+
+
 def test_pipelines(spark):
     rows = spark.createDataFrame([(f"{'ACDEFGHIKL' * 4}{'MNPQRSTVWY'[: i % 5 + 1]}",) for i in range(10)], "sequence string").distinct()
     refs = spark.createDataFrame([(0, "ACDEFGHIKL" * 4 + "M"), (1, "WWWWWW")], "wt_id long, wt_sequence string")
