@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ship_active
+from ..session import ready_active
 from .batches import in_slices, side_by_side
 from .residues import net_charge, residue_count
 
@@ -22,7 +22,7 @@ def motif_center(s: Column, pattern: tuple[str, str, str] = ("G", "S", "G")) ->
 
     Centres among the first or last EDGE positions don't count. One pass over an Arrow batch: residues side by side in numpy, a slice of the batch at a time.
     """
-    ship_active()
+    ready_active()
     a, b, c = (ord(x) for x in pattern)
     edge = EDGE
 
@@ -65,7 +65,7 @@ def max_hydrophobic_window(s: Column, width: int = 9) -> Column:
 
     One pass over an Arrow batch: a running count of residues side by side in numpy, a slice of the batch at a time.
     """
-    ship_active()
+    ready_active()
     marks = np.zeros(128, bool)
     marks[[ord(x) for x in K.HYDROPHOBIC]] = True
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ship_active
+from ..session import ready_active
 from .batches import MARKS, in_slices, side_by_side
 
 
@@ -123,7 +123,7 @@ def instability(s: Column, weights: DataFrame) -> Column:
     size = weights.agg(F.count("*").alias("n"), F.countDistinct("pair").alias("pairs")).first()
     if size["n"] > len(K.AMINO_ACIDS) ** 2 or size["n"] != size["pairs"]:
         raise ValueError(f"instability weights: {size['n']} rows with {size['pairs']} pairs; at most {len(K.AMINO_ACIDS) ** 2}, each once, can be used")
-    ship_active()
+    ready_active()
     known = {r["pair"]: r["weight"] or 0.0 for r in weights.filter(F.length("pair") == 2).collect()}  # 400 at most
     letters = np.array(sorted({ord(x) for pair in known for x in pair}), np.uint32)
     # the last row and column stand for what is in no pair

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import Stored, drop_path, fresh_path, scratch, ship, stored  # noqa: F401  (the operators' own names for them)
+from ..session import Stored, bound_batches, drop_path, fresh_path, scratch, ship, stored  # noqa: F401  (the operators' own names for them)
 
 #: The six white-space characters that the contracts name.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -27,8 +27,6 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: rows are whole texts here.
-BATCH, BATCH_BYTES = 2000, 8 << 20
 #: What a worker process keeps from task to task, by name.
 _KEPT: dict[str, object] = {}
 
@@ -65,10 +63,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
     spark = df.sparkSession
     ship(spark)
-    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", None, BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
-        if now == default or (default is None and int(now.removesuffix("b")) >= 1 << 26):
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    bound_batches(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _lean(keeps):

@@ -101,8 +101,21 @@ def ship(spark: SparkSession) -> None:
     context._seqrank_shipped = True
 
 
-def ship_active() -> None:
-    """The same for an expression, which has no session at hand."""
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: rows are whole texts here.
+BATCH, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by rows and bytes: what a worker is sent at once doesn't grow with the table or its texts. Bounds that the session's owner has set stay."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if now == default or (default is None and int(now.removesuffix("b")) >= 1 << 26):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def ready_active() -> None:
+    """For an expression over texts, which has no session at hand: the package at the workers, and batches bounded."""
     spark = SparkSession.getActiveSession()
     if spark is not None:
         ship(spark)
+        bound_batches(spark)

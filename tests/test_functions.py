@@ -229,3 +229,22 @@ def test_vectors_are_a_row_for_each_key(spark, valid_only):
     for k, r in got.items():
         assert list(r["buckets"]) == sorted(r["buckets"])
         assert r["weights"] == pytest.approx([c / math.sqrt(sum(x * x for x in want[k].values())) for c in r["counts"]])
+
+
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    """Long texts and many short ones: what a worker is sent at once is bounded, by bytes and by rows, unless the session's owner has other bounds."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {x: spark.conf.get(x) for x in names}
+    seen = lambda texts, found, kind: pd.Series([float(max(texts.str.len().sum() / 1e7, len(texts) / 2000))] * len(texts))
+    monkeypatch.setattr(motifs, "in_slices", seen)
+    largest = lambda df: df.select(motifs.max_hydrophobic_window(F.col("s")).alias("x")).agg(F.max("x")).first()[0]
+    long, short = (spark.range(0, n, 1, 1).select(F.repeat(F.lit("V"), size).alias("s")) for n, size in ((100, 300_000), (9000, 3)))
+    try:
+        for x in names:
+            spark.conf.unset(x)
+        assert largest(long) <= 1 and largest(short) <= 1
+        spark.conf.set(names[0], 5000)
+        assert largest(short) == 2.5
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)
