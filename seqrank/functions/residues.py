@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ready_active
+from ..session import ready, ready_active
 from .batches import MARKS, in_slices, side_by_side
 
 
@@ -144,6 +144,7 @@ def instability(s: Column, weights: DataFrame) -> Column:
 
 def instability_index(df: DataFrame, weights: DataFrame, key: str, sequence: str = "sequence") -> DataFrame:
     """key, instability of each row, as ``instability`` has it; 0 of null."""
+    ready(df.sparkSession)
     return df.select(key, F.coalesce(instability(F.col(sequence), weights), F.lit(0.0)).alias("instability"))
 
 

@@ -14,7 +14,7 @@ from ..functions.strings import length_penalty
 from ..operators import matrices, profiles
 from ..operators.stats import centered, clipped, finite_or, impute_median, mode_smallest, robust_z, zscore
 from ..schema import col_or_lit, require_columns
-from ..session import stored
+from ..session import ready, stored
 
 
 def _sum(weights: dict[str, float]) -> Column:
@@ -28,6 +28,7 @@ def properties(
 
     weights: the dipeptides' weights (pair, weight), for the instability index. also: columns of ``df`` to be scaled with the others, as an alignment's score.
     """
+    ready(df.sparkSession)
     rows = residues.with_counts(df, sequence, "__n")
     s, n, length = F.col(sequence), F.col("__n"), F.length(sequence)
     p = residues.all_params(s, n, length)
@@ -69,6 +70,7 @@ def cluster_aware(df: DataFrame, sequence: str = "sequence", cluster: str = "clu
     one of their own. A delta that is missing in a row is the median; a table without any drops the term.
     """
     require_columns(df, [sequence, cluster, "ll", "rep_ll"], "cluster_aware")
+    ready(df.sparkSession)
     # side by side, motif and window take one worker for each task
     found = {"__c": motifs.motif_center(F.col(sequence), pattern), "__agg": motifs.max_hydrophobic_window(F.col(sequence))}
     rows = residues.with_counts(df, sequence, "__n").withColumns(found)

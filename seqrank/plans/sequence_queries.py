@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import kmers, motifs, residues, strings
 from ..operators import alignment
 from ..operators.stats import mode_smallest
+from ..session import ready
 from .catalogue import CHARS, COUNTS, REFS, SEQS, Catalogue, charge_sql, fnv_sql, kmers_sql, r6, references, seq_sql, sequences, table, values, weighted
 
 C = Catalogue()
@@ -116,6 +117,7 @@ _MOTIF = "SELECT doc_id, (center IS NOT NULL)::INTEGER AS present, coalesce(cent
 
 
 def _motif(spark: SparkSession, d: str, pattern: tuple[str, str, str]) -> DataFrame:
+    ready(spark)
     rows = sequences(spark, d).select("doc_id", motifs.motif_center(F.col("sequence"), pattern).cast("int").alias("center"))
     return rows.select("doc_id", (F.col("center") >= 0).cast("int").alias("present"), "center")
 
@@ -139,6 +141,7 @@ _WINDOW_COUNTS = ", ".join(f"length(part) - length(replace(part, '{a}', '')) AS
     f"q AS (SELECT doc_id, part, {_WINDOW_COUNTS} FROM p) SELECT doc_id, round({charge_sql('5.5', 'part')}, 6) AS local_charge55, round({charge_sql('9.0', 'part')}, 6) AS local_charge90 FROM q",
 )
 def local_window_charge(spark: SparkSession, d: str) -> DataFrame:
+    ready(spark)
     s = F.col("sequence")
     rows = sequences(spark, d).withColumn("center", motifs.motif_center(s, ("E", "T", "E"))).withColumn("part", motifs.window(s, F.col("center")))
     return rows.select("doc_id", *(r6(name, motifs.window_charge(F.col("part"), ph)) for ph, name in ((5.5, "local_charge55"), (9.0, "local_charge90"))))
@@ -150,6 +153,7 @@ def local_window_charge(spark: SparkSession, d: str) -> DataFrame:
     "b AS (SELECT doc_id, max(h) / least(9, any_value(len))::DOUBLE AS best FROM m WHERE pos >= 8 OR pos = len - 1 GROUP BY doc_id) SELECT doc_id, round(coalesce(best, 0), 6) AS agg_window FROM seqs LEFT JOIN b USING (doc_id)",
 )
 def max_hydrophobic_window(spark: SparkSession, d: str) -> DataFrame:
+    ready(spark)
     return sequences(spark, d).select("doc_id", r6("agg_window", motifs.max_hydrophobic_window(F.col("sequence"))))
 
 

@@ -103,19 +103,23 @@ def ship(spark: SparkSession) -> None:
 
 #: Rows and bytes of an Arrow batch, where the session has Spark's defaults: rows are whole texts here.
 BATCH, BATCH_BYTES = 2000, 8 << 20
+#: Each bound with Spark's default, as the session gives it.
+_BOUNDS = (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES))
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by rows and bytes: what a worker is sent at once doesn't grow with the table or its texts. Bounds that the session's owner has set stay."""
-    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH), ("maxBytesPerBatch", None, BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
-        if now == default or (default is None and int(now.removesuffix("b")) >= 1 << 26):
+    for key, default, value in _BOUNDS:
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
+def ready(spark: SparkSession) -> None:
+    """The package at the workers, and batches bounded in the session whose tables are read."""
+    ship(spark)
+    bound_batches(spark)
+
+
 def ready_active() -> None:
-    """For an expression over texts, which has no session at hand: the package at the workers, and batches bounded."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        ship(spark)
-        bound_batches(spark)
+    """For an expression over texts, which has no session at hand: the active one is made ready, or the application's in a thread that has none active."""
+    ready(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())

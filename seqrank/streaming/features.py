@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import motifs, residues
+from ..session import ready
 
 
 def featurised(stream: DataFrame, text: str = "text") -> DataFrame:
     """Adds sequence, seq_len, gravy, charge55 and agg_window."""
+    ready(stream.sparkSession)
     rows = residues.with_counts(stream.withColumn("sequence", residues.letters_to_sequence(F.col(text))))
     s, n, length = F.col("sequence"), F.col("n"), F.length("sequence")
     return rows.withColumns(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 import tracemalloc
 
 import pandas as pd
@@ -248,3 +249,31 @@ def test_batches_of_texts_are_bounded(spark, monkeypatch):
     finally:
         for x, value in before.items():
             spark.conf.set(x, value)
+
+
+def test_batches_are_bounded_in_threads_and_by_any_form_of_bound(spark):
+    """A thread without an active session uses the application's; an owner's bound may have a unit."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {x: spark.conf.get(x) for x in names}
+    found = []
+
+    def asked():
+        motifs.max_hydrophobic_window(F.lit("A"))
+        found.append([spark.conf.get(x) for x in names])
+
+    def in_thread():
+        thread = threading.Thread(target=asked)
+        thread.start()
+        thread.join()
+
+    try:
+        for x in names:
+            spark.conf.unset(x)
+        in_thread()
+        spark.conf.set(names[1], "4m")
+        in_thread()
+        asked()
+        assert found == [["2000", str(8 << 20)], ["2000", "4m"], ["2000", "4m"]]
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)

@@ -262,6 +262,18 @@ def test_recipes_take_one_worker_for_each_task(spark, monkeypatch):
     assert sorted(column(held[0], "agg_window")) == sorted(column(held[-1], "agg_window")) == [pytest.approx(5 / 9), 1.0]
 
 
+@pytest.mark.parametrize("recipe", [scores.cluster_aware, lambda df: scores.properties(df, scale=False)])
+def test_recipes_bound_batches_in_the_session_of_their_rows(spark, recipe):
+    """The rows' session may be another than the active one: its batches are those that go to the workers."""
+    own = spark.newSession()
+    rows = own.range(1).selectExpr("'ACDEFGHIKLGASAG' AS sequence", "0 AS cluster_id", "-1D AS ll", "-2D AS rep_ll")
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    for x in names:
+        own.conf.unset(x)
+    recipe(rows)
+    assert [own.conf.get(x) for x in names] == ["2000", str(8 << 20)]
+
+
 def test_pipelines(spark):
     rows = spark.createDataFrame([(f"{'ACDEFGHIKL' * 4}{'MNPQRSTVWY'[: i % 5 + 1]}",) for i in range(10)], "sequence string").distinct()
     refs = spark.createDataFrame([(0, "ACDEFGHIKL" * 4 + "M"), (1, "WWWWWW")], "wt_id long, wt_sequence string")
