@@ -72,6 +72,15 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(task, schema)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """To be joined by a shuffle, whatever Spark thinks its size is.
+
+    Spark sizes a table by its source's files: after an explode, or beside columns that are null, a tenth or less of what it holds, and the driver
+    would broadcast it. For tables that grow with the corpus.
+    """
+    return df.hint("merge")
+
+
 #: Bits of an id bitmap.
 BITMAP = 1 << 22
 

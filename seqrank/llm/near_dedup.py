@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, split_by_ids, stored, table, text_or_empty, whole_groups
+from .common import map_arrow, scratch, shuffled, split_by_ids, stored, table, text_or_empty, whole_groups
 from .components import components
 from .hashing import mixed, spans_hash, words
 
@@ -120,7 +120,7 @@ def postings(classes: DataFrame, threshold: float) -> DataFrame:
     prefix = COORDS - least_matches(COORDS, threshold) + 1
     every = classes.select("doc", F.explode("keys").alias("key"))
     counts = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = every.join(counts, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))  # COORDS at most
+    shared = every.join(shuffled(counts), "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))  # COORDS at most
     # the keys that a class has alone are its rarest: they take places of the prefix
     places = F.lit(prefix - COORDS) + F.size("found")
     return shared.filter(places > 0).select("doc", F.explode(F.slice("found", 1, places)).alias("p")).select("p.key", "doc", "p.n")
@@ -271,7 +271,7 @@ def _rest(opened: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     own = members.select("family", salt, F.lit(1).alias("guest"), "doc", "label", "text").join(met, ["family", "salt"])
     own = own.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("family", "salt", "turn", "guest", "doc", "label", "text")
     turn = F.pmod(F.xxhash64("doc", F.lit(2)), "turns").cast("int").alias("turn")
-    guests = visits.join(met, ["family", "salt"]).select("family", "salt", turn, F.lit(2).alias("guest"), "doc").join(members.select("doc", "label", "text"), "doc")
+    guests = visits.join(met, ["family", "salt"]).select("family", "salt", turn, F.lit(2).alias("guest"), "doc").join(shuffled(members.select("doc", "label", "text")), "doc")
     matches = least_matches(LONG_WIDTH, percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def _rest(opened: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CONFIRM)).cast("int").alias("salt"))
+    salted = pairs.join(shuffled(degree), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CONFIRM)).cast("int").alias("salt"))
     need = salted.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("member")).union(salted.select(F.col("a").alias("doc"), "a", "salt", F.lit(0)).distinct())
     rows = _with_texts(need, classes, docs).select("a", "salt", "member", "doc", "text")
 

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, split_by_ids, stored, table, text_or_empty
+from .common import scratch, shuffled, split_by_ids, stored, table, text_or_empty
 
 #: The contract's patterns. A run of characters that is too short holds no match that is long enough,
 #: so access and hex ask for the length at once; an assignment that is too short is matched, and dropped afterwards.
@@ -132,7 +132,7 @@ def linked(found: DataFrame) -> DataFrame:
         if apart:
             near = near & ((F.col("start") >= F.col("right")) | (F.col("end") <= F.col("left")))
         same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (spots["b"] == posted["b"])
-        return spots.join(posted, same & near, "left_semi").drop("b")
+        return spots.join(shuffled(posted), same & near, "left_semi").drop("b")
 
     secrets = join(part("secret"), part("access"))
     endpoints = join(part("endpoint"), secrets.union(join(part("assign"), part("access"), apart=True)))

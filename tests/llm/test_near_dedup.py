@@ -144,3 +144,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def physical(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    # Spark sizes them by the arrays' file, ten times too low and more, so they look small enough on large tables too
+    rows = [(k, [100 * (k % 3) + c for c in range(near_dedup.COORDS)]) for k in range(40)]
+    spark.createDataFrame(rows, "doc long, keys array<long>").write.parquet(str(tmp_path / "classes"))
+    found = near_dedup.postings(spark.read.parquet(str(tmp_path / "classes")), 0.8)
+    assert "Broadcast" not in physical(found) and "SortMergeJoin" in physical(found)
+    assert {r["doc"] for r in found.collect()} == set(range(40))
