@@ -2,15 +2,19 @@
 
 A node has a feature, a threshold, two children and where a missing value goes; a leaf has a value instead. Trees are sent in blocks, each once for some
 hundred rows, so neither the rows nor the ensemble need fit beside the other. In an Arrow batch all rows go down all trees of a block level by level.
+
+Trees only tell rows apart by the thresholds that their values lie between. Where the ensemble has few different thresholds, rows between the same ones make
+a cell: each cell goes down the trees once, and its prediction is sent to its rows, which aren't shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
@@ -19,6 +23,8 @@ from .stats import running_before
 
 #: Trees in a block, and rows that go down together.
 BLOCK, TOGETHER = 64, 2048
+#: Different thresholds up to which rows are told apart by them alone, and cells up to which their predictions are broadcast.
+CUTS, SENT = 256, 1 << 16
 
 
 def tree_blocks(nodes: DataFrame) -> DataFrame:
@@ -62,17 +68,46 @@ class Forest:
         raise ValueError("the nodes of a tree go in a circle")
 
 
+def _between(x: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the ascending cuts a value is above, by halves."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[k]), _between(x, cuts[:k], first)).otherwise(_between(x, cuts[k + 1 :], first + k + 1))
+
+
+def _key(values: list[Column], nodes: DataFrame) -> Column:
+    """What all rows share that go the same ways: a number of the thresholds that their values lie between, or a digest of the values where there are too many."""
+    splits = nodes.filter("feature is not null").select(F.col("feature").cast("int"), F.col("threshold").cast("double")).distinct()
+    found = splits.limit(CUTS + 1).collect()
+    cuts: dict[int, set[float]] = {f: set() for f, _ in found}
+    for f, t in found:
+        if t is not None and not math.isnan(t):  # no value is at or below those
+            cuts[f].add(t)
+    if len(found) > CUTS or math.prod(len(c) + 2 for c in cuts.values()) >= 1 << 62:
+        return F.md5(F.concat_ws("|", *(F.coalesce(v.cast("string"), F.lit("NaN")) for v in values)))
+    key = F.lit(0).cast("long")
+    for f, c in sorted(cuts.items()):
+        place = F.when(values[f].isNull() | F.isnan(values[f]), F.lit(len(c) + 1)).otherwise(_between(values[f], sorted(c)))
+        key = key * F.lit(len(c) + 2).cast("long") + place
+    return key
+
+
 def ensemble_predictions(df: DataFrame, features: list[str], nodes: DataFrame, to: str = "prediction") -> DataFrame:
     """The rows with the mean of all trees' leaves. A feature that is null or NaN is missing. Without trees the prediction is null.
 
-    Predictions are made once for all rows with the same features.
+    Predictions are made once for all rows between the same thresholds, or with the same features if there are many.
     """
     ship(df.sparkSession)
+    nodes = stored(nodes, "nodes")
     blocks = tree_blocks(nodes)
-    x = F.array(*(F.col(f"`{c}`").cast("double") for c in features))
-    key = F.md5(F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("double").cast("string"), F.lit("NaN")) for c in features)))
-    rows = df.select(key.alias("__key"), x.alias("x")).groupBy("__key").agg(F.first("x").alias("x"))
+    values = [F.col(f"`{c}`").cast("double") for c in features]
+    key = _key(values, nodes)
+    # any of a cell's values goes its way
+    cells = df.select(key.alias("__key"), *(v.alias(f"__x{k}") for k, v in enumerate(values))).groupBy("__key").agg(*(F.min(f"__x{k}").alias(f"__x{k}") for k in range(len(values))))
+    rows = stored(cells.select("__key", F.array(*(f"__x{k}" for k in range(len(values)))).cast("array<double>").alias("x")), "cells")
     met = behind(numbered(rows, blocks.agg(F.max("block")), "block"), blocks, "block", "__key", [F.col("tree")], TOGETHER)
+    kind = rows.schema["__key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = forest = None
@@ -83,7 +118,9 @@ def ensemble_predictions(df: DataFrame, features: list[str], nodes: DataFrame, t
             total = forest.value[forest.leaves(values)].sum(1)
             yield pa.RecordBatch.from_arrays([pa.array([r["__key"] for r in held]), pa.array(total), pa.array([len(heads)] * len(held), pa.int64())], ["__key", "total", "trees"])
 
-    parts = met.mapInArrow(run, "__key string, total double, trees long")
+    parts = met.mapInArrow(run, f"__key {kind}, total double, trees long")
     found = parts.groupBy("__key").agg((F.sum("total") / F.sum("trees")).alias(to))
+    if rows.count() <= SENT:
+        found = F.broadcast(found)
     keep = [F.col(f"`{c}`") for c in df.columns if c != to]
     return df.select(*keep, key.alias("__key")).join(found, "__key", "left").drop("__key")

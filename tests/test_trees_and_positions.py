@@ -55,6 +55,26 @@ def test_predictions_against_a_walk(spark, monkeypatch):
     assert raw == {k: pytest.approx(sum(walked(t, x) for t in forest) / 9) for k, *x in rows if k > 0}
 
 
+def test_rows_between_the_same_thresholds_go_down_once(spark, monkeypatch):
+    draw, met = random.Random(4), []
+    forest = [[(t, 0, t % 2, c, 1, 2, t == 1, None), (t, 1, None, None, None, None, None, 1.0 + t), (t, 2, None, None, None, None, None, 10.0 * t)] for t, c in enumerate((0.0, 0.5, -0.5, float("inf")))]
+    forest.append([(4, 0, 2, None, 1, 2, True, None), (4, 1, None, None, None, None, None, 7.0), (4, 2, None, None, None, None, None, 9.0)])  # no value is at or below null
+    values = [[draw.choice([None, float("nan"), -0.5, -0.0, 0.0, 0.5, float("inf"), draw.uniform(-1, 1)]) for _ in range(3)] for _ in range(400)]
+    df = spark.createDataFrame([(k, *v) for k, v in enumerate(values)], "k long, a double, b double, c double")
+    numbered = trees.numbered
+    monkeypatch.setattr(trees, "numbered", lambda rows, *rest: met.append(rows.count()) or numbered(rows, *rest))
+    nodes = spark.createDataFrame(sum(forest, []), NODES)
+    walk = lambda t, x: t[1 if (t[0][6] if x[t[0][2]] is None or math.isnan(x[t[0][2]]) else t[0][3] is not None and x[t[0][2]] <= t[0][3]) else 2][7]
+    want = {k: pytest.approx(sum(walk(t, x) for t in forest) / 5) for k, x in enumerate(values)}
+    found = ensemble_predictions(df, ["a", "b", "c"], nodes)
+    assert {r["k"]: r["prediction"] for r in found.collect()} == want
+    assert met[0] <= 4 * 4 * 2
+    assert "hashpartitioning(__key" not in found._jdf.queryExecution().sparkPlan().toString() and "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(trees, "CUTS", 2)  # too many thresholds: told apart by their values
+    assert {r["k"]: r["prediction"] for r in ensemble_predictions(df, ["a", "b", "c"], nodes).collect()} == want
+    assert met[1] > 100
+
+
 def test_no_trees_no_rows_and_circles(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     none = spark.createDataFrame([], NODES)
