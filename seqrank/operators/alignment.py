@@ -2,8 +2,8 @@
 
 ``all_scores`` has every score; ``best_references`` has the best reference of each sequence without scoring all; ``mutations`` aligns pairs.
 References lie in blocks of like length. Sequences and blocks meet in a shuffle: the references of a block come once for some hundred sequences,
-not beside each of them. In an Arrow batch the references of a pack lie side by side in one wide integer, with a bit between them that takes
-each one's carry, and a bit-parallel recurrence takes one step per residue on all of them.
+not beside each of them. In an Arrow batch the references of a pack lie side by side in one wide integer, with bits between them that take
+each one's carries, and a bit-parallel recurrence takes one step per residue on all of them.
 
 No score is above the sum over residues of the smaller of two counts, nor above the same sum with the largest counts of a whole block.
 The search takes each sequence to its most promising block first, there meets packs of references by falling bounds until no bound is above the
@@ -28,10 +28,12 @@ from .stats import running_before
 BLOCK, PACK, TOGETHER, WIDE = 1024, 16, 512, 256
 #: Residues that are counted apart; all others are one kind, which keeps bounds true.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Spare bits above a reference: each step's carry sets one more of them, so they are cleared once in so many steps.
+SPARE = 8
 
 
 class Packed:
-    """References side by side in one integer, each with a spare bit above it."""
+    """References side by side in one integer, each with SPARE bits above it."""
 
     def __init__(self, references: list[str]):
         self.masks: dict[str, int] = {}
@@ -41,7 +43,7 @@ class Packed:
                 self.masks[c] = self.masks.get(c, 0) | (1 << i)
             self.full |= ((1 << len(r)) - 1) << at
             self.places.append((at, len(r), (1 << len(r)) - 1))
-            at += len(r) + 1
+            at += len(r) + SPARE
 
     def rows(self, sequence: str, v: int | None = None) -> Iterator[int]:
         """The row of the table behind each residue; a bit is 0 where the score rises."""
@@ -49,16 +51,18 @@ class Packed:
         for c in sequence:
             if m := get(c):
                 u = v & m
-                v = ((v + u) | (v ^ u)) & full  # what is carried out of a reference ends in the bit above it
+                v = ((v + u) | (v ^ u)) & full  # what is carried out of a reference ends in the bits above it
             yield v
 
     def lcs(self, sequence: str) -> list[int]:
         """The length of the longest common subsequence with each reference."""
         v, full, get = self.full, self.full, self.masks.get
-        for c in sequence:
-            if m := get(c):
-                u = v & m
-                v = ((v + u) | (v ^ u)) & full
+        for k in range(0, len(sequence), SPARE):
+            for c in sequence[k : k + SPARE]:
+                if m := get(c):
+                    u = v & m
+                    v = (v + u) | (v ^ u)
+            v &= full
         return [n - (v >> at & own).bit_count() for at, n, own in self.places]
 
 
@@ -143,7 +147,7 @@ class _Block:
 
 
 def _met(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    return behind(rows, blocks, "block", "sequence", [F.length("r"), F.col("r"), F.col("i")], TOGETHER)
+    return behind(rows, blocks, "block", "sequence", [F.length("r"), F.col("r"), F.col("i")], TOGETHER, spread=True)
 
 
 def counted(text: str) -> np.ndarray:
@@ -152,27 +156,30 @@ def counted(text: str) -> np.ndarray:
     return np.append(own, len(text) - own.sum())
 
 
-def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
-    """sequence, found (array of struct<ref_id, ref_length, score>): a row for each distinct sequence and block of references (null ones left out)."""
+def block_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id", by: str = "sequence") -> DataFrame:
+    """sequence, found (array of struct<ref_id, ref_length, score>, by ref_id): a row for each distinct sequence and block of references (null ones left out).
+
+    by: "key" names a sequence by its MD5 instead, so that its scores go on without it.
+    """
     ship(df.sparkSession)
-    rows = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct()
+    rows = df.select(F.col(sequence).alias("sequence")).filter("sequence is not null").distinct().select(F.md5("sequence").alias("key"), "sequence")
     blocks = blocks_of(references, ref, ref_id)
     kind = pa.list_(pa.struct([("ref_id", pa.int64()), ("ref_length", pa.int32()), ("score", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = block = ids = lengths = None
+        at = block = ids = lengths = order = None
         for heads, held in groups(batches, PACK):
             if heads is not at:
                 at, block = heads, _Block(heads, WIDE)
-                ids, lengths = (pa.array([x for c in part for x in c], k) for part, k in ((block.ids, pa.int64()), (block.lengths, pa.int32())))
-            names = [r["sequence"] for r in held]
-            scores = pa.array([x for text in map(str.lower, names) for packed in block.packs for x in packed.lcs(text)], pa.int32())
-            cells = [pa.concat_arrays([c] * len(names)) for c in (ids, lengths)]
-            found = pa.ListArray.from_arrays(pa.array(range(0, len(scores) + 1, len(ids)), pa.int32()), pa.StructArray.from_arrays([*cells, scores], fields=list(kind.value_type)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), found], ["sequence", "found"])
+                ids, lengths = (np.array([x for c in part for x in c]) for part in (block.ids, block.lengths))
+                order = np.argsort(ids, kind="stable")
+            scores = [np.array([x for packed in block.packs for x in packed.lcs(text)])[order] for text in (r["sequence"].lower() for r in held)]
+            cells = [pa.array(c, k) for c, k in ((np.tile(ids[order], len(held)), pa.int64()), (np.tile(lengths[order], len(held)), pa.int32()), (np.concatenate(scores), pa.int32()))]
+            found = pa.ListArray.from_arrays(pa.array(range(0, len(held) * len(ids) + 1, len(ids)), pa.int32()), pa.StructArray.from_arrays(cells, fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[by] for r in held], pa.string()), found], [by, "found"])
 
     met = _met(numbered(rows, blocks.agg(F.max("block")), "block"), blocks)
-    return met.mapInArrow(run, "sequence string, found array<struct<ref_id:long,ref_length:int,score:int>>")
+    return met.mapInArrow(run, f"{by} string, found array<struct<ref_id:long,ref_length:int,score:int>>")
 
 
 def all_scores(df: DataFrame, references: DataFrame, sequence: str = "sequence", ref: str = "ref_sequence", ref_id: str = "ref_id") -> DataFrame:
@@ -255,12 +262,12 @@ def best_references(df: DataFrame, references: DataFrame, sequence: str = "seque
     return out.join(texts, "key").join(F.broadcast(total)).select("sequence", (-F.col("b.i")).alias("best_ref_id"), F.col("b.score").alias("best_score"), "scored", "references")
 
 
-def score_arrays(blocks: DataFrame) -> DataFrame:
-    """sequence, scores, identity_percent of block_scores: arrays over the references in the order of their ids."""
-    part = F.sort_array(F.flatten(F.collect_list("found")))
-    rows = blocks.groupBy("sequence").agg(part.alias("p"))
+def score_arrays(blocks: DataFrame, by: str = "sequence") -> DataFrame:
+    """sequence (or its key), scores, identity_percent of block_scores: arrays over the references in the order of their ids."""
+    part = F.sort_array(F.flatten(F.collect_list("found")))  # each block's are in order
+    rows = blocks.groupBy(by).agg(part.alias("p"))
     return rows.select(
-        "sequence",
+        by,
         F.transform("p", lambda x: x["score"]).alias("scores"),
         F.transform("p", lambda x: F.round(100.0 * x["score"] / F.greatest(F.lit(1), x["ref_length"]), 6)).alias("identity_percent"),
     )

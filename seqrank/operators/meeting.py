@@ -18,10 +18,11 @@ def numbered(df: DataFrame, last: DataFrame, to: str) -> DataFrame:
     return met.withColumn(to, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last").cast("long")))).drop("__last")
 
 
-def behind(rows: DataFrame, heads: DataFrame, key: str, by: str, order: list[Column] | None = None, together: int | None = None) -> DataFrame:
+def behind(rows: DataFrame, heads: DataFrame, key: str, by: str, order: list[Column] | None = None, together: int | None = None, spread: bool = False) -> DataFrame:
     """key, salt, head, the heads' other columns and the rows' other columns: in a partition each key's heads in order, then rows of that key, ``together`` of them on average.
 
     by: a column of the rows that deals them. Rows whose key has no head are left out. A key's rows spread over as many tasks as it takes.
+    spread: over all of the session's shuffle partitions. Spark merges small ones by their bytes, to about a task per core; where a row takes milliseconds, the longest of those is waited for.
     """
     # a row per key that has heads: joined by broadcast, for by a shuffle on the key all rows of one would land in one task
     counts = F.broadcast(rows.groupBy(key).agg(F.ceil(F.count("*") / (together or TOGETHER)).alias("salts")))
@@ -31,7 +32,8 @@ def behind(rows: DataFrame, heads: DataFrame, key: str, by: str, order: list[Col
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     one = dealt.select(key, "salt", F.lit(True).alias("head"), *own, *(none(rows, c) for c in others))
     two = salted.select(key, "salt", F.lit(False).alias("head"), *(none(heads, c) for c in own), *others)
-    return one.union(two).repartition(key, "salt").sortWithinPartitions(key, "salt", F.desc("head"), *(order or []))
+    parts = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    return one.union(two).repartition(*parts, key, "salt").sortWithinPartitions(key, "salt", F.desc("head"), *(order or []))
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[dict], list[dict]]]:

@@ -259,10 +259,6 @@ def hamming_rate(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(first, "len").select("doc_id", "wt", r6("mutation_rate", strings.hamming_rate(F.col("sequence"), F.col("b"))))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.block_scores(sequences(spark, d), references(spark, d))
-
-
 _LCS = (
     f"WITH RECURSIVE {REFS}, n AS (SELECT DISTINCT p_name AS name FROM part), pos AS (SELECT ref_id, ref_sequence AS t, unnest(range(1, length(ref_sequence) + 1)) AS j FROM refs), "
     "dp AS (SELECT name, ref_id, j, lower(substr(t, j, 1)) AS c, 0 AS i, 0 AS v FROM n, pos UNION ALL SELECT name, ref_id, j, c, i + 1, max(greatest(v, before + (c = lower(substr(name, i + 1, 1)))::INTEGER)) OVER (PARTITION BY name, ref_id ORDER BY j) "
@@ -342,7 +338,10 @@ def lcs_mutation_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add("lcs_all_scores")
 def lcs_all_scores(spark: SparkSession, d: str) -> DataFrame:
-    return sequences(spark, d).join(alignment.score_arrays(_scores(spark, d)), "sequence", "left").select("doc_id", "scores", "identity_percent")
+    """Rows meet their scores by a digest: whole texts are shuffled as they are made distinct and as they meet the references, and not again."""
+    rows = sequences(spark, d)
+    found = alignment.score_arrays(alignment.block_scores(rows, references(spark, d), by="key"), "key")
+    return rows.select("doc_id", F.md5("sequence").alias("key")).join(found, "key", "left").select("doc_id", "scores", "identity_percent")
 
 
 @C.add("reference_lengths", f"WITH {REFS} SELECT ref_id, length(ref_sequence) AS len FROM refs")

@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import pytest
 
 from seqrank.operators import alignment
 from seqrank.operators.alignment import all_scores, best_match, best_references, block_scores, matched, mismatch_columns, mutations
+from seqrank.plans.sequence_queries import lcs_all_scores
 from seqrank.session import stored
 
 
@@ -146,3 +148,15 @@ def test_scores_are_a_row_for_each_sequence_and_block(spark):
     assert len(rows) == len(set(texts))
     for r in rows:
         assert {f["ref_id"]: (f["ref_length"], f["score"]) for f in r["found"]} == {i: (len(s), len(matched(r["sequence"].lower(), s.lower()))) for i, s in refs}
+
+
+def test_scores_by_key_and_carries_of_many_steps(spark):
+    """Every step carries out of every reference; whole sequences are shuffled twice, and rows meet their scores by a digest."""
+    refs = [(40 - i, "A" * i + "C" * (i % 3)) for i in range(40)]
+    texts = ["A" * k for k in (0, 1, 7, 8, 9, 16, 17, 100)] + ["AC" * 30, "CA" * 9 + "A" * 50]
+    df, known = spark.createDataFrame([(t,) for t in texts], "sequence string"), spark.createDataFrame(refs, "ref_id long, ref_sequence string")
+    got = {r["key"]: [tuple(f) for f in r["found"]] for r in block_scores(df, known, by="key").collect()}
+    assert got == {hashlib.md5(t.encode()).hexdigest(): [(i, len(s), len(matched(t.lower(), s.lower()))) for i, s in sorted(refs)] for t in texts}
+    plan = lcs_all_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join [sequence" not in plan and "keys=[sequence" in plan
+    assert block_scores(df, known).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not merged by bytes to a few
